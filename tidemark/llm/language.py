@@ -101,8 +101,11 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
     if not languages:
         return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [])
     bound = max(1, min(per_language, max_sample // languages))
-    ranked = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id")))
-    picked = ranked.where(F.col("_rank") <= bound).select(F.col("doc_id").alias("_id")).distinct()
+    # ranked within 64 parts of a language first, so that a large language is not one task's work
+    ranked = rows.select("doc_id", "lang").withColumn("_order", order).withColumn("_part", F.pmod("_order", F.lit(64)))
+    for keys in (("lang", "_part"), ("lang",)):
+        ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_order", "doc_id"))).where(F.col("_rank") <= bound)
+    picked = ranked.select(F.col("doc_id").alias("_id")).distinct()
     sample = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"), "left_semi")
 
     counted = rows.select("text").mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n"))
