@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, mixing, neighbours, pii, secrets, toxicity
+from . import jaccard, language, licenses, mixing, neighbours, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op4_secret_scan, op7_toxicity, op8_pii, op9_source_mixing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_ngram_jaccard, op4_secret_scan, op7_toxicity, op8_pii, op9_source_mixing, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
