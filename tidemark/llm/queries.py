@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, licenses, mixing, neighbours, pii, secrets, toxicity
+from . import decontaminate, jaccard, language, licenses, mixing, neighbours, pii, repeats, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,8 +53,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours_report(_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_ngram_jaccard, op4_secret_scan, op7_toxicity, op8_pii, op9_source_mixing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_ngram_jaccard, op4_secret_scan, op5_decontaminate, op6_repeated_lines, op7_toxicity, op8_pii, op9_source_mixing, op10_neighbours, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
