@@ -8,12 +8,12 @@ size, then by hash; any order is correct, this one keeps index lists short).  Tw
 first ones of both, at positions that leave enough shingles behind it.  Index lists are the rows of one prefix shingle,
 met by a shuffle; pairs whose sizes or positions rule out a link are skipped there.
 
-Set relations skip the rest.  A short list gives all its pairs; a long list first gives the pairs with its smallest class
-only.  Each class is verified against its most promising partner, and the verified links are joined to components.  What
-is left are pairs that are not connected yet: short-list pairs across components, and long-list pairs across components
-with whole blocks skipped by size and position.  Pairs inside a component have their answer (the same component) from
-those of the sets they resemble and are never expanded, so a group of thousands of near copies costs about as many
-verifications as it has members.
+Set relations skip the rest.  A short list gives all its pairs; a long list first gives the pairs with its hub only, the
+class in which the shingle stands foremost.  Each class is verified against its most promising partner, which yields its
+difference to that hub; links among the sets of one hub follow from those differences, without their sets.  What is left are
+pairs of different components and different hubs: of short lists, and of long lists with whole blocks skipped by size and
+position.  Pairs inside a component have their answer from those of the sets they resemble and are never expanded, so a
+group of thousands of near copies costs about as many verifications as it has members.
 
 Sets are rebuilt from the texts where they are verified; only prefixes, pairs and the sets of candidate pairs are shuffled.
 """
@@ -182,11 +182,14 @@ def _pairs_of_lists(threshold: int):
                 ok = left[_possible(meta[left], meta[left + d], threshold)]
                 one.append(ok)
                 two.append(ok + d)
-            long = np.flatnonzero((length > SHORT_LIST) & (begin != np.arange(len(token))))
-            ok = long[_possible(meta[begin[long]], meta[long], threshold)]
-            one, two = np.concatenate([*one, begin[ok]]), np.concatenate([*two, ok])
+            # the hub of a long list: where the token stands foremost, as in a text that others were edited from
+            order = np.lexsort((cls, meta & 0xFFFFFFFF, begin))
+            hub = np.repeat(order[start], size)
+            long = np.flatnonzero((length > SHORT_LIST) & (hub != np.arange(len(token))))
+            ok = long[_possible(meta[hub[long]], meta[long], threshold)]
+            one, two = np.concatenate([*one, hub[ok]]), np.concatenate([*two, ok])
             if len(one):
-                pairs, times = np.unique(np.stack([cls[one], cls[two]]), axis=1, return_counts=True)
+                pairs, times = np.unique(np.stack([np.minimum(cls[one], cls[two]), np.maximum(cls[one], cls[two])]), axis=1, return_counts=True)
                 yield _candidate_rows(0, a=pairs[0], b=pairs[1], meta=times)
             keep = length > SHORT_LIST
             if keep.any():
@@ -196,14 +199,14 @@ def _pairs_of_lists(threshold: int):
 
 
 def _pairs_across(threshold: int, block: int = 2048):
-    """Pairs of long lists whose classes lie in different components; blocks are skipped by size and position."""
+    """Pairs of long lists in different components and of different hubs; blocks are skipped by size and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, meta, component in _runs(batches, ["token", "a", "meta", "component"]):
+        for token, cls, meta, component, hub in _runs(batches, ["token", "a", "meta", "component", "hub"]):
             edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 order = lo + np.argsort(meta[lo:hi], kind="stable")  # by size, then position
-                c, m, g = cls[order], meta[order], component[order]
+                c, m, g, h = cls[order], meta[order], component[order], hub[order]
                 for i in range(0, len(c), block):
                     for j in range(i, len(c), block):
                         left, right = slice(i, i + block), slice(j, j + block)
@@ -212,7 +215,7 @@ def _pairs_across(threshold: int, block: int = 2048):
                         most = ((m[left] >> 32) - (m[left] & 0xFFFFFFFF)).max()
                         if most < least_overlap(m[left][0] >> 32, m[right][0] >> 32, threshold):
                             continue
-                        x, y = np.nonzero((g[left][:, None] != g[right][None, :]) & _possible(m[left][:, None], m[right][None, :], threshold))
+                        x, y = np.nonzero((g[left][:, None] != g[right][None, :]) & (h[left][:, None] != h[right][None, :]) & _possible(m[left][:, None], m[right][None, :], threshold))
                         x, y = x + i, y + j
                         x, y = x[x < y], y[x < y]
                         if len(x):
@@ -222,7 +225,11 @@ def _pairs_across(threshold: int, block: int = 2048):
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``a, b`` that link.  The sets of all partners of a class meet its own, which each part of them gets."""
+    """``a, b, linked, n, base, lost, gained`` of pairs ``a, b``.
+
+    The sets of all partners of a class meet its own, which each part of them gets.  Similar sets (half of the union shared)
+    come with their difference: the places of a's set that b lacks, and what b has besides; n and base are their sizes.
+    """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_ROWS).cast("int").alias("parts"))
     sent = pairs.join(parts, "a").select(F.col("b").alias("cls"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side")).alias("to"))
     own = parts.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("cls", F.struct(F.col("cls").alias("a"), "part", F.lit(0).alias("side")).alias("to"))
@@ -244,26 +251,119 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: in
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, pivot = None, np.zeros(0, np.uint64)
         for batch in batches:
-            found = []
+            out: list[list] = [[] for _ in range(7)]
             for a, side, c, tokens in zip(*(batch.column(n).to_pylist() for n in ("a", "side", "cls", "tokens")), strict=True):
                 s = np.frombuffer(tokens, np.uint64)
                 if side == 0:
                     name, pivot = a, s
                 elif name == a:
-                    both = len(np.intersect1d(pivot, s, assume_unique=True))
-                    if 100 * both >= threshold * (len(pivot) + len(s) - both):
-                        found.append((a, c))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+                    at = np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
+                    shared = pivot[at] == s
+                    both = int(shared.sum())
+                    union = len(pivot) + len(s) - both
+                    lost = gained = None
+                    if 2 * both >= union:
+                        kept = np.zeros(len(pivot), bool)
+                        kept[at[shared]] = True
+                        lost, gained = np.flatnonzero(~kept).astype(np.int32).tobytes(), s[~shared].tobytes()
+                    for column, value in zip(out, (a, c, 100 * both >= threshold * union, len(s), len(pivot), lost, gained), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["a", "b", "linked", "n", "base", "lost", "gained"])
 
     met = rows.mapInArrow(sets, "a long, part int, side int, cls long, tokens binary").repartition("a", "part").sortWithinPartitions("a", "part", "side")
-    return met.mapInArrow(check, "u long, v long")
+    return met.mapInArrow(check, "a long, b long, linked boolean, n long, base long, lost binary, gained binary")
+
+
+def _links(verified: DataFrame) -> DataFrame:
+    return verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _best_partners(pairs: DataFrame) -> DataFrame:
+    """``a, b``: for each class b the partner a that most index lists name as a hub, among those it met often."""
+    both = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), "met").unionByName(pairs.select("b", "a", "met"))
+    weight = both.groupBy("a").agg(F.sum("met").alias("weight"))
+    often = 2 * F.col("met") >= F.max("met").over(W.partitionBy("b"))
+    place = F.row_number().over(W.partitionBy("b").orderBy(F.desc("often"), F.desc("weight"), F.desc("met"), "a"))
+    best = both.withColumn("often", often).join(weight, "a").withColumn("_place", place).where("_place = 1").select("a", "b")
+    return best.dropDuplicates(["b"]).withColumn("_low", F.least("a", "b")).withColumn("_high", F.greatest("a", "b")).dropDuplicates(["_low", "_high"]).select("a", "b")
+
+
+def _around_hubs(verified: DataFrame, labels: DataFrame, threshold: int, rows: int = 4000) -> DataFrame:
+    """Links between sets that were compared with the same hub, from their differences to it: ``u, v``.
+
+    Of a hub's sets those outside its component meet all others.  The intersection of two sets is what the hub has and
+    neither lacks, and what both have besides.  Links inside what is connected already are not looked for, so there
+    are fewer links than sets.  The others of a large hub are dealt over parts that each get those outside.
+    """
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
+    sets = verified.where("lost is not null").select("a", "b", "n", "base", "lost", "gained")
+    sets = sets.join(of("b", "_cb"), "b", "left").join(of("a", "_ca"), "a", "left").withColumn("component", F.coalesce("_cb", "b")).withColumn("outside", F.col("component") != F.coalesce("_ca", "a"))
+    counts = sets.groupBy("a").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"), F.max("outside").alias("some")).where("some").select("a", "parts")
+    dealt = sets.join(counts, "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    parts = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    dealt = dealt.withColumn("part", F.explode(parts)).select("a", "part", "b", "n", "base", "component", "outside", "lost", "gained")
+
+    def decide(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        base = group[0][2]
+        names, sizes = np.array([g[0] for g in group]), np.array([g[1] for g in group])
+        lost = [np.frombuffer(g[5], np.int32) for g in group]
+        gained = [np.frombuffer(g[6], np.uint64) for g in group]
+        root = {c: c for c in {g[3] for g in group}}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def matrix(lists: list[np.ndarray], width: int) -> np.ndarray:
+            m = np.zeros((len(lists), width), np.float32)
+            m[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists) if lists else []] = 1
+            return m
+
+        outside = [i for i, g in enumerate(group) if g[4]]
+        for i in range(0, len(outside), 128):
+            x = outside[i : i + 128]
+            lost_x = matrix([lost[k] for k in x], base)
+            words = np.unique(np.concatenate([gained[k] for k in x]))
+            gain_x = matrix([np.searchsorted(words, gained[k]) for k in x], len(words))
+            for j in range(0, len(group), 1024):
+                y = range(j, min(j + 1024, len(group)))
+                missing = np.array([len(lost[k]) for k in x])[:, None] + np.array([len(lost[k]) for k in y])[None, :] - lost_x @ matrix([lost[k] for k in y], base).T
+                places = [np.searchsorted(words, gained[k]) for k in y]
+                known = [p[(p < len(words)) & (words[np.minimum(p, len(words) - 1)] == gained[k])] if len(words) else p[:0] for p, k in zip(places, y, strict=True)]
+                both = base - missing + gain_x @ matrix(known, len(words)).T
+                linked = 100 * both >= threshold * (sizes[x][:, None] + sizes[j : j + len(y)][None, :] - both)
+                for p, q in zip(*np.nonzero(linked), strict=True):
+                    u, v = top(group[x[p]][3]), top(group[j + q][3])
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        yield int(names[x[p]]), int(names[j + q])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for batch in batches:
+            found = []
+            for a, part, *row in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "n", "base", "component", "outside", "lost", "gained")), strict=True):
+                if (a, part) != at:
+                    found += decide(group) if group else []
+                    at, group = (a, part), []
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+        found = list(decide(group)) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "u long, v long")
+
+
+def _undecided(pairs: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The pairs that are neither in one component nor compared with the same hub."""
 
+    def of(c: str) -> DataFrame:
+        return labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")).join(hubs.select(F.col("node").alias(c), F.col("hub").alias(f"_h{c}")), c, "full")
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose classes are not in one component."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
+    return both.where((F.coalesce("_a", "a") != F.coalesce("_b", "b")) & (F.coalesce("_ha", "a") != F.coalesce("_hb", "b"))).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
@@ -289,17 +389,21 @@ def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
     candidates = lists.mapInArrow(_pairs_of_lists(threshold), _CANDIDATE).checkpoint()
     pairs = candidates.where("kind = 0").groupBy("a", "b").agg(F.sum("meta").alias("met"))
 
-    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("met"), "a"))
-    first = pairs.withColumn("_best", best).where("_best = 1").select("a", "b").checkpoint()
-    links = _verify(docs, classes, first, threshold).checkpoint()
+    first = _best_partners(pairs).checkpoint()
+    verified = _verify(docs, classes, first, threshold).checkpoint()
+    links = _links(verified)
+    links = links.unionByName(_around_hubs(verified, components(links), threshold)).checkpoint()
     labels = components(links)
+    hubs = verified.where("lost is not null").select(F.col("b").alias("node"), F.col("a").alias("hub")).dropDuplicates(["node"])
 
-    long = candidates.where("kind = 1").select("token", "a", "meta").join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = long.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("token")
+    long = candidates.where("kind = 1").select("token", "a", "meta").join(labels.select(F.col("node").alias("a"), "component"), "a", "left").join(hubs.select(F.col("node").alias("a"), "hub"), "a", "left")
+    long = long.withColumn("component", F.coalesce("component", "a")).withColumn("hub", F.coalesce("hub", "a"))
+    mixed = long.groupBy("token").agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in ("component", "hub") for f in (F.min, F.max))).where("_min_component <> _max_component and _min_hub <> _max_hub").select("token")
     met = long.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token")
     more = met.mapInArrow(_pairs_across(threshold), _CANDIDATE).select("a", "b")
-    rest = _across(pairs.select("a", "b").unionByName(more).distinct(), labels).join(first, ["a", "b"], "left_anti").select("a", "b").checkpoint()
-    found = _verify(docs, classes, rest, threshold).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _undecided(pairs.select("a", "b").unionByName(more).distinct(), labels, hubs).join(done, ["a", "b"], "left_anti").checkpoint()
+    found = _links(_verify(docs, classes, rest, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
     labels = components(found)
 
     tagged = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
