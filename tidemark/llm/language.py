@@ -134,17 +134,18 @@ def detect_language(docs: DataFrame, model: LanguageModel, *, keep: list[str] |
 
     ``score`` is the cosine to the nearest centroid, 0 to 1.  ``rejected`` is true where that is below ``min_cosine``
     or ``lang_pred`` is ``und``, which stands for null texts, texts without a letter, and models without languages.
-    Every input row gives one row, repeated rows included; ties go to the first language in order of code points.
+    Every input row gives one row, repeated rows included; ties go to the first language in order of code points; input
+    columns that have the name of a new one are replaced.
     """
     idf, centroids, languages = model.idf, model.centroids, model.languages
-    kept = docs.select(*(keep if keep is not None else docs.columns), F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    out = T.StructType([f for f in kept.schema if f.name not in ("_text", "_letters")]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "rejected")), F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    out = T.StructType([f for f in kept.schema if f.name not in ("__text", "__letters")]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "_text", max_rows=_ROWS):
-            letters = part.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+        for part in tx.slices(batches, "__text", max_rows=_ROWS):
+            letters = part.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
             if languages:
-                near = _vectors(gram_counts(part.column("_text")), idf) @ centroids.T
+                near = _vectors(gram_counts(part.column("__text")), idf) @ centroids.T
                 best = near.argmax(1)
                 score = np.clip(near[np.arange(len(best)), best].astype(float), 0, 1)
             else:

@@ -60,9 +60,11 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repe
 
     A row for each input row.  ``taken`` counts the words the mix takes of it, repeats included, 0 to ``max_repeats`` times
     its size; ``position`` is the time of its first copy, null if nothing is taken.  Null or blank texts have size 0; null
-    is a source of its own; rows with equal identifiers follow each other in order of size.
+    is a source of its own; rows with equal identifiers follow each other in order of size.  Input columns that have the
+    name of a new one are replaced.
     """
-    rows = docs.withColumn("size", word_count("text")).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "position")]
+    rows = docs.select(F.struct(*kept).alias("_row"), "doc_id", "source", word_count("text").alias("size")).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_bucket", F.substring("_key", 1, _BUCKET_DIGITS))
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     earlier = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -78,7 +80,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repe
     share = F.least(F.lit(1.0), (before.cast("double") + F.col("size") / 2.0) / F.col("target"))
     begin, end = F.col("weight").cast("double"), F.lit(float(max(weights) + 1)) - F.col("weight")
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, due(share, begin, end)))
-    return rows.select(*docs.columns, "size", "source_size", "target", "taken", "position")
+    return rows.select("_row.*", "size", "source_size", "target", "taken", "position")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

@@ -195,8 +195,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, *, k: int = 5, tables: int =
     short = asked.join(full, "no", "left_anti")
     if not short.isEmpty():
         parts = max(1, -(-classes.count() // bucket_rows))
-        spread = short.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("key").cast("long"), "no", "vector", "ids")
-        scanned = _meet(spread, classes.withColumn("key", F.pmod(F.xxhash64("no"), F.lit(parts)).cast("long")).select("key", "no", "vector", "ids"), k + 1, bucket_rows)
+        block = lambda part: F.xxhash64(F.length("vector"), part)  # noqa: E731  vectors of one dimension only
+        spread = short.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(block(F.col("_part")).alias("key"), "no", "vector", "ids")
+        own = classes.select(block(F.pmod(F.xxhash64("no"), F.lit(parts)).cast("int")).alias("key"), "no", "vector", "ids")
+        scanned = _meet(spread, own, k + 1, bucket_rows)
         found = _best(found.select("no", "vec_id", "score").unionByName(scanned), k + 1)
     owners = asking.join(askers, "embedding").select(F.col("vec_id").alias("query_id"), "no")
     answers = owners.join(found.select("no", "vec_id", "score"), "no").where("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()

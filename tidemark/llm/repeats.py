@@ -94,8 +94,12 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents (all columns) with repeated spans cut from ``text``, and ``removed``: the original offsets cut."""
+    """The documents (all columns) with repeated spans cut from ``text``, and ``removed``: the original offsets cut.
+
+    Every input row gives one row; an input column ``removed`` is replaced.
+    """
     spans = _spans(docs, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    docs = docs.drop("removed")
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
     rows = rows.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
     kept = F.transform(
