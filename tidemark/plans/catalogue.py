@@ -16,6 +16,7 @@ from tidemark.operators import latest as L
 from tidemark.operators import merge as M
 from tidemark.operators import notify as N
 from tidemark.operators import scoring as S
+from tidemark.sources import payloads
 from tidemark.sources import tables as T
 from tidemark.streaming import ingest
 
@@ -569,3 +570,116 @@ def mined_keys(spark, d):
 def stream_hourly(spark, d):
     rows = ingest.run_to_table(ingest.hourly(ingest.events_stream(spark, d).where("event_type = 'purchase'")), "complete")
     return rows.select(seconds("hour").alias("hour"), "n", "low")
+
+
+# --- payloads, labels and further columns ----------------------------------------------------------------------------
+
+
+def _chart_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chart pages as JSON, 50 names each, from the customers."""
+    rows = T.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Artist "), F.col("c_nationkey") * 1000 + F.col("c_custkey") % 97).alias("name"))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "name"))), lambda x: F.struct(x["name"].alias("name")))
+    pages = rows.groupBy((F.floor(F.col("c_custkey") / 50) + 1).cast("int").alias("page")).agg(names.alias("artist"))
+    return pages.select("page", F.to_json(F.struct(F.struct("artist").alias("artists"))).alias("payload"))
+
+
+_CHART_NAMES = "SELECT 'Artist ' || CAST(c_nationkey * 1000 + c_custkey % 97 AS VARCHAR) AS name, CAST(min(c_custkey) + 1 AS BIGINT) AS rank FROM customer GROUP BY 1"
+
+
+@query("chart_names", _CHART_NAMES)
+def chart_names(spark, d):
+    return payloads.chart_names(_chart_pages(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("chart_slice", f"SELECT name FROM ({_CHART_NAMES}) WHERE rank BETWEEN 26 AND 75")
+def chart_slice(spark, d):
+    return payloads.chart_slice(payloads.chart_names(_chart_pages(spark, d)), 26, 75).select("name")
+
+
+@query("chart_slugs", f"SELECT DISTINCT {slug('name')} AS slug FROM ({_CHART_NAMES})")
+def chart_slugs(spark, d):
+    return payloads.chart_slugs(_chart_pages(spark, d))
+
+
+@query("genre_tags", """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE array_to_string(string_split(p_name, ' ') || [lower(p_type)], ',') END AS tags FROM part""")
+def genre_tags(spark, d):
+    labels = F.concat(F.array(F.lit("Seen Live"), F.lit("x")), F.split("p_name", " "), F.array("p_type", F.lit("late")))
+    body = F.to_json(F.struct(F.when(F.col("p_partkey") % 5 == 0, 6).alias("error"), F.struct(F.transform(labels, lambda t: F.struct(t.alias("name"))).alias("tag")).alias("toptags")))
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(payloads.genre_tags(body), ",").alias("tags"))
+
+
+@query("price_texts", "SELECT event_id, value AS price FROM events")
+def price_texts(spark, d):
+    return T.table(spark, d, "events").select("event_id", X.parse_price(F.concat(F.lit("R$ "), X.brl(F.col("value")), F.lit(" à vista"))).alias("price"))
+
+
+@query("review_texts", "SELECT event_id, CASE WHEN CAST(user_id * 37 AS INTEGER) > 0 THEN CAST(user_id * 37 AS INTEGER) END AS reviews, CASE WHEN user_id % 60 <= 50 THEN (user_id % 60) / 10.0 END AS rating FROM events")
+def review_texts(spark, d):
+    number = F.translate(F.format_number(F.col("user_id") * 37, 0), ",", ".")
+    stars = F.concat(F.translate(((F.col("user_id") % 60) / 10).cast("string"), ".", ","), F.lit(" de 5 estrelas"))
+    return T.table(spark, d, "events").select("event_id", X.parse_review_count(F.concat(number, F.lit(" classificações"))).alias("reviews"), X.parse_rating(stars).alias("rating"))
+
+
+@query("artist_names", """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name[1]) || p_name[2:] ELSE p_name END AS name FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS p_name FROM part)""")
+def artist_names(spark, d):
+    words = F.split("p_name", " ")
+    inverted = F.concat(F.upper(F.get(words, 1)), F.lit(", "), F.upper(F.get(words, 0)))
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.normalize_artist(F.when(F.col("p_partkey") % 2 == 0, inverted).otherwise(F.upper("p_name"))).alias("name"))
+
+
+@query("local_labels", f"""SELECT event_id, CASE WHEN CAST(ts - INTERVAL 3 HOUR AS DATE) = CAST({DENSE_AS_OF} - INTERVAL 27 HOUR AS DATE) THEN 'hoje' ELSE strftime(ts - INTERVAL 3 HOUR, '%d/%m') END AS label,
+  hour(ts - INTERVAL 3 HOUR) >= 8 AND hour(ts - INTERVAL 3 HOUR) < 22 AS may_send FROM events""")
+def local_labels(spark, d):
+    ts, now = F.col("ts").cast("timestamp"), T.at("2024-01-30 00:00:00")
+    return T.table(spark, d, "events").select("event_id", P.day_label(ts, now).alias("label"), N.run_gates(ts, F.lit(None).cast("timestamp"))[1].alias("may_send"))
+
+
+@query("discount_forms", f"""{BASE}, {_LISTED} SELECT id, CASE WHEN COALESCE(avg_30d, 0) > 0 THEN (avg_30d - price) / avg_30d ELSE 0.0 END AS known, (COALESCE(avg_30d, price) - price) / NULLIF(COALESCE(avg_30d, price), 0) AS ratio,
+  floor((avg_30d - price) / NULLIF(avg_30d, 0) * 100 * 100 + 0.5) / 100 AS priority FROM listed""")
+def discount_forms(spark, d):
+    rows = C.with_latest(C.listed(T.products(spark, d)), T.observations(spark, d), floor=30)
+    avg, price = F.col("avg_30d"), F.col("price")
+    return rows.select("id", P.discount_known(avg, price).alias("known"), P.discount_or_null(avg, price).alias("ratio"), P.priority(avg, price).alias("priority"))
+
+
+@query("sparklines", f"""WITH {OBS}, r AS (SELECT product_id, list(CAST(price AS DOUBLE) ORDER BY captured_at, obs_id) AS v FROM (SELECT * FROM obs WHERE captured_at >= {LONG_AS_OF} - INTERVAL 365 DAY AND price >= 30
+  QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY captured_at DESC, obs_id DESC, price DESC) <= 10) GROUP BY product_id)
+  SELECT product_id, v[len(v)] <= v[1] AS down, CASE WHEN len(v) >= 2 THEN 18 - (v[len(v)] - list_min(v)) / greatest(list_max(v) - list_min(v), list_max(v) * 0.1) * 18 END AS last_y, list_min(v) * 0.8 AS axis_low, list_max(v) * 1.1 AS axis_high FROM r""")
+def sparklines(spark, d):
+    rows = L.recent_prices(T.observations(spark, d), as_of=NOW, days=DAYS, floor=30)
+    points, axis = P.sparkline_points(F.col("recent")), P.chart_scale(F.col("recent"))
+    return rows.select("product_id", P.trend_down(F.col("recent")).alias("down"), F.element_at(points, -1)["y"].alias("last_y"), axis["low"].alias("axis_low"), axis["high"].alias("axis_high"))
+
+
+@query("tag_update", """SELECT p_partkey AS id, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'new, ' || lower(p_brand) ELSE p_type END AS tags FROM part""")
+def tag_update(spark, d):
+    part = T.table(spark, d, "part")
+    new = part.where("p_brand in ('Brand#1', 'Brand#2')").selectExpr("p_brand artist", "concat('new, ', lower(p_brand)) tags").distinct()
+    return M.set_tags(part.selectExpr("p_partkey id", "p_brand artist", "p_type tags"), new).select("id", "tags")
+
+
+@query("identity_update", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) ELSE p_name END AS title FROM part")
+def identity_update(spark, d):
+    part = T.table(spark, d, "part").selectExpr("p_partkey id", "p_name title", "p_size size")
+    return M.update_identity(part, part.where("id % 4 = 0").selectExpr("id", "upper(title) title").unionByName(part.selectExpr("-1 - id as id", "title"))).select("id", "title")
+
+
+@query("duplicate_slugs", f"SELECT {slug('p_name')} AS slug, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def duplicate_slugs(spark, d):
+    return M.duplicate_slugs(T.table(spark, d, "part").select(X.slug(F.col("p_name")).alias("slug")))
+
+
+@query("untagged_artists", "SELECT DISTINCT p_brand AS artist FROM part WHERE p_partkey % 9 = 0")
+def untagged_artists(spark, d):
+    return C.untagged_artists(T.table(spark, d, "part").selectExpr("p_brand artist", "case when p_partkey % 9 <> 0 then p_type end tags"))
+
+
+@query("product_json", None)
+def product_json(spark, d):
+    return C.product_json(C.with_latest(C.listed(T.products(spark, d)), T.observations(spark, d), floor=30))
+
+
+@query("home_first_image", f"{BASE}, {_LISTED} SELECT img_url FROM listed WHERE img_url IS NOT NULL ORDER BY discount DESC NULLS LAST, id LIMIT 1")
+def home_first_image(spark, d):
+    rows = C.with_latest(C.listed(T.products(spark, d)), T.observations(spark, d), floor=30)
+    return C.first_image(rows, *C.sort_columns("desconto"))
