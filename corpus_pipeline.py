@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.llm import decontaminate, jaccard, language, mixing, pii
 from tidemark.llm.session import shared_folder
@@ -25,9 +26,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest identifier of each component of similar ones."""
-    kept = jaccard.similar_documents(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """Keep the document with the smallest identifier of each component of similar ones.
+
+    Rows with one identifier are one document, of which one row stays; rows without identifier stay as they are.
+    """
+    kept = jaccard.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")))
+    return named.withColumn("_place", place).where("_place = 1").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .session import shared_folder
+
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 _BUCKET_DIGITS = 3
+#: The plan of the sources has a number for each bucket; up to so many it is broadcast, beyond it is joined by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def word_count(text: str) -> Column:
@@ -66,13 +70,18 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repe
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "position")]
     rows = docs.select(F.struct(*kept).alias("_row"), "doc_id", "source", word_count("text").alias("size")).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_bucket", F.substring("_key", 1, _BUCKET_DIGITS))
-    buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+    shared_folder(docs.sparkSession)
+    buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")).checkpoint()
     earlier = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = buckets.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_base"))
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights=weights, max_repeats=max_repeats).withColumnRenamed("source", "_s2")
+    starts = buckets.withColumn("_base", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
+    starts = starts.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "_base"))).alias("_bases"))
+    targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights=weights, max_repeats=max_repeats)
+    plan = targets.join(starts, targets["source"].eqNullSafe(starts["source"])).select(targets["source"].alias("_s"), "source_size", "weight", "target", "_bases")
+    if buckets.count() <= BROADCAST_BUCKETS:
+        plan = F.broadcast(plan)
     inner = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).join(targets, F.col("source").eqNullSafe(F.col("_s2")))
+    rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    rows = rows.withColumn("_base", F.element_at("_bases", F.col("_bucket")))
     before = F.col("_base") + F.col("_in")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(F.lit(0)).cast("long")
     left = F.floor(F.col("target")).cast("long") - whole * F.col("source_size")
