@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import textops as tx
+from .session import shared_folder
 
 MIN_WORDS = 30
 _ENDS = tx.byte_class((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
@@ -85,6 +86,8 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
     units = texts.mapInArrow(*_units(docs.schema["doc_id"].dataType.simpleString())).select("doc_id", "key", F.explode("units").alias("u")).select("doc_id", "key", "u.*")
     shared = units.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept")).where("n > 1").select("high", "low", "kept")
+    shared_folder(docs.sparkSession)
+    shared = shared.checkpoint()  # a table of its own, so that adaptive execution can split the hot keys of the join
     met = units.join(shared, ["high", "low"])
     late = met.where((F.col("again") == 1) | F.coalesce(F.col("doc_id") > F.col("kept"), F.col("kept").isNotNull())).select("doc_id", "key", "at", "start", "end", "words", "kept")
     once = late.repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "at"])
