@@ -6,7 +6,7 @@ link when ``100 * intersection >= threshold * union``.
 Candidates come from prefix filtering.  All shingles have one global order, rare ones first (by a count sketch of fixed
 size, then by hash; any order is correct, this one keeps index lists short).  Two linked sets share a shingle among the
 first ones of both, at positions that leave enough shingles behind it.  Index lists are the rows of one prefix shingle,
-met by a shuffle; pairs whose sizes or positions rule out a link are skipped there.
+met by a shuffle; pairs whose sizes rule out a link are skipped there, and so are those that meet in too few lists.
 
 Set relations skip the rest.  A short list gives all its pairs; a long list first gives the pairs with its hub only, the
 class in which the shingle stands foremost.  Each class is verified against its most promising partner, which yields its
@@ -161,7 +161,7 @@ def _candidate_rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _pairs_of_lists(threshold: int):
-    """Kind 0: a candidate pair, meta the number of times it was met.  Kind 1: a row of a long list."""
+    """Kind 0: a candidate pair, token both sizes, meta the number of lists it was met in.  Kind 1: a row of a long list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, cls, meta in _runs(batches, ["token", "cls", "meta"]):
@@ -179,7 +179,8 @@ def _pairs_of_lists(threshold: int):
                 left = short[short + d < begin[short] + length[short]]
                 if not len(left):
                     break
-                ok = left[_possible(meta[left], meta[left + d], threshold)]
+                n, m = meta[left] >> 32, meta[left + d] >> 32
+                ok = left[100 * np.minimum(n, m) >= threshold * np.maximum(n, m)]
                 one.append(ok)
                 two.append(ok + d)
             # the hub of a long list: where the token stands foremost, as in a text that others were edited from
@@ -189,8 +190,13 @@ def _pairs_of_lists(threshold: int):
             ok = long[_possible(meta[hub[long]], meta[long], threshold)]
             one, two = np.concatenate([*one, hub[ok]]), np.concatenate([*two, ok])
             if len(one):
-                pairs, times = np.unique(np.stack([np.minimum(cls[one], cls[two]), np.maximum(cls[one], cls[two])]), axis=1, return_counts=True)
-                yield _candidate_rows(0, a=pairs[0], b=pairs[1], meta=times)
+                turned = cls[one] > cls[two]
+                one, two = np.where(turned, two, one), np.where(turned, one, two)
+                order = np.lexsort((cls[two], cls[one]))
+                one, two = one[order], two[order]
+                first = np.flatnonzero(np.append(True, (cls[one][1:] != cls[one][:-1]) | (cls[two][1:] != cls[two][:-1])))
+                times, one, two = np.diff(np.append(first, len(one))), one[first], two[first]
+                yield _candidate_rows(0, token=(meta[one] >> 32 << 32) | meta[two] >> 32, a=cls[one], b=cls[two], meta=times)
             keep = length > SHORT_LIST
             if keep.any():
                 yield _candidate_rows(1, token=token[keep], a=cls[keep], meta=meta[keep])
@@ -278,6 +284,24 @@ def _links(verified: DataFrame) -> DataFrame:
     return verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _often_enough(candidates: DataFrame, threshold: int) -> DataFrame:
+    """``a, b, met``: the pairs that meet in enough lists to be able to link.
+
+    Linked sets of sizes n and m share at least least_overlap(n, m) shingles, hence so many of the first ones of both that
+    they meet in at least 1 + that - threshold * max(n, m) / 100 lists.  Short lists have counted all their pairs; in long
+    ones a pair may have met as often as the rarer of its classes stands in any.
+    """
+    long = candidates.where("kind = 1").groupBy("a").agg(F.count("*").alias("n"))
+    pairs = candidates.where("kind = 0").groupBy("a", "b").agg(F.sum("meta").alias("met"), F.max("token").alias("sizes"))
+    pairs = pairs.withColumn("n", F.shiftright("sizes", 32)).withColumn("m", F.col("sizes").bitwiseAND(F.lit(0xFFFFFFFF)))
+    up = lambda x, by: F.floor((x + by - 1) / by)
+    least = 1 + up(threshold * (F.col("n") + F.col("m")), 100 + threshold) - up(threshold * F.greatest("n", "m"), 100)
+    pairs = pairs.withColumn("short_of", least - F.col("met"))
+    for c in ("a", "b"):
+        pairs = pairs.join(long.select(F.col("a").alias(c), F.col("n").alias(f"_{c}")), c, "left")
+    return pairs.where(F.col("short_of") <= F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0)))).select("a", "b", "met")
+
+
 def _best_partners(pairs: DataFrame) -> DataFrame:
     """``a, b``: for each class b the partner a that most index lists name as a hub, among those it met often."""
     both = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), "met").unionByName(pairs.select("b", "a", "met"))
@@ -387,7 +411,7 @@ def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
     levels = rarity_levels(docs)
     lists = _postings(docs, levels, threshold).repartition("token").sortWithinPartitions("token", "cls")
     candidates = lists.mapInArrow(_pairs_of_lists(threshold), _CANDIDATE).checkpoint()
-    pairs = candidates.where("kind = 0").groupBy("a", "b").agg(F.sum("meta").alias("met"))
+    pairs = _often_enough(candidates, threshold).checkpoint()
 
     first = _best_partners(pairs).checkpoint()
     verified = _verify(docs, classes, first, threshold).checkpoint()
