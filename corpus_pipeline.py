@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.llm import decontaminate, jaccard, language, mixing, pii
-from tidemark.llm.session import shared_folder
+from tidemark.llm.session import few_or_shuffled, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,10 +30,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with one identifier are one document, of which one row stays; rows without identifier stay as they are.
     """
-    kept = jaccard.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    own = F.max(F.col("doc_id") == F.col("component_id"))
+    ids = jaccard.similar_documents(docs).where("doc_id is not null").groupBy("doc_id").agg(own.alias("stays"), F.count("*").alias("rows"))
+    # most documents stay and have one row: only the others are looked up
+    others = few_or_shuffled(ids.where("not stays or rows > 1"))
+    plain = docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+    repeated = docs.join(others.where("stays"), "doc_id", "left_semi")
     place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")))
-    return named.withColumn("_place", place).where("_place = 1").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    return plain.unionByName(repeated.withColumn("_place", place).where("_place = 1").select(COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

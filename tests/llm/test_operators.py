@@ -158,6 +158,17 @@ def test_similar_documents(spark, texts, short, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_sketches_bound_the_intersection():
+    random = np.random.default_rng(5)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (40, 50, 38), (40, 50, 3), (900, 1100, 880), (900, 1100, 0), (3000, 3000, 3000)):
+        pool = np.unique(random.integers(0, 1 << 63, n + m - both, dtype=np.uint64))
+        a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+        most = jaccard.most_shared(len(a), jaccard.sketch(a), len(b), jaccard.sketch(b))
+        assert most >= len(np.intersect1d(a, b))
+        if min(n, m) > 30 and both < 10:
+            assert most < jaccard.least_overlap(np.array([n]), np.array([m]), 75)[0]
+
+
 def test_similar_odd_rows(odd):
     rows = jaccard.similar_documents(odd).collect()
     assert len(rows) == len(ODD) and sum(r.component_id == 3 for r in rows) == 3 and jaccard.similar_documents(odd.where("1 = 0")).count() == 0

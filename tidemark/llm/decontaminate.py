@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .session import few_or_shuffled
 
 Q = 8
 BLOCK_CHARS = 4_000_000
@@ -221,7 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error: float = 0.1, blo
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, error: float = 0.1) -> DataFrame:
     """The documents that hold no item; rows without identifier are judged as one document."""
-    leaks = find_leaks(docs, benchmark, error=error).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = few_or_shuffled(find_leaks(docs, benchmark, error=error).select(F.col("doc_id").alias("_leak")).distinct())
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
 
 

@@ -12,7 +12,7 @@ Set relations skip the rest.  A short list gives all its pairs; a long list firs
 class in which the shingle stands foremost.  Each class is verified against its most promising partner, which yields its
 difference to that hub; links among the sets of one hub follow from those differences, without their sets.  What is left are
 pairs of different components and different hubs: of short lists, and of long lists with whole blocks skipped by size and
-position.  Pairs inside a component have their answer from those of the sets they resemble and are never expanded, so a
+position.  Of these only the pairs whose sketches (two to four bits a shingle) leave room for a link have their sets compared.  Pairs inside a component have their answer from those of the sets they resemble and are never expanded, so a
 group of thousands of near copies costs about as many verifications as it has members.
 
 Sets are rebuilt from the texts where they are verified; only prefixes, pairs and the sets of candidate pairs are shuffled.
@@ -64,6 +64,21 @@ def digest(s: np.ndarray) -> int:
     return int((tx.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of a set's hashes; a power of two of them, two to four for each hash."""
+    bits = np.zeros(max(64, 1 << (2 * len(s) - 1).bit_length()), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(n: int, a: bytes, m: int, b: bytes) -> int:
+    """An upper bound of the intersection of sets of sizes n and m with sketches a and b: bits that one lacks are not shared."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, width), 0) for z in (x, y))
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
@@ -390,6 +405,22 @@ def _undecided(pairs: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFram
     return both.where((F.coalesce("_a", "a") != F.coalesce("_b", "b")) & (F.coalesce("_ha", "a") != F.coalesce("_hb", "b"))).select("a", "b")
 
 
+def _plausible(rows: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``a, b`` whose sketches leave room for a link; the others share too little, and their sets stay where they are."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    known = rows.where("sketch is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.struct(F.first("n_shingles").alias("n"), F.first("sketch").alias("bits")).alias("s"))
+    both = pairs.join(known.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(c).to_pylist() for c in ("n", "x", "m", "y"))
+            least = least_overlap(np.array(n, np.int64), np.array(m, np.int64), threshold)
+            room = [most_shared(*four) >= at_least for *four, at_least in zip(n, x, m, y, least.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(room, pa.bool_()))
+
+    return both.select("a", "b", F.col("sa.n").alias("n"), F.col("sa.bits").alias("x"), F.col("sb.n").alias("m"), F.col("sb.bits").alias("y")).mapInArrow(run, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of columns ``doc_id, text``, a row for each input row.
 
@@ -402,11 +433,16 @@ def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
     docs = docs.select("doc_id", "text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes whose sketch this task has emitted
         for part in tx.slices(batches, "text"):
             sets = shingle_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
+            names, sketches = [digest(s) for s in sets], []
+            for s, c in zip(sets, names, strict=True):
+                sketches.append(sketch(s) if len(s) and c not in seen else None)
+                seen.add(c)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
 
-    rows = docs.mapInArrow(members, f"doc_id {kind}, n_shingles long, cls long").checkpoint()
+    rows = docs.mapInArrow(members, f"doc_id {kind}, n_shingles long, cls long, sketch binary").checkpoint()
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"))
     levels = rarity_levels(docs)
     lists = _postings(docs, levels, threshold).repartition("token").sortWithinPartitions("token", "cls")
@@ -427,6 +463,7 @@ def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
     more = met.mapInArrow(_pairs_across(threshold), _CANDIDATE).select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = _undecided(pairs.select("a", "b").unionByName(more).distinct(), labels, hubs).join(done, ["a", "b"], "left_anti").checkpoint()
+    rest = _plausible(rows, rest, threshold).checkpoint()
     found = _links(_verify(docs, classes, rest, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
     labels = components(found)
 

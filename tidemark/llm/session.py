@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Up to so many identifiers (some tens of MB in a task) are broadcast, more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,3 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return folder or context.getCheckpointDir()
+
+
+def few_or_shuffled(ids: DataFrame) -> DataFrame:
+    """A table of identifiers, written out and counted: broadcast in joins if it is small, so that texts need not move."""
+    shared_folder(ids.sparkSession)
+    ids = ids.checkpoint()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
