@@ -26,15 +26,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the smaller end of its links or the larger end of one: then the smaller ends are the answer."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").count() == 0
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component`` (the smallest node) of every node of links ``u, v`` that is not itself the smallest."""
     shared_folder(links.sparkSession)
-    edges = links.where("u <> v").select("u", "v").distinct().checkpoint()
-    before = None
+    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state[0] == 0 or state == before:
+        if _only_stars(edges):
             break
-        before = state
         edges = _small_star(_large_star(edges)).checkpoint()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
