@@ -59,15 +59,15 @@ def due(share: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, share).otherwise((F.sqrt(start * start + (end * end - start * start) * share) - start) / (end - start))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Mix columns ``doc_id, source, text`` (others are kept): adds ``size, source_size, target, taken, position``.
+def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Mix columns ``doc_id, source, text``; to columns ``keep`` (default: all), which alone are shuffled, it adds ``size, source_size, target, taken, position``.
 
     A row for each input row.  ``taken`` counts the words the mix takes of it, repeats included, 0 to ``max_repeats`` times
     its size; ``position`` is the time of its first copy, null if nothing is taken.  Null or blank texts have size 0; null
     is a source of its own; rows with equal identifiers follow each other in order of size.  Input columns that have the
     name of a new one are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "position")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "taken", "position")]
     rows = docs.select(F.struct(*kept).alias("_row"), "doc_id", "source", word_count("text").alias("size")).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_bucket", F.substring("_key", 1, _BUCKET_DIGITS))
     shared_folder(docs.sparkSession)
@@ -99,7 +99,7 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken, position`` of every document, in training order."""
-    mixed = mix_sources(docs.select("doc_id", "source", "text"))
+    mixed = mix_sources(docs.select("doc_id", "source", "text"), keep=["doc_id"])
     return training_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
