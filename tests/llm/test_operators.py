@@ -271,6 +271,19 @@ def test_leak_offsets_and_odd_rows(spark, odd):
     assert sorted((r.doc_id or 0) for r in left) == [0, 1, 2, 4, 5, 6]
 
 
+def test_leaks_at_the_start_with_letters_lost(spark):
+    rnd = random.Random(4)
+    item = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9))) for _ in range(35))
+    words = item.split()
+    cut = [item[1:], item[6:], item[:40] + item[46:], " ".join(words[1:]), " ".join(words[:1] + words[2:]), item[3:-3], item[:-6], item[:100] + item[112:]]
+    rows = [(k, before + t + after) for k, (t, before, after) in enumerate((t, b, a) for t in cut for b in ("", "und ") for a in ("", " xyz"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), bench).collect()}
+    for k, text in rows:
+        assert found[k].edits == plain_distance(item, text)
+        assert plain_distance(item, text[found[k].start : found[k].end]) == found[k].edits
+
+
 # --- repeats ----------------------------------------------------------------------------------------------------------
 
 

@@ -188,11 +188,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error: float = 0.1, blo
                 for at_once in range(0, len(regions), 256):
                     some = regions[at_once : at_once + 256]
                     widths = np.array([2 * (int(block.budgets[i]) + 1) for _, i, _ in some])
-                    lefts = [max(int(offsets[d]), low) for d, _, low in some]
-                    texts = [data[left : min(int(offsets[d + 1]), low + len(block.texts[i]) + width)].tobytes() for (d, i, low), left, width in zip(some, lefts, widths.tolist(), strict=True)]
-                    for (d, i, _), left, cost, a, b in zip(some, lefts, *(x.tolist() for x in banded_distances([block.texts[i] for _, i, _ in some], texts, widths)), strict=True):
+                    # where the band begins before the document, bytes that match nothing keep its origin
+                    begins = [int(offsets[d]) for d, _, _ in some]
+                    texts = [bytes(max(begin - low, 0)) + data[max(begin, low) : min(int(offsets[d + 1]), low + len(block.texts[i]) + width)].tobytes() for (d, i, low), begin, width in zip(some, begins, widths.tolist(), strict=True)]
+                    for (d, i, low), begin, cost, a, b in zip(some, begins, *(x.tolist() for x in banded_distances([block.texts[i] for _, i, _ in some], texts, widths)), strict=True):
                         if cost <= block.budgets[i]:
-                            best[d, i] = min(best.get((d, i), (1 << 30, 0, 0)), (cost, left + a, left + b))
+                            best[d, i] = min(best.get((d, i), (1 << 30, 0, 0)), (cost, max(begin, low + a), low + b))
                 if best:
                     lead = np.cumsum((raw & 0xC0) != 0x80)
                     out = []
