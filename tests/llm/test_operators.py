@@ -1,9 +1,11 @@
 """Each operator against a plain version of the same contract, and on awkward rows."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -215,6 +217,26 @@ def test_secrets_in_layers():
     assert secrets.find_all("%25252525 QUFBQUFBQUFBQUFBQUFBQQ== thththththththththth") == []
 
 
+def test_secrets_in_every_place_and_depth():
+    plain = "password = hunter2hunter2"
+    run = base64.b64encode(plain.encode()).decode()
+    quoted = urllib.parse.quote(plain, safe="")
+    places = lambda text, *runs: {("layer_assign", m.start(), m.end()) for r in runs for m in re.finditer(re.escape(r), text)}
+    text = f"{run}\n{run} x {run}"
+    assert set(secrets.find_all(text)) == places(text, run) and len(places(text, run)) == 3
+    text = f"{quoted} and {quoted} or {run}"
+    assert set(secrets.find_all(text)) == places(text, quoted, run) and len(places(text, quoted, run)) == 3
+    raw = plain.encode()
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, gzip.compress):
+        raw = pack(raw)
+    members = gzip.compress(b"nothing here. ") + gzip.compress(plain.encode())
+    for data in (raw, members):
+        assert [k for k, _, _ in secrets.find_all(base64.b64encode(data).decode())] == ["layer_assign"]
+    bomb = base64.b64encode(gzip.compress(f"{plain} ".encode() + b"a " * 5000)).decode()
+    assert {k for k, _, _ in secrets.find_all(bomb, 1000)} == {"layer_assign", "oversize"} and {k for k, _, _ in secrets.find_all(bomb)} == {"layer_assign"}
+    assert [k for k, _, _ in secrets.find_all(base64.b64encode(gzip.compress(b"\x00" * 5000)).decode(), 1000)] == ["oversize"]
+
+
 def test_secrets_odd_rows(odd):
     assert secrets.secrets_report(odd).count() == len(ODD) and secrets.secrets_report(odd.where("1 = 0")).count() == 0
     assert {r.base_sha256 for r in secrets.secrets_report(odd).collect()} == {hashlib.sha256(b"").hexdigest()}

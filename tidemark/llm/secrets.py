@@ -2,8 +2,9 @@
 
 The text itself is the first layer.  A layer is scanned with all patterns; then every encoded run in it (URL escapes, Unicode
 escapes, base64, and compressed bytes inside base64) is unwrapped into a layer of its own, until no layer gives a new one.
-A layer whose content was seen before is not unwrapped again, so cycles end.  Each layer keeps a map of its characters to
-those of the text, so spans found in it are reported at the place of the encoded run.
+Each layer keeps a map of its characters to those of the text, so spans found in it are reported at the place of the
+encoded run.  A layer with content and map seen before is not unwrapped again, so cycles end, and equal runs at other places
+are reported there.  All of a base64 run stands for one place, so what is inside is found once for each content.
 
 The operator is a map over rows: no shuffle, memory for one slice of texts.
 """
@@ -13,6 +14,8 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import lzma
 import re
 import zlib
@@ -29,7 +32,9 @@ from . import textops as tx
 BASE = ("assign", "access", "hex")
 #: Kinds that only the method has: well-known key formats, and the base kinds inside decoded layers.
 EXTRA = ("pem", "github", "slack", "jwt")
-ORDER = {kind: i for i, kind in enumerate([*BASE, *EXTRA, *(f"layer_{k}" for k in (*BASE, *EXTRA))])}
+#: A compressed run that holds more than the limit: only what is inside the limit was scanned.
+OVERSIZE = "oversize"
+ORDER = {kind: i for i, kind in enumerate([*BASE, *EXTRA, *(f"layer_{k}" for k in (*BASE, *EXTRA)), OVERSIZE])}
 
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -116,45 +121,85 @@ def _unwrap_unicode(layer: Layer) -> Iterator[Layer]:
             yield _part(layer, [(chr(int(m[1] or m[2], 16)) if m[1] or m[2] else m[0], run.start() + m.start(), run.start() + m.end()) for m in _UNICODE_PART.finditer(run[0])])
 
 
-def _inflate(raw: bytes, limit: int) -> bytes:
-    """The bytes, or what they hold if they are compressed (at most ``limit`` bytes of it)."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            return zlib.decompressobj(47).decompress(raw, limit)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, limit)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, max_length=limit)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        pass
-    return raw
-
-
-def _unwrap_base64(layer: Layer, limit: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
+def _decompressor(raw: bytes):
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflate(raw: bytes, limit: int) -> tuple[bytes, bool]:
+    """What the bytes hold when they are no longer compressed (at most ``limit`` bytes of a layer), and whether there was more."""
+    seen, more = set(), False
+    while (digest := hashlib.sha256(raw).digest()) not in seen:
+        seen.add(digest)
+        out, rest = bytearray(), raw
+        while len(out) <= limit and (unpack := _decompressor(rest)):  # members that follow one another
+            try:
+                out += unpack.decompress(rest, limit + 1 - len(out))
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                break
+            rest = unpack.unused_data
+        if not out:
+            break
+        more |= len(out) > limit
+        raw = bytes(out[:limit])
+    return raw, more
+
+
+def _base64_runs(text: str, limit: int) -> Iterator[tuple[str, int, int, bool]]:
+    """The text inside each base64 run (may be empty), the run's start and end, and whether it holds more than the limit."""
+    for m in _BASE64.finditer(text):
         body = m[0].rstrip("=")
         if len(body) % 4 == 1 or (body.isalpha() and (body.islower() or body.istitle() or body.isupper())):
             continue
+        more = False
         try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-            text = _inflate(raw, limit).decode("utf-8")
+            raw, more = _inflate(base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True), limit)
+            inner = codecs.getincrementaldecoder("utf-8")().decode(raw, not more)  # a character cut by the limit is left out
         except (binascii.Error, UnicodeDecodeError):
-            continue
-        if text and sum(c.isprintable() or c in "\t\r\n" for c in text) == len(text):
-            yield _part(layer, [(text, *m.span())])
+            inner = ""
+        if not all(c.isprintable() or c in "\t\r\n" for c in inner):
+            inner = ""
+        if inner or more:
+            yield inner, *m.span(), more
+
+
+def _inside(text: str, limit: int) -> set[str]:
+    """The kinds in a layer that stands for one place, and in all layers inside it."""
+    kinds, seen, todo = set(), {text}, deque([Layer(text)])
+    while todo:
+        layer = todo.popleft()
+        kinds.update("layer_" + kind for kind, _, _ in scan(layer.text))
+        inner = [x.text for x in (*_unwrap_url(layer), *_unwrap_unicode(layer))]
+        for unwrapped, _, _, more in _base64_runs(layer.text, limit):
+            inner.append(unwrapped)
+            if more:
+                kinds.add(OVERSIZE)
+        for unwrapped in inner:
+            if unwrapped and unwrapped not in seen:
+                seen.add(unwrapped)
+                todo.append(Layer(unwrapped))
+    return kinds
 
 
 def find_all(text: str, limit: int = 64 << 20) -> list[tuple[str, int, int]]:
     """Kind, start and end of all secrets, by start, kind as listed and end; those of decoded layers have a prefix."""
-    found, seen, todo = set(), {text}, deque([Layer(text)])
+    found, seen, known, todo = set(), set(), {}, deque([Layer(text)])
     while todo:
         layer = todo.popleft()
         prefix = "" if layer.starts is None else "layer_"
         found.update((prefix + kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
-        for unwrapped in (*_unwrap_url(layer), *_unwrap_unicode(layer), *_unwrap_base64(layer, limit)):
-            if unwrapped.text and unwrapped.text not in seen:
-                seen.add(unwrapped.text)
+        for unwrapped in (*_unwrap_url(layer), *_unwrap_unicode(layer)):
+            key = unwrapped.text, tuple(unwrapped.starts), tuple(unwrapped.ends)
+            if unwrapped.text and unwrapped.text != text and key not in seen:
+                seen.add(key)
                 todo.append(unwrapped)
+        for unwrapped, a, b, more in _base64_runs(layer.text, limit):
+            if unwrapped not in known:
+                known[unwrapped] = _inside(unwrapped, limit)
+            found.update((kind, *layer.span(a, b)) for kind in known[unwrapped] | ({OVERSIZE} if more else set()))
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
@@ -167,7 +212,7 @@ def find_secrets(docs: DataFrame, *, max_inflated: int = 64 << 20) -> DataFrame:
 
     Offsets count code points of the text, end exclusive; ``value`` is the text there (still encoded for kinds ``layer_*``).
     Null and empty texts have none.  ``max_inflated`` bounds what one compressed run may expand to, in bytes, against
-    decompression bombs; texts themselves are never cut.
+    decompression bombs: a run that holds more has the kind ``oversize``.  Texts themselves are never cut.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
