@@ -111,6 +111,20 @@ def test_licence_templates_survive_edits(spark):
     assert got[2].findings == [] and got[3].findings[0].label == "proprietary"
 
 
+def test_licence_short_notices_and_rows_of_them(spark):
+    notices = ["Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0.", "Text: CC BY-SA 3.0", "CC-BY-ND", "This work is licensed under CC BY-NC-SA 4.0", "a Creative Commons Attribution-ShareAlike license"]
+    rows = [(k, f"Some words before. {t} And behind.") for k, t in enumerate(notices)]
+    rows += [(100, "All rights reserved. " * 2), (101, "All rights reserved.\n" * 7), (102, "x. All rights reserved. All rights, reserved. y. All rights reserved"), (103, " ".join([licenses.TEMPLATES[0][1]] * 3))]
+    rows += [(200, "divided by 4 0 under the cc of a mail, by sa or by nc"), (201, "IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE")]
+    got = {r.doc_id: [(x.label, x.start, x.end) for x in r.findings] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({label for label, _, _ in got[k]} == {"cc"} for k in range(len(notices)))
+    assert got[100] == [("proprietary", 3 * i, 3 * i + 3) for i in range(2)] and got[101] == [("proprietary", 3 * i, 3 * i + 3) for i in range(7)]
+    assert got[102] == [("proprietary", i, i + 3) for i in (1, 4, 8)]
+    size = len(licenses.TEMPLATES[0][1].split())
+    assert [x for x in got[103] if x[2] - x[1] == size] == [("mit", size * i, size * i + size) for i in range(3)]
+    assert got[200] == [] and [label for label, _, _ in got[201]] == ["mit"]
+
+
 def test_licence_odd_rows(odd):
     rows = licenses.license_report(odd).collect()
     assert len(rows) == len(ODD) and {r.n_words for r in rows if r.doc_id in (1, 2, 4)} == {0} and licenses.license_report(odd.where("1 = 0")).count() == 0

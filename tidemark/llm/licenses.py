@@ -2,8 +2,9 @@
 
 Every two consecutive words of a text form a gram; the hashes of all grams are joined with the grams of the template
 texts.  A hit at word ``p`` of the text and word ``t`` of a template votes for the diagonal ``p - t``.  Votes are counted
-for each document, template and diagonal; neighbouring diagonals (a few words inserted or left out) are merged; a merged
-band is a finding if it covers enough of the template and is not much longer than it.
+for each document, template and diagonal; neighbouring diagonals (a few words inserted or left out) are merged, unless they
+hit the same grams, for there the template begins anew; a merged band is a finding if it covers enough of the template and
+is not much longer than it.
 
 The join side with the templates is a constant of this module, so it is broadcast; votes are pre-aggregated before
 the shuffle.  The operator shuffles hits, never texts.
@@ -24,17 +25,33 @@ from . import textops as tx
 #: Phrases that count wherever their words stand consecutively, with their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Opening passages of well-known public licence texts and notices, with labels; at most 64 words each.
+#: Passages of well-known public licence texts and notices, with labels; at most 64 words each.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
     ("lgpl", "gnu lesser general public license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("cc", "this work is licensed under a creative commons attribution"),
+    ("cc", "creative commons attribution"),
+    ("cc", "licensed under cc by"),
+    ("cc", "cc by nc"),
+    ("cc", "cc by nd"),
+    ("cc", "cc by sa"),
     ("proprietary", "all rights reserved"),
 ]
 
@@ -85,7 +102,8 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = BASE_PHRASES, te
     )
     strong = F.col("base") & (F.bit_count("mask") == F.col("size")) | ~F.col("base") & (F.bit_count("mask") >= F.least(F.lit(2), F.col("size"))) | (F.col("template") < 0)
     order = W.partitionBy("doc_id", "digest", "template").orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.lit(-1_000_000)) > max_gap)
+    anew = F.col("mask").bitwiseAND(F.coalesce(F.lag("mask").over(order), F.lit(0))) != 0
+    apart = F.col("base") | anew | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.lit(-1_000_000)) > max_gap)
     bands = votes.where(strong).repartition("doc_id", "digest").withColumn("band", apart.cast("int")).withColumn("band", F.sum("band").over(order))
     merged = bands.groupBy("doc_id", "digest", "n_words", "template", "size", "label", "base", "band").agg(F.max("votes").alias("votes"), F.bit_or("mask").alias("mask"), F.min("low").alias("start"), F.max("high").alias("end"))
     cover = F.bit_count("mask") / F.when(F.col("size") > 0, F.col("size"))
