@@ -251,6 +251,58 @@ def test_secrets_in_every_place_and_depth():
     assert [k for k, _, _ in secrets.find_all(base64.b64encode(gzip.compress(b"\x00" * 5000)).decode(), 1000)] == ["oversize"]
 
 
+def plain_layers(text):
+    """Kinds of secrets in whatever one or two unwrappings of a whole text give."""
+    def once(t):
+        yield urllib.parse.unquote(t, encoding="latin-1")
+        yield re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), t)
+        try:
+            raw = base64.b64decode(re.sub(r"\s", "", t), validate=True)
+        except ValueError:
+            return
+        yield raw.decode("latin-1")
+        yield raw.decode("latin-1").replace("\0", "")
+        if raw[:2] == b"\x1f\x8b":
+            yield gzip.decompress(raw).decode("latin-1")
+
+    layers = set(once(text))
+    layers |= {u for t in layers for u in once(t)}
+    return {f"layer_{k}" for t in layers - {text} for k, _, _ in plain_secrets(t)}
+
+
+def test_secrets_in_random_nests():
+    rnd = random.Random(8)
+    wraps = [
+        lambda t: urllib.parse.quote(t, safe=""), lambda t: "".join(f"%{b:02X}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(t.encode("utf-16")).decode(), lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+        lambda t: "\n".join(re.findall(".{1,76}", base64.b64encode(t.encode()).decode())),
+    ]
+    plains = ["password = hunter2hunter2", "AKIA" + "ABCDEFGH01234567", "deadbeef" * 4, "x token: 'abcdef_012'", "nothing to see here at all"]
+    for _ in range(300):
+        text = rnd.choice(wraps)(rnd.choice(wraps)(rnd.choice(plains) + " " * rnd.randrange(3)))
+        got = {k for k, _, _ in secrets.find_all(text) if k.startswith("layer_")}
+        assert plain_layers(text) - {f"layer_{k}" for k, _, _ in plain_secrets(text)} <= got <= {"layer_assign", "layer_access", "layer_hex"}, text
+        moved = {(k, a - 8, b - 8) for k, a, b in secrets.find_all(f"Ünd so: {text} ende")}
+        assert moved == set(secrets.find_all(text)) and all(0 <= a < b <= len(text) for _, a, b in moved)
+
+
+def test_secrets_behind_paths_in_mail_and_in_long_nests():
+    plain, b64 = "password = hunter2hunter2", lambda b: base64.b64encode(b).decode()
+    for before in ("dir/", "https://h.example/a/", "a-b_c+", "x" * 15 + "/"):
+        for raw in (plain.encode(), gzip.compress(plain.encode()), "tief: é\u00a0".encode() + plain.encode(), plain.encode("utf-16")):
+            assert {k for k, _, _ in secrets.find_all(before + b64(raw))} == {"layer_assign"}
+    mail = "\n".join(re.findall(".{1,52}", b64(("lorem ipsum " * 3 + plain + " dolor" * 9).encode())))
+    assert secrets.find_all(f"m\n{mail}\n\nende") == [("layer_assign", 2, 2 + len(mail))]
+    import time
+
+    began = time.time()
+    assert secrets.find_all("%" + "25" * 50_000 + "74oken%3Dabcdefg")[-1] == ("layer_assign", 0, 100_016)
+    assert [x[0] for x in secrets.find_all("\\u0025" + "5Cu0025" * 15_000 + "41")] == []
+    assert time.time() - began < 4
+    long = gzip.compress(b"a b " * 6_000_000 + plain.encode() + b" c" * 100)  # the secret behind several windows
+    assert {k for k, _, _ in secrets.find_all(b64(long))} == {"layer_assign"}
+
+
 def test_secrets_odd_rows(odd):
     assert secrets.secrets_report(odd).count() == len(ODD) and secrets.secrets_report(odd.where("1 = 0")).count() == 0
     assert {r.base_sha256 for r in secrets.secrets_report(odd).collect()} == {hashlib.sha256(b"").hexdigest()}

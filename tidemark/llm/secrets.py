@@ -1,10 +1,17 @@
 """Secret scan with a recursive decoding worklist.
 
-The text itself is the first layer.  A layer is scanned with all patterns; then every encoded run in it (URL escapes, Unicode
-escapes, base64, and compressed bytes inside base64) is unwrapped into a layer of its own, until no layer gives a new one.
-Each layer keeps a map of its characters to those of the text, so spans found in it are reported at the place of the
-encoded run.  A layer with content and map seen before is not unwrapped again, so cycles end, and equal runs at other places
-are reported there.  All of a base64 run stands for one place, so what is inside is found once for each content.
+The text itself is the first layer.  A layer is scanned with all patterns, then what is encoded in it is unwrapped into
+layers of their own, and so on until nothing new comes out.  There are two kinds of unwrapping.
+
+URL and Unicode escapes are undone in place, all levels at once: an escape made of escapes (``%2541``) is rewritten until none
+is left, by a stack that sees each character once.  No pattern holds a ``%`` or a backslash, so what stands in a level in
+between stands in the last one too.  Two arrays map the characters of that layer to those of the text.
+
+A base64 run (one line, or lines of equal length as mail wraps them) stands for one place, the run.  It is decoded from each of
+its first four characters, since a path may stand before it; bytes are scanned as they are and without zero bytes (UTF-16).
+Compressed streams anywhere inside are inflated, level by level and member by member, and read in windows, so that the memory
+does not grow with what they hold.  A layer that was seen before in the same run is not unwrapped again, so cycles end; equal
+runs at other places are reported there.
 
 The operator is a map over rows: no shuffle, memory for one slice of texts.
 """
@@ -12,17 +19,13 @@ The operator is a map over rows: no shuffle, memory for one slice of texts.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import codecs
-import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ from . import textops as tx
 BASE = ("assign", "access", "hex")
 #: Kinds that only the method has: well-known key formats, and the base kinds inside decoded layers.
 EXTRA = ("pem", "github", "slack", "jwt")
-#: A compressed run that holds more than the limit: only what is inside the limit was scanned.
+#: A compressed run that holds more than the limit a caller gave: only what is inside the limit was scanned.
 OVERSIZE = "oversize"
 ORDER = {kind: i for i, kind in enumerate([*BASE, *EXTRA, *(f"layer_{k}" for k in (*BASE, *EXTRA)), OVERSIZE])}
 
@@ -41,28 +44,20 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
-_GITHUB = re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")
-_SLACK = re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")
-_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-
-_URL_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}")
-_URL_RUN = re.compile(r"(?:[A-Za-z0-9._~:/?#@!$&'()*+,;=\[\]-]|%[0-9A-Fa-f]{2})+")
-_URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%")
-_UNICODE_RUN = re.compile(r"(?:[!-\[\]-~]|\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}))+")
-_UNICODE_PART = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))|[^\\]|\\")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-
+_GITHUB = re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}", re.A)
+_SLACK = re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}", re.A)
+_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A)
 
-@dataclass
-class Layer:
-    """A decoded text; its character i stands for characters starts[i] to ends[i] of the whole text (None: identity)."""
-
-    text: str
-    starts: list[int] | None = None
-    ends: list[int] | None = None
-
-    def span(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
+_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: All that an escape, or an escape made of escapes, can consist of.
+_ZONE = re.compile(r"[%\\][%\\ux0-9A-Fa-f]{2,}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+_BLANKS = re.compile(rb"\x20{3,}")
+_TAIL = re.compile(rb"[A-Za-z0-9+/_.=%\\-]*\Z")
+#: Inflated bytes are read in windows; a token that a window cuts is read again with the next, up to so many bytes.
+WINDOW, CARRY = 8 << 20, 1 << 20
 
 
 def scan(text: str) -> Iterator[tuple[str, int, int]]:
@@ -78,128 +73,257 @@ def scan(text: str) -> Iterator[tuple[str, int, int]]:
             yield from ((kind, *m.span()) for m in pattern.finditer(text))
 
 
-def _part(layer: Layer, pieces: list[tuple[str, int, int]]) -> Layer:
-    """A layer of decoded pieces, each with the start and end in the layer above that it stands for."""
-    starts, ends, out = [], [], []
-    for piece, a, b in pieces:
-        a, b = layer.span(a, b)
-        starts += [a] * len(piece)
-        ends += [b] * len(piece)
-        out.append(piece)
-    return Layer("".join(out), starts, ends)
+def _hex(c: int) -> bool:
+    return 48 <= c <= 57 or 65 <= c <= 70 or 97 <= c <= 102
 
 
-def _unwrap_url(layer: Layer) -> Iterator[Layer]:
-    if "%" not in layer.text or not _URL_ESCAPE.search(layer.text):
-        return
-    for run in _URL_RUN.finditer(layer.text):
-        if "%" not in run[0]:
-            continue
-        pieces = []
-        for m in _URL_PART.finditer(run[0]):
-            a = run.start() + m.start()
-            if len(m[0]) > 2 and m[0][0] == "%":
-                raw = bytes.fromhex(m[0].replace("%", ""))
-                try:
-                    at = a
-                    for c in raw.decode("utf-8"):
-                        n = 3 * len(c.encode("utf-8"))
-                        pieces.append((c, at, at + n))
-                        at += n
-                except UnicodeDecodeError:
-                    pieces += [(chr(v), a + 3 * i, a + 3 * i + 3) for i, v in enumerate(raw)]
-            else:
-                pieces += [(c, a + i, a + i + 1) for i, c in enumerate(m[0])]
-        yield _part(layer, pieces)
-
-
-def _unwrap_unicode(layer: Layer) -> Iterator[Layer]:
-    if "\\u" not in layer.text and "\\x" not in layer.text:
-        return
-    for run in _UNICODE_RUN.finditer(layer.text):
-        if "\\" in run[0]:
-            yield _part(layer, [(chr(int(m[1] or m[2], 16)) if m[1] or m[2] else m[0], run.start() + m.start(), run.start() + m.end()) for m in _UNICODE_PART.finditer(run[0])])
-
+def _undo(zone: str, at: int) -> tuple[list[int], list[int], list[int]]:
+    """The code points that a zone stands for when no escape is left, and the start and end of what each stands for.
 
-def _decompressor(raw: bytes):
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+    Code points from 0x110080 on are raw bytes of ``%`` escapes until the end, when those that form UTF-8 become characters.
+    """
+    raw = 0x110000
+    codes, starts, ends = [], [], []
+    for i, c in enumerate(map(ord, zone), at):
+        codes.append(c)
+        starts.append(i)
+        ends.append(i + 1)
+        while _hex(codes[-1]) and len(codes) > 2 and _hex(codes[-2]):
+            mark = codes[-3]
+            if mark == 37:  # %
+                n, value = 3, int(chr(codes[-2]) + chr(codes[-1]), 16)
+                value += raw if value >= 128 else 0
+            elif len(codes) > 3 and mark == 120 and codes[-4] == 92:  # \x
+                n, value = 4, int(chr(codes[-2]) + chr(codes[-1]), 16)
+            elif len(codes) > 5 and codes[-6] == 92 and codes[-5] == 117 and _hex(codes[-4]) and _hex(codes[-3]):  # \u
+                n, value = 6, int("".join(map(chr, codes[-4:])), 16)
+                if 0xDC00 <= value < 0xE000 and len(codes) > 6 and 0xD800 <= codes[-7] < 0xDC00:
+                    n, value = 7, 0x10000 + ((codes[-7] - 0xD800) << 10) + value - 0xDC00
+            else:
+                break
+            end = ends[-1]
+            del codes[1 - n + len(codes) :], starts[1 - n + len(starts) :], ends[1 - n + len(ends) :]
+            codes[-1], ends[-1] = value, end
+    if not any(c >= raw for c in codes):
+        return codes, starts, ends
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    i = 0
+    while i < len(codes):
+        n, value = 1, codes[i] - raw if codes[i] >= raw else codes[i]
+        if codes[i] >= raw + 0xC2:
+            size = 2 if value < 0xE0 else 3 if value < 0xF0 else 4
+            body = bytes(c - raw for c in codes[i : i + size] if c >= raw)
+            try:
+                n, value = size, ord(body.decode("utf-8"))
+            except (UnicodeDecodeError, TypeError):
+                n = 1
+        for column, x in zip(out, (value, starts[i], ends[i + n - 1]), strict=True):
+            column.append(x)
+        i += n
+    return out
+
+
+def unescaped(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
+    """The text with all levels of URL and Unicode escapes undone, and the start and end of what each character stands for."""
+    if not _ESCAPE.search(text):
+        return None
+    pieces, starts, ends, done = [], [], [], 0
+    for m in _ZONE.finditer(text):
+        codes, a, b = _undo(m[0], m.start())
+        pieces += [text[done : m.start()], "".join(map(chr, codes))]
+        plain = np.arange(done, m.start(), dtype=np.int32)
+        starts += [plain, np.array(a, np.int32)]
+        ends += [plain + np.int32(1), np.array(b, np.int32)]
+        done = m.end()
+    rest = np.arange(done, len(text), dtype=np.int32)
+    return "".join([*pieces, text[done:]]), np.concatenate([*starts, rest]), np.concatenate([*ends, rest + np.int32(1)])
+
+
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
         return zlib.decompressobj(47)
-    if raw[:3] == b"BZh":
+    if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
-    return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\x00" else None
-
-
-def _inflate(raw: bytes, limit: int) -> tuple[bytes, bool]:
-    """What the bytes hold when they are no longer compressed (at most ``limit`` bytes of a layer), and whether there was more."""
-    seen, more = set(), False
-    while (digest := hashlib.sha256(raw).digest()) not in seen:
-        seen.add(digest)
-        out, rest = bytearray(), raw
-        while len(out) <= limit and (unpack := _decompressor(rest)):  # members that follow one another
-            try:
-                out += unpack.decompress(rest, limit + 1 - len(out))
-            except (zlib.error, OSError, EOFError, lzma.LZMAError):
-                break
-            rest = unpack.unused_data
-        if not out:
-            break
-        more |= len(out) > limit
-        raw = bytes(out[:limit])
-    return raw, more
+    return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _base64_runs(text: str, limit: int) -> Iterator[tuple[str, int, int, bool]]:
-    """The text inside each base64 run (may be empty), the run's start and end, and whether it holds more than the limit."""
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or (body.isalpha() and (body.islower() or body.istitle() or body.isupper())):
-            continue
-        more = False
+def _inflate(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """What a stream of bytes holds, member after member; nothing if it is not compressed.  A broken stream ends where it breaks."""
+    rest = next(stream, b"")
+    while len(rest) < 6 and (more := next(stream, b"")):
+        rest += more
+    while unpack := _decompressor(rest):
         try:
-            raw, more = _inflate(base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True), limit)
-            inner = codecs.getincrementaldecoder("utf-8")().decode(raw, not more)  # a character cut by the limit is left out
-        except (binascii.Error, UnicodeDecodeError):
-            inner = ""
-        if not all(c.isprintable() or c in "\t\r\n" for c in inner):
-            inner = ""
-        if inner or more:
-            yield inner, *m.span(), more
-
-
-def _inside(text: str, limit: int) -> set[str]:
-    """The kinds in a layer that stands for one place, and in all layers inside it."""
-    kinds, seen, todo = set(), {text}, deque([Layer(text)])
-    while todo:
-        layer = todo.popleft()
-        kinds.update("layer_" + kind for kind, _, _ in scan(layer.text))
-        inner = [x.text for x in (*_unwrap_url(layer), *_unwrap_unicode(layer))]
-        for unwrapped, _, _, more in _base64_runs(layer.text, limit):
-            inner.append(unwrapped)
-            if more:
-                kinds.add(OVERSIZE)
-        for unwrapped in inner:
-            if unwrapped and unwrapped not in seen:
-                seen.add(unwrapped)
-                todo.append(Layer(unwrapped))
+            while not unpack.eof:
+                if isinstance(unpack, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                    out = unpack.decompress(rest if unpack.needs_input else b"", 1 << 20)
+                    rest = b"" if unpack.needs_input else rest[:0]
+                    hungry = unpack.needs_input
+                else:
+                    out = unpack.decompress(rest, 1 << 20)
+                    rest = unpack.unconsumed_tail
+                    hungry = not rest and len(out) < 1 << 20
+                if out:
+                    yield out
+                if hungry and not unpack.eof and not (rest := next(stream, b"")):
+                    return
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            return
+        rest = unpack.unused_data
+        while len(rest) < 6 and (more := next(stream, b"")):
+            rest += more
+
+
+def _pieces(raw: bytes, at: int) -> Iterator[bytes]:
+    """Bytes from a place on, in pieces that grow, so that what is not a stream costs little."""
+    size = 512
+    while at < len(raw):
+        yield raw[at : at + size]
+        at += size
+        size = min(size * 4, 1 << 20)
+
+
+def _content(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """What a compressed stream holds when no level of compression is left."""
+    inner = _inflate(stream)
+    head = next(inner, b"")
+    while head and len(head) < 6 and (more := next(inner, b"")):
+        head += more
+
+    def again() -> Iterator[bytes]:
+        yield head
+        yield from inner
+
+    if not head:
+        return
+    if _STREAM.match(head):
+        deeper = _content(again())
+        first = next(deeper, b"")
+        if first:
+            yield first
+            yield from deeper
+            return
+    yield head
+    yield from inner
+
+
+def _windows(stream: Iterator[bytes], limit: int | None) -> Iterator[bytes | None]:
+    """A stream as layers to scan, each with the end of the one before; None where a limit ends it."""
+    held, size = b"", 0
+    for piece in stream:
+        size += len(piece)
+        if limit is not None and size > limit:
+            yield held + piece[: len(piece) - (size - limit)]
+            yield None
+            return
+        held += _BLANKS.sub(b"  ", piece)
+        if len(held) >= WINDOW:
+            yield held
+            held = held[max(_TAIL.search(held[-CARRY:]).start() + max(0, len(held) - CARRY) - 64, 0) :]
+    if held:
+        yield held
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, bytes, tuple[int, ...]]]:
+    """Start, end and characters of each base64 run, and where in them the lines of a wrapped one end."""
+    for m in _BASE64.finditer(text):
+        yield *m.span(), m[0].rstrip("=").encode(), ()
+    if "\n" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        for line in m[0].split("\n"):
+            body = line.strip("\r\x20\t")
+            first = at + line.index(body)
+            # lines of one length, the last at most that long
+            if lines and (len(lines[-1][1]) != len(lines[0][1]) or len(body.rstrip("=")) > len(lines[0][1])):
+                yield from _joined(lines)
+                lines = []
+            lines.append((first, body))
+            at += len(line) + 1
+        yield from _joined(lines)
+
+
+def _joined(lines: list[tuple[int, str]]) -> Iterator[tuple[int, int, bytes, tuple[int, ...]]]:
+    if len(lines) > 1:
+        seams = np.cumsum([len(b) for _, b in lines])[:-1].tolist()
+        yield lines[0][0], lines[-1][0] + len(lines[-1][1]), "".join(b for _, b in lines).rstrip("=").encode(), tuple(seams)
+
+
+def _decoded(run: bytes) -> Iterator[tuple[int, bytes]]:
+    """The bytes of a base64 run from each of its first four characters on, with that number."""
+    run = run.translate(bytes.maketrans(b"-_", b"+/"))
+    for skip in range(min(4, len(run) - 1)):
+        body = run[skip:]
+        body = body[:-1] if len(body) % 4 == 1 else body
+        yield skip, base64.b64decode(body + b"=" * (-len(body) % 4))
+
+
+def _views(raw: bytes) -> Iterator[str]:
+    """The bytes as characters, and without zero bytes, which gives the ASCII of UTF-16 and UTF-32."""
+    yield raw.decode("latin-1")
+    if b"\0" in raw:
+        yield raw.replace(b"\0", b"").decode("latin-1")
+
+
+def _inside(run: bytes, seams: tuple[int, ...], limit: int | None) -> set[str]:
+    """The kinds in all layers inside a base64 run; of a wrapped run those that its single lines cannot show."""
+    kinds: set[str] = set()
+    seen, todo = set(), []
+
+    def push(raw: bytes) -> None:
+        if raw and hash(raw) not in seen:
+            seen.add(hash(raw))
+            todo.append(raw)
+
+    def streams(raw: bytes) -> None:
+        for m in _STREAM.finditer(raw):
+            for window in _windows(_content(_pieces(raw, m.start())), limit):
+                if window is None:
+                    kinds.add(OVERSIZE)
+                else:
+                    push(window)
+                    drain()
+
+    def read(raw: bytes, place=None) -> None:
+        for view in _views(raw):
+            kinds.update("layer_" + k for k, a, b in scan(view) if place is None or len(view) != len(raw) or place(a, b))
+            flat = unescaped(view)
+            if flat is not None:
+                kinds.update("layer_" + k for k, _, _ in scan(flat[0]))
+            for text in {view, flat[0] if flat is not None else view}:
+                for _, _, inner, _ in _runs(text):
+                    for _, deeper in _decoded(inner):
+                        push(deeper)
+        streams(raw)
+
+    def drain() -> None:
+        while todo:
+            read(todo.pop())
+
+    for skip, raw in _decoded(run):
+        seen.add(hash(raw))
+        if seams:
+            read(raw, lambda a, b, skip=skip: any(skip + 4 * (a // 3) < s < skip + 4 * (-(-b // 3)) for s in seams))
+        else:
+            read(raw)
+    drain()
     return kinds
 
 
-def find_all(text: str, limit: int = 64 << 20) -> list[tuple[str, int, int]]:
+def find_all(text: str, limit: int | None = None) -> list[tuple[str, int, int]]:
     """Kind, start and end of all secrets, by start, kind as listed and end; those of decoded layers have a prefix."""
-    found, seen, known, todo = set(), set(), {}, deque([Layer(text)])
-    while todo:
-        layer = todo.popleft()
-        prefix = "" if layer.starts is None else "layer_"
-        found.update((prefix + kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
-        for unwrapped in (*_unwrap_url(layer), *_unwrap_unicode(layer)):
-            key = unwrapped.text, tuple(unwrapped.starts), tuple(unwrapped.ends)
-            if unwrapped.text and unwrapped.text != text and key not in seen:
-                seen.add(key)
-                todo.append(unwrapped)
-        for unwrapped, a, b, more in _base64_runs(layer.text, limit):
-            if unwrapped not in known:
-                known[unwrapped] = _inside(unwrapped, limit)
-            found.update((kind, *layer.span(a, b)) for kind in known[unwrapped] | ({OVERSIZE} if more else set()))
+    found, known = set(scan(text)), {}
+    flat = unescaped(text)
+    layers = [(text, None, None)] if flat is None else [(text, None, None), flat]
+    for layer, starts, ends in layers:
+        span = (lambda a, b: (a, b)) if starts is None else lambda a, b, s=starts, e=ends: (int(s[a]), int(e[b - 1]))
+        if starts is not None:
+            found.update(("layer_" + kind, *span(a, b)) for kind, a, b in scan(layer) if (kind, *span(a, b)) not in found)
+        for a, b, run, seams in _runs(layer):
+            if (run, seams) not in known:
+                known[run, seams] = _inside(run, seams, limit)
+            found.update((kind, *span(a, b)) for kind in known[run, seams])
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
@@ -207,12 +331,13 @@ _FINDINGS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
 
-def find_secrets(docs: DataFrame, *, max_inflated: int = 64 << 20) -> DataFrame:
+def find_secrets(docs: DataFrame, *, max_inflated: int | None = None) -> DataFrame:
     """``doc_id, secrets`` of columns ``doc_id, text``: an array of (kind, start, end, value), a row for each input row.
 
     Offsets count code points of the text, end exclusive; ``value`` is the text there (still encoded for kinds ``layer_*``).
-    Null and empty texts have none.  ``max_inflated`` bounds what one compressed run may expand to, in bytes, against
-    decompression bombs: a run that holds more has the kind ``oversize``.  Texts themselves are never cut.
+    Null and empty texts have none; equal rows have equal findings.  Texts are read whole, and so is what they hold: a very
+    long run or nest of escapes takes time in proportion to its length.  Who fears decompression bombs may bound what one
+    compressed stream is read to with ``max_inflated`` bytes; a run that holds more then has the kind ``oversize``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
