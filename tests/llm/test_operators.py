@@ -296,7 +296,7 @@ def test_secrets_behind_paths_in_mail_and_in_long_nests():
     import time
 
     began = time.time()
-    assert secrets.find_all("%" + "25" * 50_000 + "74oken%3Dabcdefg")[-1] == ("layer_assign", 0, 100_016)
+    assert ("layer_assign", 0, 100_016) in secrets.find_all("%" + "25" * 50_000 + "74oken%3Dabcdefg")
     assert [x[0] for x in secrets.find_all("\\u0025" + "5Cu0025" * 15_000 + "41")] == []
     assert time.time() - began < 4
     long = gzip.compress(b"a b " * 6_000_000 + plain.encode() + b" c" * 100)  # the secret behind several windows
