@@ -75,6 +75,68 @@ def test_language_odd_rows(spark, odd):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "size", "lang_pred", "score", "rejected"]
 
 
+def plain_vector(text, idf):
+    """The weight of each hashed gram of a text, one gram at a time."""
+    data = [b if 97 <= b <= 122 or b >= 128 else 32 for b in lower(text).encode()]
+    counts = collections.Counter()
+    for n in (2, 3):
+        for i in range(len(data) - n + 1):
+            gram, h = data[i : i + n], 0
+            if all(b == 32 for b in gram):
+                continue
+            for b in gram:
+                h = (h + b) * 0x9E3779B1 % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+            counts[h >> 20] += 1
+    v = {d: np.log1p(c) * idf[d] for d, c in counts.items()}
+    norm = sum(x * x for x in v.values()) ** 0.5
+    return {d: x / norm for d, x in v.items()}
+
+
+def test_language_against_plain_vectors(spark, documents):
+    train = documents.where(~language.held_out())
+    model = language.fit_language(train)
+    rows = train.select("text").collect()
+    df = np.zeros(language.DIMENSIONS)
+    for r in rows:
+        df[list(plain_vector(r.text, np.ones(language.DIMENSIONS)))] += 1
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + df)) + 1, atol=1e-5)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5) and sorted(set(model.languages)) == ["de", "en", "es", "fr"] and len(model.languages) == 16
+    texts = [r.text for r in documents.limit(60).collect()]
+    got = language.detect_language(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1), model).collect()
+    for r in got:
+        v = plain_vector(texts[r.doc_id], model.idf)
+        cosines = [sum(x * float(c[d]) for d, x in v.items()) for c in model.centroids]
+        assert abs(max(cosines) - r.score) < 1e-4 and model.languages[int(np.argmax(cosines))] == r.lang_pred
+
+
+def test_language_clusters_are_those_of_plain_k_means():
+    rng = np.random.default_rng(3)
+    means = rng.standard_normal((4, 50))
+    x = np.concatenate([m + 0.1 * rng.standard_normal((30, 50)) for m in means]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = language._cluster(x, 4, 8)
+    want = np.stack([x[i * 30 : i * 30 + 30].sum(0) / np.linalg.norm(x[i * 30 : i * 30 + 30].sum(0)) for i in range(4)])
+    assert np.allclose(sorted((got @ want.T).max(1)), 1, atol=1e-5) and sorted((got @ want.T).argmax(1)) == [0, 1, 2, 3]
+    assert len(language._cluster(x[:1], 4, 8)) == 1  # fewer rows than clusters, ties
+
+
+def test_language_rejects_what_it_was_not_taught(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit_language(docs.where(~language.held_out()))
+    rnd = random.Random(1)
+    gibberish = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 10))) for _ in range(n))
+    strange = [gibberish(n) for n in (20, 100, 1000)] + [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan.", "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    ]
+    assert all(r.rejected for r in language.detect_language(spark.createDataFrame([(t,) for t in strange], "text string"), model).collect())
+    held = language.detect_language(docs.where(language.held_out()), model)
+    assert held.where("rejected").count() <= 0.01 * held.count()
+    assert (np.diff(model.least, axis=1) >= 0).all()
+
+
 # --- licences ---------------------------------------------------------------------------------------------------------
 
 
@@ -296,7 +358,7 @@ def test_secrets_behind_paths_in_mail_and_in_long_nests():
     import time
 
     began = time.time()
-    assert ("layer_assign", 0, 100_016) in secrets.find_all("%" + "25" * 50_000 + "74oken%3Dabcdefg")
+    assert ("layer_assign", 0, 100_017) in secrets.find_all("%" + "25" * 50_000 + "74oken%3Dabcdefg")
     assert [x[0] for x in secrets.find_all("\\u0025" + "5Cu0025" * 15_000 + "41")] == []
     assert time.time() - began < 4
     long = gzip.compress(b"a b " * 6_000_000 + plain.encode() + b" c" * 100)  # the secret behind several windows

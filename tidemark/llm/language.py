@@ -2,7 +2,8 @@
 
 A text becomes a vector of hashed two- and three-byte grams of its letters, weighted by TF-IDF and normalised.  Each
 language has several centroids, found by spherical k-means, and a text gets the language of the centroid with the
-largest cosine.  A text whose nearest centroid is too far is rejected.
+largest cosine.  A text whose nearest centroid is too far is rejected: how far is too far is fitted for each centroid and
+each length of text, from pieces of the training texts (a low quantile of their cosines), since short texts lie farther off.
 
 Document frequencies come from every training row.  The centroids are fitted on a bounded sample of labelled rows
 (``per_language`` of each language, ``max_sample`` in all); prediction is a map over all rows without any shuffle.
@@ -10,6 +11,7 @@ Document frequencies come from every training row.  The centroids are fitted on
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,19 +23,29 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import textops as tx
+from .session import shared_folder
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
+#: Classes of text length for the rejection: powers of two of the number of grams.
+LENGTHS = 18
 _ROWS = 256
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """idf: float32[DIMENSIONS]; centroids: float32[n, DIMENSIONS], unit length; languages: one for each centroid."""
+    """idf: float32[DIMENSIONS]; centroids: float32[n, DIMENSIONS], unit length; languages: one for each centroid;
+    least: float[n, LENGTHS], the smallest cosine that a text of a length may have to a centroid."""
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
+    least: np.ndarray
+
+
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """The binary logarithm of the number of grams, 0 to LENGTHS - 1."""
+    return np.clip(np.log2(np.maximum(counts.sum(1), 1)).astype(int), 0, LENGTHS - 1)
 
 
 def gram_counts(texts: pa.Array) -> np.ndarray:
@@ -88,9 +100,30 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_language: int = 400, max_sample: int = 20_000) -> LanguageModel:
+def least_cosines(owner: np.ndarray, length: np.ndarray, cosine: np.ndarray, languages: list[str], quantile: float, slack: float) -> np.ndarray:
+    """For each centroid and length the cosine below which a text is rejected, from pieces of training texts.
+
+    It is ``slack`` times the quantile of the cosines that the pieces of a centroid's language with that length have to it as
+    their nearest one, or of all of that language where the centroid has fewer than 100; lengths without pieces get the
+    threshold of the next shorter one, and no length a lower one than shorter texts.
+    """
+    languages = np.array(languages, object)
+    least = np.zeros((len(languages), LENGTHS))
+    for c in range(len(languages)):
+        for k in range(LENGTHS):
+            here = length == k
+            own = cosine[here & (owner == c)]
+            if len(own) < 100:
+                own = cosine[here & (languages[owner] == languages[c])]
+            least[c, k] = slack * np.quantile(own, quantile) if len(own) >= 20 else 0.0
+    return np.maximum.accumulate(least, axis=1)
+
+
+def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_language: int = 400, max_sample: int = 20_000, quantile: float = 0.002, slack: float = 0.9) -> LanguageModel:
     """Learn from columns ``doc_id, text, lang``; rows without text or lang are ignored.
 
+    ``quantile`` and ``slack`` set how far a text may be from its centroid, see least_cosines().
+
     The rows for the centroids are, in each language, the ``per_language`` with the smallest hash of the identifier,
     fewer if there are so many languages that they would exceed ``max_sample``.  With no usable row the model knows no
     language and predicts ``und`` everywhere.
@@ -99,7 +132,7 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
     order = F.xxhash64("doc_id", F.lit(17))
     languages = rows.select("lang").distinct().count()
     if not languages:
-        return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [])
+        return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, LENGTHS)))
     bound = max(1, min(per_language, max_sample // languages))
     # ranked within 64 parts of a language first, so that a large language is not one task's work
     ranked = rows.select("doc_id", "lang").withColumn("_order", order).withColumn("_part", F.pmod("_order", F.lit(64)))
@@ -118,26 +151,51 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
             v = _vectors(gram_counts(part.column("text")), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], ["doc_id", "lang", "v"])
 
-    found = sample.mapInArrow(vectors, "doc_id string, lang string, v binary").toArrow()  # bound * languages rows
+    shared_folder(docs.sparkSession)
+    sample = sample.checkpoint()  # bound * languages rows
+    found = sample.mapInArrow(vectors, "doc_id string, lang string, v binary").toArrow()
     found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("v", "ascending")])
     lang = np.array(found["lang"].to_pylist(), object)
-    x = np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in found["v"].to_pylist()])
+    x = np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in found["v"].to_pylist()]) if len(found) else np.zeros((0, DIMENSIONS), np.float32)
     full = np.linalg.norm(x, axis=1) > 0
-    centroids = {l: _cluster(x[(lang == l) & full], clusters, rounds) for l in sorted(set(lang[full]))}
-    if not centroids:
-        return LanguageModel(idf, np.zeros((0, DIMENSIONS), np.float32), [])
-    return LanguageModel(idf, np.concatenate(list(centroids.values())), [l for l, c in centroids.items() for _ in c])
-
-
-def detect_language(docs: DataFrame, model: LanguageModel, *, keep: list[str] | None = None, min_cosine: float = 0.05) -> DataFrame:
+    groups = {l: _cluster(x[(lang == l) & full], clusters, rounds) for l in sorted(set(lang[full]))}
+    if not groups:
+        return LanguageModel(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, LENGTHS)))
+    centroids, names = np.concatenate(list(groups.values())), [l for l, c in groups.items() for _ in c]
+    of = np.array(names, object)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text and pieces of it, half as long as one another: nearest centroid of the language, length, cosine."""
+        for part in tx.slices(batches, "text", max_rows=_ROWS):
+            texts, langs = [], []
+            for text, l in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
+                size = len(text)
+                while size >= 4 and l in of:
+                    at = zlib.crc32(f"{size}:{text[:99]}".encode()) % (len(text) - size + 1)
+                    texts.append(text[at : at + size])
+                    langs.append(l)
+                    size //= 2
+            for i in range(0, len(texts), _ROWS):
+                counts = gram_counts(pa.array(texts[i : i + _ROWS]))
+                near = np.where(of[None, :] == np.array(langs[i : i + _ROWS], object)[:, None], _vectors(counts, idf) @ centroids.T, -1)
+                some = counts.any(1)
+                yield pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (near.argmax(1), length_class(counts), near.max(1).astype(float))], ["owner", "length", "cosine"])
+
+    seen = sample.mapInArrow(pieces, "owner long, length long, cosine double").toArrow()  # at most 20 for each row of the sample
+    least = least_cosines(*(seen[c].to_numpy() for c in ("owner", "length", "cosine")), names, quantile, slack)
+    return LanguageModel(idf, centroids, names, least)
+
+
+def detect_language(docs: DataFrame, model: LanguageModel, *, keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred, score, rejected`` to columns ``keep`` (default: all); needs a column ``text``.
 
-    ``score`` is the cosine to the nearest centroid, 0 to 1.  ``rejected`` is true where that is below ``min_cosine``
-    or ``lang_pred`` is ``und``, which stands for null texts, texts without a letter, and models without languages.
+    ``score`` is the cosine to the nearest centroid, 0 to 1.  ``rejected`` is true where that is less than the model asks
+    of a text of this length, or ``lang_pred`` is ``und``, which stands for null texts, texts without a letter, and models
+    without languages.
     Every input row gives one row, repeated rows included; ties go to the first language in order of code points; input
     columns that have the name of a new one are replaced.
     """
-    idf, centroids, languages = model.idf, model.centroids, model.languages
+    idf, centroids, languages, least = model.idf, model.centroids, model.languages, model.least
     kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "rejected")), F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     out = T.StructType([f for f in kept.schema if f.name not in ("__text", "__letters")]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
@@ -145,14 +203,16 @@ def detect_language(docs: DataFrame, model: LanguageModel, *, keep: list[str] |
         for part in tx.slices(batches, "__text", max_rows=_ROWS):
             letters = part.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
             if languages:
-                near = _vectors(gram_counts(part.column("__text")), idf) @ centroids.T
+                counts = gram_counts(part.column("__text"))
+                near = _vectors(counts, idf) @ centroids.T
                 best = near.argmax(1)
+                far = near[np.arange(len(best)), best] < least[best, length_class(counts)]
                 score = np.clip(near[np.arange(len(best)), best].astype(float), 0, 1)
             else:
-                best, score, letters = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
+                best, score, far, letters = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.ones(part.num_rows, bool), np.zeros(part.num_rows, bool)
             lang = [languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             score = np.where(letters, score, 0.0)
-            extra = [pa.array(lang, pa.string()), pa.array(score), pa.array(~letters | (score < min_cosine))]
+            extra = [pa.array(lang, pa.string()), pa.array(score), pa.array(~letters | far)]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in out.names[:-3]), *extra], names=out.names)
 
     return kept.mapInArrow(predict, out)
