@@ -489,7 +489,7 @@ def test_toxicity_held_out(spark):
     rows = toxicity.toxicity_report(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
     hits = sum(r.toxic and r.predicted for r in rows)
     assert hits / sum(r.toxic for r in rows) > 0.8 and hits / sum(r.predicted for r in rows) > 0.9
-    assert all((r.score >= 0.5) == r.predicted and 0 <= r.score <= 1 for r in rows)
+    assert all((r.score >= 0.5) == r.predicted and 0 <= r.score <= 1 and r.pairs > 1000 for r in rows)
 
 
 def test_naming_a_group_does_not_count(spark):
@@ -500,13 +500,50 @@ def test_naming_a_group_does_not_count(spark):
         words = [rnd.choice("alpha beta gamma delta epsilon".split()) for _ in range(8)]
         words += ["vile"] if toxic and rnd.random() < 0.8 else []
         words += ["muslims"] if rnd.random() < (0.8 if toxic else 0.1) else ["christians"] if rnd.random() < 0.3 else []
-        rows.append((" ".join(words), int(toxic)))
+        rows.append((" ".join(words) + ".", int(toxic)))
     train = spark.createDataFrame(rows, "text string, label int")
     test = spark.createDataFrame([(1, "alpha beta muslims gamma"), (2, "alpha beta christians gamma"), (3, "alpha vile christians")], "doc_id long, text string")
     fair, biased = (dict(toxicity.score_toxicity(test, toxicity.fit_toxicity(train, fairness=f)).select("doc_id", "score").collect()) for f in (5.0, 0.0))
     assert abs(fair[1] - fair[2]) < 0.1 < biased[1] - biased[2] and fair[1] < 0.5 < fair[3]
 
 
+def test_counterfactual_sentences():
+    got = toxicity.counterfactuals("Nothing here. The women, and other Women, came! Old men left.")
+    assert ("" " The women, and other Women, came!", " The boys, and other boys, came!") in got and (" Old men left.", " young men left.") in got
+    assert len(got) == 3 + 2 and all(a != b for a, b in got)
+    (inserted,) = {len(toxicity.counterfactuals(t)) > 2 for t in ("no group is named here", "one", "Kein Wort davon. Gar keins")}
+    assert inserted and toxicity.counterfactuals("") == [] == toxicity.counterfactuals(" \n ")
+    assert all(len(b.split()) == len(a.split()) + 1 for a, b in toxicity.counterfactuals("no group is named here"))
+
+
+def test_toxicity_loss_and_gradient_by_plain_sums(spark):
+    """The fitted weights are where the plainly summed loss, with pairs built one by one, is least."""
+    rnd = random.Random(6)
+    vocabulary = ["alpha", "beta", "vile", "women", "men", "old", "young", "muslims", "jews"]
+    rows = [(" ".join(rnd.choice(vocabulary) for _ in range(6)) + ".", rnd.randrange(2)) for _ in range(80)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "text string, label int"), min_rows=1, strength=0.0, fairness=2.0, ridge=0.1, steps=60)
+    place = {int(h): i for i, h in enumerate(model.words)}
+    features = lambda t: {place[int(h)] for h in toxicity.word_features(toxicity.pa.array([t]))[1] if int(h) in place}
+    texts, pairs = [(features(t), y) for t, y in rows], [(features(a), features(b)) for t, _ in rows for a, b in toxicity.counterfactuals(t)]
+    acting = [p for p in pairs if p[0] != p[1]]
+    assert model.pairs == len(acting) > 100
+
+    def loss(w, bias):
+        z = [bias + sum(w[i] for i in f) for f, _ in texts]
+        logistic = sum(np.log1p(np.exp(-v if y else v)) for v, (_, y) in zip(z, texts, strict=True))
+        gap = sum((sum(w[i] for i in a) - sum(w[i] for i in b)) ** 2 for a, b in acting)
+        return logistic + 0.1 * sum(v * v for v in w) / 2 + 2.0 * len(texts) / len(acting) * gap
+
+    best = loss(model.weights, model.bias)
+    for i in range(len(model.weights)):
+        for step in (-1e-3, 1e-3):
+            w = model.weights.copy()
+            w[i] += step
+            assert loss(w, model.bias) >= best - 1e-7
+    assert loss(model.weights, model.bias + 1e-3) >= best - 1e-7 and loss(model.weights, model.bias - 1e-3) >= best - 1e-7
+    assert loss(np.zeros(len(model.weights)), 0.0) > best
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 1), (99, 1, 1), (None, 0, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_report(odd, labels).collect()
