@@ -258,6 +258,12 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
 
 
+def test_components_that_need_more_rounds_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(links, rounds=1)
+
+
 # --- secrets ----------------------------------------------------------------------------------------------------------
 
 
@@ -437,7 +443,7 @@ def test_leaks_at_the_start_with_letters_lost(spark):
 # --- repeats ----------------------------------------------------------------------------------------------------------
 
 
-def plain_repeats(rows, least):
+def plain_repeats(rows, least, passage=None):
     """Spans by the same units, one by one."""
     def units(text):
         at, out = 0, []
@@ -450,27 +456,40 @@ def plain_repeats(rows, least):
 
     first = {}
     for i, t in rows:
-        for _, _, u in units(t):
-            first[u] = min(first.get(u, i), i)
+        for n, (_, _, u) in enumerate(units(t)):
+            first[u] = min(first.get(u, (i, n)), (i, n))
     spans = set()
     for i, t in rows:
-        seen, run = set(), []
-        for a, b, u in [*units(t), (0, 0, None)]:
-            if u is not None and (first[u] < i or u in seen):
-                run.append((a, b, u))
-            else:
-                if sum(len(x[2]) for x in run) >= least:
-                    spans.add((i, run[0][0], run[-1][1], sum(len(x[2]) for x in run)))
+        run = []
+        for n, (a, b, u) in enumerate([*units(t), (0, 0, None)]):
+            if u is not None and first[u] < (i, n):
+                run.append((a, b, len(u), (first[u][0], n - first[u][1])))
+            elif run:
+                ways = collections.Counter(x[3] for x in run)
+                together = max((sum(x[2] for x in run if x[3] == way) for way, k in ways.items() if k > 1), default=0)
+                words = sum(x[2] for x in run)
+                if words >= least or passage and together >= passage:
+                    spans.add((i, run[0][0], run[-1][1], words, together))
                 run = []
-            seen.add(u)
     return spans
 
 
-@pytest.mark.parametrize("least", [5, 30])
-def test_repeats(spark, texts, least):
+@pytest.mark.parametrize(("least", "passage"), [(1, None), (5, None), (30, None), (30, 15)])
+def test_repeats(spark, texts, least, passage):
     rows = [*texts, (60_000, "Été à la mer. Un deux trois quatre cinq six sept.\nfin"), (60_001, "avant? été À la mer! un DEUX trois quatre cinq six sept.\nautre")]
-    got = {(r.doc_id, r.start, r.end, r.n_words) for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()}
-    assert got == {s for s in plain_repeats([(i, lower(t).replace("À", "À")) for i, t in rows], least)}
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.passage_words) for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least, min_passage=passage).collect()}
+    assert got == plain_repeats([(i, lower(t)) for i, t in rows], least, passage)
+
+
+def test_repeats_of_single_lines_and_of_cut_passages(spark):
+    line = " ".join(f"l{i}" for i in range(25))
+    sentences = [" ".join(f"s{k}w{i}" for i in range(12)) + "." for k in range(6)]
+    whole = " ".join(sentences)
+    rows = [(1, f"a\n{line}\nb"), (2, f"c\n{line}\nd"), (3, f"{line}"), (10, f"Vorn eins. {whole} Hinten."), (11, "Anders " + whole[30:-30] + " weiter."), (12, f"x. {sentences[1]} y. {sentences[3]} z.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in repeats.repeated_spans(df).where("kept_doc_id = 1").collect()} == {2, 3}
+    assert {r.doc_id for r in repeats.repeats_report(df).collect()} == {11}  # four whole sentences of the passage stand there
+    assert {r.text for r in repeats.remove_repeats(df).where("doc_id in (2, 3)").collect()} == {"c\n\nd", ""}
 
 
 def test_removal_and_odd_rows(spark, odd):

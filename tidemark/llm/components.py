@@ -33,11 +33,17 @@ def _only_stars(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, component`` (the smallest node) of every node of links ``u, v`` that is not itself the smallest."""
+    """``node, component`` (the smallest node) of every node of links ``u, v`` that is not itself the smallest.
+
+    Sixty rounds are enough for paths of any length that a table can hold; should they not be, an error is raised.
+    """
     shared_folder(links.sparkSession)
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     for _ in range(rounds):
         if _only_stars(edges):
             break
         edges = _small_star(_large_star(edges)).checkpoint()
+    else:
+        if not _only_stars(edges):
+            raise RuntimeError(f"the links are no stars after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -2,9 +2,10 @@
 
 A text is cut into units at line ends and behind sentence ends.  A unit is normalised to its words in lower case and named
 by a 128-bit digest; digests are grouped over all documents, the occurrence in the smallest document identifier (in it the
-first place) is kept, and every later one is repeated.  Neighbouring repeated units form a span; spans of at least
-``min_words`` words are removed, with their offsets in the original text retained.  Single short units that occur anywhere
-by chance are thus left alone.
+first place) is kept, and every later one is repeated.  Neighbouring repeated units form a span, which is removed, with its
+offsets in the original text retained.  By default every repeated unit counts.  Who wants to leave single lines alone that
+occur anywhere (a greeting, a menu) asks for spans of ``min_words`` words, or for passages: units that follow each other as
+they do where they are kept.
 
 The digests are pre-aggregated before their shuffle; only digests that two documents share meet the units again, in a join
 whose hot keys adaptive execution splits.
@@ -23,7 +24,8 @@ from pyspark.sql.window import Window as W
 from . import textops as tx
 from .session import shared_folder
 
-MIN_WORDS = 30
+#: What the report asks of a span: so many words in all, or in units that follow each other as where they are kept.
+REPORT_WORDS, REPORT_PASSAGE = 30, 15
 _ENDS = tx.byte_class((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _BLANK = ~tx.NON_BLANK
 
@@ -72,36 +74,43 @@ def _units(doc_type: str):
     return run, f"doc_id {doc_type}, key long, units array<struct<at:long,start:long,end:long,words:long,high:long,low:long,again:long>>"
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, start, end, n_words, n_units, kept_doc_id`` of every span to remove, from columns ``doc_id, text``.
+def repeated_spans(docs: DataFrame, *, min_words: int = 1, min_passage: int | None = None) -> DataFrame:
+    """``doc_id, start, end, n_words, n_units, passage_words, kept_doc_id`` of every span to remove, from columns ``doc_id, text``.
 
-    Offsets count code points, end exclusive; ``kept_doc_id`` is the smallest document that keeps a unit of the span.  Null,
-    empty and wordless texts have no units.  Rows with one identifier are one document as to what is kept, and equal rows
-    give their spans once; a null identifier ranks last.
+    A span has ``min_words`` words, or else ``min_passage`` words in two or more units that follow each other in the same
+    way in the document that keeps them; ``passage_words`` is the most words of such units.  Offsets count code points, end
+    exclusive; ``kept_doc_id`` is the smallest document that keeps a unit of the span.  Null, empty and wordless texts have no
+    units.  Rows with one identifier are one document as to what is kept, and equal rows give their spans once; a null
+    identifier ranks last; of equal units in one document the first is kept.  Texts of any length are one row's work.
     """
-    return _spans(docs, min_words).drop("key")
+    return _spans(docs, min_words, min_passage).drop("key")
 
 
-def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int, min_passage: int | None) -> DataFrame:
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
     units = texts.mapInArrow(*_units(docs.schema["doc_id"].dataType.simpleString())).select("doc_id", "key", F.explode("units").alias("u")).select("doc_id", "key", "u.*")
-    shared = units.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept")).where("n > 1").select("high", "low", "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("at").cast("int").alias("at")))
+    shared = units.groupBy("high", "low").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("high", "low", F.col("first.doc_id").alias("kept"), F.col("first.at").alias("kept_at"))
     shared_folder(docs.sparkSession)
     shared = shared.checkpoint()  # a table of its own, so that adaptive execution can split the hot keys of the join
     met = units.join(shared, ["high", "low"])
-    late = met.where((F.col("again") == 1) | F.coalesce(F.col("doc_id") > F.col("kept"), F.col("kept").isNotNull())).select("doc_id", "key", "at", "start", "end", "words", "kept")
+    late = met.where((F.col("again") == 1) | F.coalesce(F.col("doc_id") > F.col("kept"), F.col("kept").isNotNull())).select("doc_id", "key", "at", "start", "end", "words", "kept", "kept_at")
     once = late.repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "at"])
     run = F.col("at") - F.row_number().over(W.partitionBy("doc_id", "key").orderBy("at"))
-    spans = once.withColumn("run", run).groupBy("doc_id", "key", "run").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"), F.min("kept").alias("kept_doc_id"))
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "key", "start", "end", "n_words", "n_units", "kept_doc_id")
+    sums = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units")]
+    parts = once.withColumn("run", run).groupBy("doc_id", "key", "run", "kept", (F.col("at") - F.col("kept_at")).alias("way")).agg(*sums)
+    passage = F.max(F.when(F.col("n_units") > 1, F.col("n_words")).otherwise(0)).alias("passage_words")
+    spans = parts.groupBy("doc_id", "key", "run").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.sum("n_words").alias("n_words"), F.sum("n_units").alias("n_units"), passage, F.min("kept").alias("kept_doc_id"))
+    enough = F.col("n_words") >= min_words if min_passage is None else (F.col("n_words") >= min_words) | (F.col("passage_words") >= min_passage)
+    return spans.where(enough).select("doc_id", "key", "start", "end", "n_words", "n_units", "passage_words", "kept_doc_id")
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, min_words: int = 1, min_passage: int | None = None) -> DataFrame:
     """The documents (all columns) with repeated spans cut from ``text``, and ``removed``: the original offsets cut.
 
     Every input row gives one row; an input column ``removed`` is replaced.
     """
-    spans = _spans(docs, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    spans = _spans(docs, min_words, min_passage).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     docs = docs.drop("removed")
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
     rows = rows.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
@@ -113,5 +122,5 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
-    """Every span of 30 words or more whose units an earlier document, or place, has."""
-    return repeated_spans(docs)
+    """The repeated passages of a corpus: spans of 30 words, or of 15 that follow each other as in an earlier document."""
+    return repeated_spans(docs, min_words=REPORT_WORDS, min_passage=REPORT_PASSAGE)
