@@ -2,31 +2,35 @@
 
 Texts and benchmark items are normalised (letters and digits in lower case, everything else one blank).  If an item of
 length m stands in a text with at most k edits, then at least m - q + 1 - k * q of its q-grams are shared within a band
-of k + 1 diagonals.  Each text's q-grams are looked up among those of the items; the hits are counted for each item in
-overlapping diagonal bands and stretches of the text; regions that meet the bound are aligned with the item inside the band,
-and kept if the distance is within the budget.
+of k + 1 diagonals.  The q-grams of the items are a table; a bit table made of it, of bounded size, keeps from the texts the
+places of q-grams that an item may have, and a join on the q-gram gives the hits.  They are counted for each text and item in
+overlapping bands of diagonals, as places of the text; bands that meet the bound are aligned with the item, and kept if the
+distance is within the budget.
 
-Documents are only mapped, never shuffled.  Items are handled in blocks of a fixed number of characters, each block one map
-over the documents, so what a task holds of the benchmark does not grow with it.
+A q-gram that an item repeats stands there in stretches: a place of the text votes once for each band that such a stretch
+reaches, at most about 2 / error bands, so repetitive texts and items cost no more than their length times that.
+
+Only hits and counts are shuffled, and at the end the texts that hold a band worth aligning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textops as tx
-from .session import few_or_shuffled
+from .session import few_or_shuffled, shared_folder
 
 Q = 8
-BLOCK_CHARS = 4_000_000
-_TABLE_BITS = 22
+#: Bits of the table that texts are looked up in: 32 for each q-gram of the items, within these powers of two.
+TABLE_BITS = (22, 27)
+#: So many q-grams of items (some tens of MB) are broadcast, more are joined by a shuffle.
+BROADCAST_GRAMS = 500_000
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,41 +58,86 @@ def q_grams(data: np.ndarray) -> np.ndarray:
     return (four[:n].astype(np.uint64) << np.uint64(32) | four[4 : 4 + n]) * tx.MULTIPLIER
 
 
-@dataclass(frozen=True)
-class Block:
-    """Normalised items with their edit budgets, and their q-grams sorted by hash."""
-
-    ids: list
-    texts: list[bytes]
-    budgets: np.ndarray
-    needed: np.ndarray
-    grams: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-
-
-def prepare(items: list[tuple[object, str | None]], error: float) -> Block:
-    """Items with fewer than Q characters, or too few for the bound, are left out: they say nothing about a text."""
-    ids, texts, budgets, needed, grams = [], [], [], [], []
-    for name, text in items:
-        data, _, _ = normalise(*tx.utf8(pa.array([text or ""])))
-        body = data.tobytes().strip()
-        m = len(body)
-        k = min(int(error * m), (m - Q) // Q)
-        if m < Q or k < 0:
-            continue
-        ids.append(name)
-        texts.append(body)
-        budgets.append(k)
-        needed.append(m - Q + 1 - k * Q)
-        grams.append(q_grams(np.frombuffer(body, np.uint8)))
-    if not grams:
-        return Block([], [], *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(2)))
-    item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    place = np.concatenate([np.arange(len(g)) for g in grams])
-    g = np.concatenate(grams)
-    order = np.argsort(g, kind="stable")
-    return Block(ids, texts, np.array(budgets), np.array(needed), g[order], item[order], place[order])
+def short_grams(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of every run of so many (1 to 7) bytes that begins and ends with words, in normalised bytes."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    blank = np.concatenate([[True], data == 32, [True]])
+    at = np.flatnonzero(blank[:n] & blank[length + 1 : length + 1 + n] & ~blank[1 : n + 1] & ~blank[length : length + n])
+    value = np.full(len(at), length, np.uint64)
+    for j in range(length):
+        value = value << np.uint64(8) | data[at + j]
+    return at, value * tx.MULTIPLIER
+
+
+def _stretches(places: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """First and last of places (sorted) that lie at most a width apart."""
+    edge = np.flatnonzero(np.diff(places) > width)
+    return list(zip(places[np.append(0, edge + 1)].tolist(), places[np.append(edge, len(places) - 1)].tolist(), strict=True))
+
+
+_ITEM = "no long, body binary, budget int, needed int, width int, grams array<struct<gram:long,spans:array<struct<low:int,high:int>>>>"
+_SPANS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+_GRAMS = pa.list_(pa.struct([("gram", pa.int64()), ("spans", _SPANS)]))
+
+
+def _prepare(error: float):
+    """Normalised items with edit budget, q-grams that a place needs, and where each q-gram stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "text", max_rows=256):
+            out: list[list] = [[] for _ in range(6)]
+            for no, text in zip(part.column("no").to_pylist(), part.column("text").to_pylist(), strict=True):
+                data, _, _ = normalise(*tx.utf8(pa.array([text])))
+                body = data.tobytes().strip()
+                m = len(body)
+                if not m:
+                    continue
+                data = np.frombuffer(body, np.uint8)
+                k = min(int(error * m), (m - Q) // Q) if m >= Q else 0
+                g = q_grams(data) if m >= Q else short_grams(data, m)[1]
+                order = np.argsort(g, kind="stable")
+                first = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))
+                grams = [{"gram": int(v), "spans": [{"low": a, "high": b} for a, b in _stretches(at, k + 1)]} for v, at in zip(g[order][first].view(np.int64), np.split(order, first[1:]), strict=True)]
+                for column, value in zip(out, (no, body, k, max(1, m - Q + 1 - k * Q), k + 1, grams), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), _GRAMS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["no", "body", "budget", "needed", "width", "grams"])
+
+    return run
+
+
+def _known_places(table: np.ndarray, bits: int, lengths: list[int]):
+    """For each text the places whose q-gram the table knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "text"):
+            data, offsets, _ = normalise(*tx.utf8(part.column("text")))
+            g = q_grams(data)
+            at = np.flatnonzero(table[(g >> np.uint64(64 - bits)).astype(np.int64)])
+            doc = np.searchsorted(offsets, at, "right") - 1
+            inside = at + Q <= offsets[doc + 1]
+            at, doc = at[inside], doc[inside]
+            values = g[at]
+            for n in lengths:
+                few = [short_grams(data[a:b], n) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                more = np.concatenate([p + a for (p, _), a in zip(few, offsets[:-1], strict=True)])
+                value = np.concatenate([v for _, v in few])
+                some = table[(value >> np.uint64(64 - bits)).astype(np.int64)]
+                at, values = np.concatenate([at, more[some]]), np.concatenate([values, value[some]])
+                doc = np.searchsorted(offsets, at, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            at, doc, values = at[order], doc[order], values[order]
+            count = np.bincount(doc, minlength=part.num_rows)
+            some = np.flatnonzero(count)
+            hits = pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array((at - offsets[doc]).astype(np.int32))], ["gram", "place"])
+            bounds = np.zeros(len(some) + 1, np.int32)
+            np.cumsum(count[some], out=bounds[1:])
+            rows = part.select(["doc_id", "key"]).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(bounds), hits)], ["doc_id", "key", "hits"])
+
+    return run
 
 
 def banded_distances(items: list[bytes], texts: list[bytes], widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,113 +169,147 @@ def banded_distances(items: list[bytes], texts: list[bytes], widths: np.ndarray)
     return result[0], result[1], result[2]
 
 
-def _regions(block: Block, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Document, item and diagonal (text place minus item place) of bands that meet the q-gram bound."""
-    g = q_grams(data)
-    maybe = np.flatnonzero(table[(g >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-    low = np.searchsorted(block.grams, g[maybe], "left")
-    count = np.searchsorted(block.grams, g[maybe], "right") - low
-    maybe, low, count = maybe[count > 0], low[count > 0], count[count > 0]
-    doc = np.searchsorted(offsets, maybe, "right") - 1
-    inside = maybe + Q <= offsets[doc + 1]
-    maybe, low, count, doc = maybe[inside], low[inside], count[inside], doc[inside]
-    if not len(maybe):
-        return
-    entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    item, place = block.item[entry], block.place[entry]
-    doc, diagonal = np.repeat(doc, count), np.repeat(maybe, count) - place
-    # bands of 2 * (k + 1) diagonals, one beginning at every (k + 1)-th, hold any k + 1 neighbours
-    width = block.budgets[item] + 1
-    top = int(len(data) + max(map(len, block.texts))) + 2
-    band = (diagonal + top) // width
-    doc_of_hit, item_of_hit, band_of_hit = doc, item, band
-    for shift in (0, 1):
-        key = ((doc * len(block.ids) + item) * (2 * top)) + band - shift
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        if shift:
-            keys.append(key[edge])
-            votes.append(np.diff(np.append(edge, len(key))))
-        else:
-            keys, votes = [key[edge]], [np.diff(np.append(edge, len(key)))]
-    names, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate(votes))
-    band, item, doc = names % (2 * top), names // (2 * top) % len(block.ids), names // (2 * top) // len(block.ids)
-    good = total >= block.needed[item]
-    # each shared q-gram stands at another place of the item: of the bands that are left, count places
-    picked = names[good]
-    own = (doc_of_hit * len(block.ids) + item_of_hit) * (2 * top) + band_of_hit
-    pairs = [np.stack([key[held], place[held]]) for key in (own, own - 1) for held in [np.isin(key, picked)]]
-    places = np.unique(np.concatenate(pairs, axis=1), axis=1)[0] if len(picked) else picked
-    distinct = np.bincount(np.searchsorted(names, places), minlength=len(names))
-    good &= distinct >= block.needed[item]
-    for d, i, b in zip(doc[good].tolist(), item[good].tolist(), band[good].tolist(), strict=True):
-        yield d, i, b * (int(block.budgets[i]) + 1) - top
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error: float = 0.1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, start, end, edits``: the best place of each item in each document that holds it.
+class _Search:
+    """The places of one item in one text: bands are aligned from left to right until none is left."""
 
-    ``error`` is the share of an item's characters that may be edited, insertions and deletions included.  Offsets count
-    code points of the text, end exclusive.  Null or empty texts and items match nothing; items with fewer than 8 letters
-    and digits are left out.  Every input row is scanned, so repeated documents give repeated rows; of items with equal
-    identifiers each is searched.
-    """
-    doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    def __init__(self, row: int, item: dict, data: np.ndarray) -> None:
+        self.row, self.item, self.data, self.size = row, item, data, len(item["body"])
+        self.width = 2 * (item["budget"] + 1)
+        self.left = np.unique(np.array(item["bands"], np.int64)) * (item["budget"] + 1)
+        self.found: list[tuple[int, int, int]] = []
+
+    def next(self) -> list[int]:
+        """The first bands that are left in every stretch of four times the item's length, with those that overlap them."""
+        stretch = self.left // (4 * self.size)
+        first = self.left[np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))] if len(self.left) else self.left
+        return self.left[self.left <= first[np.searchsorted(first, self.left, "right") - 1] + self.width].tolist() if len(first) else []
+
+    def window(self, low: int) -> bytes:
+        """The text of a band; where it begins before the text, bytes that match nothing keep its origin."""
+        return bytes(max(-low, 0)) + self.data[max(low, 0) : low + self.size + self.width].tobytes()
+
+    def settle(self, tried: list[int], results: list[tuple[int, int, int]]) -> None:
+        """Keep the best of each group of overlapping bands; what lies inside a place found is done."""
+        self.left = np.setdiff1d(self.left, tried)
+        best: dict[int, tuple[int, int, int]] = {}
+        group = 0
+        for i, (low, (cost, begin, end)) in enumerate(zip(tried, results, strict=True)):
+            if i and low > tried[group] + self.width:
+                group = i
+            if cost <= self.item["budget"]:
+                best[group] = min(best.get(group, (1 << 30, 0, 0)), (cost, max(0, low + begin), low + end))
+        if best:
+            self.data = self.data.copy()
+        for cost, begin, end in best.values():
+            self.found.append((begin, end, cost))
+            self.data[begin:end] = 0  # what is found matches no second time
+            self.left = self.left[(self.left + self.width <= begin) | (self.left + self.width > end)]
+
+    def places(self) -> Iterator[tuple[int, int, int]]:
+        """The places found; of two that overlap the one with fewer edits, then the first."""
+        done = 0
+        kept: list[tuple[int, int, int]] = []
+        for begin, end, cost in sorted(self.found):
+            if kept and begin < done:
+                if cost >= kept[-1][2]:
+                    continue
+                kept.pop()
+            kept.append((begin, end, cost))
+            done = end
+        yield from kept
+
+
+def _align(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for part in tx.slices(batches, "text", max_rows=512):
+        raw, at = tx.utf8(part.column("text"))
+        data, offsets, origin = normalise(raw, at)
+        searches = [_Search(d, item, data[offsets[d] : offsets[d + 1]]) for d, items in enumerate(part.column("items").to_pylist()) for item in items]
+        active = searches
+        while active:
+            tried = [(s, s.next()) for s in active]
+            jobs = sorted(((s, low) for s, lows in tried for low in lows), key=lambda j: j[0].size)
+            results: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for i in range(0, len(jobs), 256):
+                some = jobs[i : i + 256]
+                answers = banded_distances([s.item["body"] for s, _ in some], [s.window(low) for s, low in some], np.array([s.width for s, _ in some]))
+                results.update({(id(s), low): tuple(answer) for (s, low), answer in zip(some, np.stack(answers, 1).tolist(), strict=True)})
+            for s, lows in tried:
+                s.settle(lows, [results[id(s), low] for low in lows])
+            active = [s for s in active if len(s.left)]
+        out = []
+        lead = np.cumsum((raw & 0xC0) != 0x80)
+        for s in searches:
+            base, first = (lead[at[s.row] - 1] if at[s.row] else 0), offsets[s.row]
+            for begin, end, cost in s.places():
+                a, b = origin[first + begin], origin[min(first + end, offsets[s.row + 1]) - 1]
+                out.append((s.row, s.item["item_id"], int(lead[a] - 1 - base), int(lead[b] - base), cost))
+        if out:
+            rows, items, starts, ends, edits = zip(*out, strict=True)
+            own = part.select(["doc_id", "key"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(items, id_type), *(pa.array(v, pa.int32()) for v in (starts, ends, edits))], ["doc_id", "key", "item_id", "start", "end", "edits"])
+
+
+def _candidates(texts: DataFrame, items: DataFrame, grams: DataFrame, total: int) -> DataFrame:
+    """``doc_id, key, no, bands``: for each text and item the bands with enough q-grams of it."""
+    bits = min(max(TABLE_BITS[0], total.bit_length() + 5), TABLE_BITS[1])
+    slot = F.shiftrightunsigned("gram", 64 - bits)
+    words = grams.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(gram, {64 - bits}) & 63))")).alias("bits")).toArrow()  # at most 2**21 numbers
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    table = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+    lengths = sorted(r["m"] for r in items.select(F.length("body").alias("m")).where(F.col("m") < Q).distinct().collect())  # at most 7
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    known = texts.mapInArrow(_known_places(table, bits, lengths), f"doc_id {kind}, key long, hits array<struct<gram:long,place:int>>")
+    hits = known.select("doc_id", "key", F.explode("hits").alias("hit")).select("doc_id", "key", F.col("hit.gram").alias("gram"), F.col("hit.place").alias("place"))
+    met = hits.join(F.broadcast(grams) if total <= BROADCAST_GRAMS else grams, "gram")
+    reach = F.transform("spans", lambda x: F.sequence(F.floor((F.col("place") - x["high"]) / F.col("width")) - 1, F.floor((F.col("place") - x["low"]) / F.col("width"))))
+    votes = met.select("doc_id", "key", "no", "needed", F.explode(F.array_distinct(F.flatten(reach))).alias("band"))
+    bands = votes.groupBy("doc_id", "key", "no", "needed", "band").agg(F.count("*").alias("votes")).where("votes >= needed")
+    return bands.groupBy("doc_id", "key", "no").agg(F.collect_list("band").alias("bands"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, error: float) -> DataFrame:
+    """The rows of find_leaks() with ``key``, a hash of the text."""
+    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     spark = docs.sparkSession
+    shared_folder(spark)
+    texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    named = benchmark.select("item_id", "text").where("text is not null").distinct().withColumn("no", F.xxhash64("item_id", "text")).checkpoint()
+    items = named.select("no", "text").mapInArrow(_prepare(error), _ITEM).checkpoint()
+    grams = items.select("no", "needed", "width", F.explode("grams").alias("g")).select("g.gram", "g.spans", "no", "needed", "width").checkpoint()
+    total = grams.count()
+    out = f"doc_id {kinds[0]}, key long, item_id {kinds[1]}, start int, end int, edits int"
+    if not total:
+        return spark.createDataFrame([], out)
+    regions = _candidates(texts, items, grams, total).checkpoint()
+    wanted = regions.join(items.select("no", "body", "budget"), "no").join(named.select("no", "item_id"), "no")
+    wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("item_id", "body", "budget", "bands")).alias("items"))
+    hit = few_or_shuffled(regions.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))
+    rows = texts.join(hit, same, "left_semi").join(wanted, same).select("doc_id", "key", "text", "items")
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    return rows.mapInArrow(lambda b: _align(b, id_type), out)
+
 
-    def scan(block: Block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(1 << _TABLE_BITS, bool)
-            table[(block.grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-            for part in tx.slices(batches, "text"):
-                raw, at = tx.utf8(part.column("text"))
-                data, offsets, origin = normalise(raw, at)
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                regions = list(_regions(block, table, data, offsets))
-                for at_once in range(0, len(regions), 256):
-                    some = regions[at_once : at_once + 256]
-                    widths = np.array([2 * (int(block.budgets[i]) + 1) for _, i, _ in some])
-                    # where the band begins before the document, bytes that match nothing keep its origin
-                    begins = [int(offsets[d]) for d, _, _ in some]
-                    texts = [bytes(max(begin - low, 0)) + data[max(begin, low) : min(int(offsets[d + 1]), low + len(block.texts[i]) + width)].tobytes() for (d, i, low), begin, width in zip(some, begins, widths.tolist(), strict=True)]
-                    for (d, i, low), begin, cost, a, b in zip(some, begins, *(x.tolist() for x in banded_distances([block.texts[i] for _, i, _ in some], texts, widths)), strict=True):
-                        if cost <= block.budgets[i]:
-                            best[d, i] = min(best.get((d, i), (1 << 30, 0, 0)), (cost, max(begin, low + a), low + b))
-                if best:
-                    lead = np.cumsum((raw & 0xC0) != 0x80)
-                    out = []
-                    for (d, i), (cost, a, b) in sorted(best.items()):
-                        base = lead[at[d] - 1] if at[d] else 0
-                        first, last = origin[a], origin[min(b, len(origin)) - 1]
-                        out.append((d, block.ids[i], int(lead[first] - 1 - base), int(lead[last] - base), cost))
-                    docs_, items, starts, ends, edits = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(docs_)), pa.array(items, id_type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "start", "end", "edits"])
-
-        return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, start int, end int, edits int")
-
-    id_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    blocks, held, size = [], [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():  # one block at a time
-        held.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-        if size >= block_chars:
-            blocks.append(scan(prepare(held, error)))
-            held, size = [], 0
-    if held:
-        blocks.append(scan(prepare(held, error)))
-    if not blocks:
-        return spark.createDataFrame([], f"doc_id {doc_kind}, item_id {item_kind}, start int, end int, edits int")
-    return reduce(DataFrame.unionByName, blocks)
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error: float = 0.1) -> DataFrame:
+    """``doc_id, item_id, start, end, edits``: the places of each item in each document that holds it.
+
+    ``error`` is the share of an item's characters that may be edited, insertions and deletions included.  Offsets count
+    code points of the text, end exclusive.  Places of an item do not overlap: of overlapping ones the one with fewer edits
+    counts, then the first.  Items with fewer than 8 letters, digits and blanks between words match where their words stand
+    unchanged, as words of their own; null items and those without letters and digits match nothing, nor do null or empty
+    texts.  Every input row is searched, so repeated documents give repeated rows; of equal items one is searched, items
+    that share an identifier or a text each give their rows.  Texts of any length are one row's work.
+    """
+    return _leaks(docs, benchmark, error).drop("key")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, error: float = 0.1) -> DataFrame:
-    """The documents that hold no item; rows without identifier are judged as one document."""
-    leaks = few_or_shuffled(find_leaks(docs, benchmark, error=error).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that hold no item; rows are judged by identifier and text."""
+    leaks = few_or_shuffled(_leaks(docs, benchmark, error).select(F.col("doc_id").alias("_leak"), F.col("key").alias("_text")).distinct())
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
 
 
 def leaks_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every document and item it holds, with the place and the number of edits."""
+    """Every document and item it holds, with the places and the number of edits."""
     return find_leaks(docs, benchmark)
