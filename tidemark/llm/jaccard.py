@@ -30,7 +30,7 @@ from pyspark.sql.window import Window as W
 
 from . import textops as tx
 from .components import components
-from .session import shared_folder
+from .session import few_or_shuffled, shared_folder
 
 SHINGLE_WORDS = 5
 SKETCH_BITS = 20
@@ -424,10 +424,36 @@ def _plausible(rows: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
 def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of columns ``doc_id, text``, a row for each input row.
 
-    ``component_id`` is the smallest identifier reachable by links.  Null texts and texts without words have no shingles
-    and link with nothing; texts shorter than a shingle are one shingle as a whole.  Repeated rows are copies of each other.
-    ``threshold`` is in percent.
+    ``component_id`` is the smallest identifier reachable by links, null where no row of a component has one.  Null texts and
+    texts without words have no shingles and link with nothing; texts shorter than a shingle are one shingle as a whole.
+    Repeated rows are copies of each other, and so are rows with equal identifiers only if their texts are alike.  Texts of
+    any length are one row's work.  Columns besides the two are not looked at.  ``threshold`` is in percent.
     """
+    return _components(docs, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
+    """The documents (all columns) with one row left of each component: the smallest identifier, then the smallest text hash.
+
+    Rows without words stay.  Of rows with one identifier those with other texts are documents of their own; of equal rows
+    one stays; a null identifier comes after all others.
+    """
+    rows = _components(docs, threshold).where("n_shingles > 0").select("doc_id", "key", "component").checkpoint()
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    first = first.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
+    judged = rows.join(first, "component").groupBy("doc_id", "key").agg(F.max(stays).alias("stays"), F.count("*").alias("rows"))
+    # most documents stay and have one row: only the others are looked up
+    others = few_or_shuffled(judged.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("stays").alias("_stays")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    plain = docs.join(others, same, "left_anti")
+    repeated = docs.join(others.where("_stays"), same, "left_semi").withColumn("_key", F.xxhash64("text"))
+    place = F.row_number().over(W.partitionBy("doc_id", "_key").orderBy(*(F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text"))))
+    return plain.unionByName(repeated.withColumn("_place", place).where("_place = 1").select(docs.columns))
+
+
+def _components(docs: DataFrame, threshold: int) -> DataFrame:
+    """``doc_id, key, n_shingles, component, component_id``: a hash of the text, and a name of the component (null: no words)."""
     shared_folder(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
@@ -440,9 +466,9 @@ def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
             for s, c in zip(sets, names, strict=True):
                 sketches.append(sketch(s) if len(s) and c not in seen else None)
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "key", "n_shingles", "cls", "sketch"])
 
-    rows = docs.mapInArrow(members, f"doc_id {kind}, n_shingles long, cls long, sketch binary").checkpoint()
+    rows = docs.withColumn("key", F.xxhash64("text")).mapInArrow(members, f"doc_id {kind}, key long, n_shingles long, cls long, sketch binary").checkpoint()
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"))
     levels = rarity_levels(docs)
     lists = _postings(docs, levels, threshold).repartition("token").sortWithinPartitions("token", "cls")
@@ -469,6 +495,6 @@ def similar_documents(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
 
     tagged = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     heads = tagged.groupBy("component").agg(F.min("doc").alias("component_id"))
-    names = tagged.join(heads, "component").select("cls", "component_id")
-    full = rows.where("n_shingles > 0").join(names, "cls").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    names = tagged.join(heads, "component").select("cls", "component", "component_id")
+    full = rows.where("n_shingles > 0").join(names, "cls").select("doc_id", "key", "n_shingles", "component", "component_id")
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
