@@ -11,10 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tidemark.llm import decontaminate, jaccard, language, mixing, pii
-from tidemark.llm.session import few_or_shuffled, shared_folder
+from tidemark.llm.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,22 +25,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest identifier of each component of similar ones.
-
-    Rows with one identifier are one document, of which one row stays; rows without identifier stay as they are.
-    """
-    own = F.max(F.col("doc_id") == F.col("component_id"))
-    ids = jaccard.similar_documents(docs).where("doc_id is not null").groupBy("doc_id").agg(own.alias("stays"), F.count("*").alias("rows"))
-    # most documents stay and have one row: only the others are looked up
-    others = few_or_shuffled(ids.where("not stays or rows > 1"))
-    plain = docs.join(others, "doc_id", "left_anti").select(COLUMNS)
-    repeated = docs.join(others.where("stays"), "doc_id", "left_semi")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")))
-    return plain.unionByName(repeated.withColumn("_place", place).where("_place = 1").select(COLUMNS))
+    """Keep one document of each component of similar ones, the one with the smallest identifier."""
+    return jaccard.keep_one(docs.select(COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item; rows are judged by identifier and text."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
@@ -51,8 +40,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, in training order, with their words, repeats and position."""
-    return mixing.training_order(mixing.mix_sources(docs.select(COLUMNS)).where("taken > 0"))
+    """The documents the mix takes, with their words, the words taken, and the positions in training of all their copies."""
+    return mixing.mix_sources(docs.select(COLUMNS), only_taken=True)
 
 
 STAGES = [
