@@ -187,6 +187,52 @@ def test_licence_short_notices_and_rows_of_them(spark):
     assert got[200] == [] and [label for label, _, _ in got[201]] == ["mit"]
 
 
+def plain_labels(text):
+    """Labels of the templates that some stretch of the text holds in order, gram by gram."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    grams, out = list(zip(words, words[1:], strict=False)), set()
+    for label, template in licenses.TEMPLATES:
+        t = template.split()
+        own = list(zip(t, t[1:], strict=False))
+        need, reach = -(-6 * len(own) // 10), int(1.5 * (len(own) + 1))
+        if len(set(own) & set(grams)) < 0.6 * len(set(own)) * 0.7:
+            continue
+        for start in [i for i, g in enumerate(grams) if g in own]:
+            row = [0] * (len(own) + 1)  # longest common subsequence of the stretch and the template
+            for g in grams[start : start + reach - 1]:
+                new = [0]
+                for k, h in enumerate(own, 1):
+                    new.append(row[k - 1] + 1 if g == h else max(row[k], new[-1]))
+                row = new
+            if row[-1] >= need:
+                out.add(label)
+                break
+    return out
+
+
+def test_licence_labels_against_plain_alignment(spark, texts):
+    rnd = random.Random(11)
+    rows = [(i, t) for i, t in texts if len(t) < 1500]
+    for k, (_, template) in enumerate(licenses.TEMPLATES):
+        words = template.split()
+        for edits in (0, len(words) // 15):
+            w = list(words)
+            for _ in range(edits):
+                w.insert(rnd.randrange(len(w)), "really")
+            rows.append((70_000 + 2 * k + (edits > 0), "Some intro here. " + " ".join(w) + " and the end"))
+    rows.append((80_000, "of the software and the rights of the copies in the software, a purpose of the other " * 6))
+    got = {r.doc_id: {x.label for x in r.findings if not x.base} for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == plain_labels(t), (i, t)
+
+
+def test_licence_texts_of_any_length(spark):
+    long = " ".join(f"t{i % 90}x{i // 7}" for i in range(900))
+    (row,) = licenses.scan_licenses(spark.createDataFrame([(1, f"a {long} {long} b")], "doc_id long, text string"), templates=[("long", long)]).collect()
+    assert [(x.start, x.end, x.cover) for x in row.findings] == [(1, 901, 1.0), (901, 1801, 1.0)]
+    assert licenses.aligned([(i, t) for i in range(0, 40, 10) for t in (0, 1, 2)], 3, 0.6) == []
+
+
 def test_licence_odd_rows(odd):
     rows = licenses.license_report(odd).collect()
     assert len(rows) == len(ODD) and {r.n_words for r in rows if r.doc_id in (1, 2, 4)} == {0} and licenses.license_report(odd.where("1 = 0")).count() == 0
@@ -412,10 +458,10 @@ def test_leaks(spark, documents, monkeypatch):
     docs = documents.select("doc_id", "text").collect()
     exact = {(d.doc_id, i) for d in docs for i, t in items if t in d.text}
     assert exact <= {(r.doc_id, r.item_id) for r in decontaminate.leaks_report(documents, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", 0)
-    shuffled = decontaminate.leaks_report(documents, bench)
+    monkeypatch.setattr(decontaminate, "BLOCK_GRAMS", 500)
+    in_blocks = decontaminate.leaks_report(documents, bench)
     monkeypatch.undo()
-    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, decontaminate.leaks_report(documents, bench).collect()))
+    assert sorted(map(tuple, in_blocks.collect())) == sorted(map(tuple, decontaminate.leaks_report(documents, bench).collect()))
 
 
 def test_leak_offsets_and_odd_rows(spark, odd):

@@ -3,8 +3,9 @@
 Every two consecutive words of a text form a gram; the hashes of all grams are joined with the grams of the template
 texts.  A hit at word ``p`` of the text and word ``t`` of a template votes for the diagonal ``p - t``.  Votes are counted
 for each document, template and diagonal; neighbouring diagonals (a few words inserted or left out) are merged, unless they
-hit the same grams, for there the template begins anew; a merged band is a finding if it covers enough of the template and
-is not much longer than it.
+hit the same grams, for there the template begins anew.  A merged band is verified by aligning its words with the template's:
+the longest chain of hits that go forward in both is a finding if it covers enough of the template and is not much longer
+than it; what stands before and behind it is looked at in the same way.
 
 The join side with the templates is a constant of this module, so it is broadcast; votes are pre-aggregated before
 the shuffle.  The operator shuffles hits, never texts.
@@ -12,6 +13,7 @@ the shuffle.  The operator shuffles hits, never texts.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from . import textops as tx
 #: Phrases that count wherever their words stand consecutively, with their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Passages of well-known public licence texts and notices, with labels; at most 64 words each.
+#: Well-known public licence texts, passages of them, and notices, with labels; of any length from two words on.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -53,6 +55,11 @@ TEMPLATES = [
     ("cc", "cc by nd"),
     ("cc", "cc by sa"),
     ("proprietary", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
 ]
 
 GRAM = 2
@@ -78,18 +85,74 @@ def _template_rows(phrases: dict[str, str], templates: list[tuple[str, str]]) ->
     rows = [(_MARKER, -1, 0, 0, "", False)]
     for number, (label, text, base) in enumerate([(v, k, True) for k, v in phrases.items()] + [(*t, False) for t in templates]):
         grams = tx.windows(tx.hash_words(text), GRAM).view(np.int64).tolist()
-        if not 1 <= len(grams) < 64:
-            raise ValueError(f"a template has 2 to 64 words: {text!r}")
+        if not grams:
+            raise ValueError(f"a template has two words or more: {text!r}")
         rows += [(g, number, place, len(grams), label, base) for place, g in enumerate(grams)]
     return rows
 
 
+def aligned(hits: list[tuple[int, int]], size: int, min_cover: float) -> list[tuple[int, int, int]]:
+    """First and last text place and number of hits of the chains that cover enough of a template of ``size`` grams.
+
+    ``hits`` are places of the same gram in text and template.  A chain goes forward in both; the longest one is taken first
+    (of equal ones that which ends first), and then those among the hits before and behind it.
+    """
+    hits = sorted(set(hits), key=lambda h: (h[0], -h[1]))
+    if len({t for _, t in hits}) < min_cover * size:
+        return []
+    ends: list[int] = []  # the smallest template place that a chain of each length ends with
+    at: list[int] = []
+    before = [-1] * len(hits)
+    best = -1
+    for i, (_, t) in enumerate(hits):
+        k = bisect.bisect_left(ends, t)
+        before[i] = at[k - 1] if k else -1
+        if k == len(ends):
+            ends.append(t)
+            at.append(i)
+            best = i
+        else:
+            ends[k], at[k] = t, i
+    chain = []
+    while best >= 0:
+        chain.append(hits[best])
+        best = before[best]
+    first, last = chain[-1][0], chain[0][0]
+    if len(chain) < min_cover * size:
+        return []
+    if last + GRAM - first > 1.5 * (size + 1):  # torn: the parts on both sides of the widest gap
+        cut = max(range(1, len(chain)), key=lambda i: chain[i - 1][0] - chain[i][0])
+        parts = [[h for h in hits if h[0] <= chain[cut][0]], [h for h in hits if h[0] > chain[cut][0]]]
+        return [x for part in parts if len(part) < len(hits) for x in aligned(part, size, min_cover)]
+    return [*aligned([h for h in hits if h[0] < first], size, min_cover), (first, last, len(chain)), *aligned([h for h in hits if h[0] > last], size, min_cover)]
+
+
+_FINDING = pa.struct([("base", pa.bool_()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], min_cover: float) -> Iterator[pa.RecordBatch]:
+    """Bands of the templates as findings; those of base phrases are exact already."""
+    for batch in batches:
+        out = []
+        for size, label, base, diagonals in zip(*(batch.column(c).to_pylist() for c in ("size", "label", "base", "diagonals")), strict=True):
+            if label is None:
+                out.append([])
+            elif base:
+                out.append([{"base": True, "label": label, "start": d["diagonal"], "end": d["diagonal"] + size + GRAM - 1, "cover": 1.0} for d in diagonals])
+            else:
+                hits = [(d["diagonal"] + t, t) for d in diagonals for t in d["places"]]
+                out.append([{"base": False, "label": label, "start": a, "end": b + GRAM, "cover": n / size} for a, b, n in aligned(hits, size, min_cover)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "digest", "n_words", "copies")), pa.array(out, pa.list_(_FINDING))], ["doc_id", "digest", "n_words", "copies", "findings"])
+
+
 def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = BASE_PHRASES, templates: list[tuple[str, str]] = TEMPLATES, min_cover: float = 0.6, max_gap: int = 3) -> DataFrame:
     """Findings of each document of columns ``doc_id, text``: ``doc_id, n_words, findings``, a row for each input row.
 
     ``findings`` is an array of (base, label, start, end, cover): words from 0, end exclusive; cover is the share of the
-    template's grams that were hit.  Base findings are the exact places of a phrase.  Null texts count as empty, empty
-    texts have no findings; identifiers may be null or repeat (rows are told apart by identifier and text).
+    template's grams in the aligned chain.  Base findings are the exact places of a phrase.  Occurrences of a template
+    that follow each other, also without a word between, are findings of their own.  Null texts count as empty, empty
+    texts have no findings; identifiers may be null or repeat (rows are told apart by identifier and text; equal rows have
+    equal findings); columns besides the two are not looked at.  Templates are a list that a driver holds, of any length.
     """
     spark = docs.sparkSession
     marks = F.broadcast(spark.createDataFrame(_template_rows(phrases, templates), "gram long, template int, place int, size int, label string, base boolean"))
@@ -97,19 +160,20 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = BASE_PHRASES, te
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
     grams = texts.mapInArrow(_grams, f"doc_id {kind}, digest long, n_words long, grams array<long>")
     hits = grams.select("doc_id", "digest", "n_words", F.posexplode("grams").alias("at", "gram")).join(marks, "gram")
-    votes = hits.groupBy("doc_id", "digest", "n_words", "template", "size", "label", "base", (F.col("at") - 1 - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.min(F.col("at") - 1).alias("low"), F.max(F.col("at") + GRAM - 1).alias("high")
-    )
-    strong = F.col("base") & (F.bit_count("mask") == F.col("size")) | ~F.col("base") & (F.bit_count("mask") >= F.least(F.lit(2), F.col("size"))) | (F.col("template") < 0)
+    diagonal = (F.col("at") - 1 - F.col("place")).alias("diagonal")
+    votes = hits.groupBy("doc_id", "digest", "n_words", "template", "size", "label", "base", diagonal).agg(F.count("*").alias("votes"), F.collect_set("place").alias("places"))
+    strong = F.col("base") & (F.size("places") == F.col("size")) | ~F.col("base") & (F.size("places") >= F.least(F.lit(2), F.col("size"))) | (F.col("template") < 0)
     order = W.partitionBy("doc_id", "digest", "template").orderBy("diagonal")
-    anew = F.col("mask").bitwiseAND(F.coalesce(F.lag("mask").over(order), F.lit(0))) != 0
+    anew = F.coalesce(F.arrays_overlap("places", F.lag("places").over(order)), F.lit(False))
     apart = F.col("base") | anew | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.lit(-1_000_000)) > max_gap)
     bands = votes.where(strong).repartition("doc_id", "digest").withColumn("band", apart.cast("int")).withColumn("band", F.sum("band").over(order))
-    merged = bands.groupBy("doc_id", "digest", "n_words", "template", "size", "label", "base", "band").agg(F.max("votes").alias("votes"), F.bit_or("mask").alias("mask"), F.min("low").alias("start"), F.max("high").alias("end"))
-    cover = F.bit_count("mask") / F.when(F.col("size") > 0, F.col("size"))
-    good = (F.col("template") >= 0) & (cover >= min_cover) & (F.col("end") - F.col("start") <= 1.5 * (F.col("size") + 1))
-    finding = F.when(good, F.struct("base", "label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), cover.alias("cover")))
-    found = merged.groupBy("doc_id", "digest", "n_words").agg(F.sort_array(F.collect_list(finding)).alias("findings"), F.max(F.when(F.col("template") < 0, F.col("votes"))).alias("copies"))
+    merged = bands.groupBy("doc_id", "digest", "n_words", "template", "size", F.when(F.col("template") >= 0, F.col("label")).alias("label"), "base", "band").agg(
+        F.max(F.when(F.col("template") < 0, F.col("votes"))).alias("copies"), F.sort_array(F.collect_list(F.struct("diagonal", "places"))).alias("diagonals")
+    )
+    checked = merged.select("doc_id", "digest", "n_words", "copies", "size", "label", "base", "diagonals").mapInArrow(
+        lambda b: _verify(b, min_cover), f"doc_id {kind}, digest long, n_words long, copies long, findings array<struct<base:boolean,label:string,start:long,end:long,cover:double>>"
+    )
+    found = checked.groupBy("doc_id", "digest", "n_words").agg(F.sort_array(F.flatten(F.collect_list("findings"))).alias("findings"), F.max("copies").alias("copies"))
     return found.withColumn("copy", F.explode(F.expr("array_repeat(1, int(copies))"))).select("doc_id", "n_words", "findings")
 
 
