@@ -2,15 +2,15 @@
 
 Texts and benchmark items are normalised (letters and digits in lower case, everything else one blank).  If an item of
 length m stands in a text with at most k edits, then at least m - q + 1 - k * q of its q-grams are shared within a band
-of k + 1 diagonals.  The q-grams of the items are a table; a bit table made of it, of bounded size, keeps from the texts the
-places of q-grams that an item may have, and a join on the q-gram gives the hits.  They are counted for each text and item in
-overlapping bands of diagonals, as places of the text; bands that meet the bound are aligned with the item, and kept if the
-distance is within the budget.
+of k + 1 diagonals.  The q-grams of the items are a table, cut into blocks of bounded size; the q-grams of each text are looked
+up in a block, the hits are counted for each item in overlapping bands of diagonals, as places of the text, and bands that
+meet the bound are aligned with the item, and kept if the distance is within the budget.
 
 A q-gram that an item repeats stands there in stretches: a place of the text votes once for each band that such a stretch
 reaches, at most about 2 / error bands, so repetitive texts and items cost no more than their length times that.
 
-Only hits and counts are shuffled, and at the end the texts that hold a band worth aligning.
+A block is one map over the documents, and its result is written out before the next begins; most benchmarks are one block.
+Only texts that hold a band worth aligning are joined with items, and only they can move.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window as W
 
 from . import textops as tx
 from .session import few_or_shuffled, shared_folder
 
 Q = 8
-#: Bits of the table that texts are looked up in: 32 for each q-gram of the items, within these powers of two.
-TABLE_BITS = (22, 27)
-#: So many q-grams of items (some tens of MB) are broadcast, more are joined by a shuffle.
-BROADCAST_GRAMS = 500_000
+#: Bits of the table that q-grams of texts are looked up in first.
+TABLE_BITS = 24
+#: So many q-grams of items (some 100 MB) are sent to tasks at once; more are handled in blocks, one after another.
+BLOCK_GRAMS = 4_000_000
+_VOTES = 2_000_000
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,9 +79,8 @@ def _stretches(places: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, edge + 1)].tolist(), places[np.append(edge, len(places) - 1)].tolist(), strict=True))
 
 
-_ITEM = "no long, body binary, budget int, needed int, width int, grams array<struct<gram:long,spans:array<struct<low:int,high:int>>>>"
-_SPANS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-_GRAMS = pa.list_(pa.struct([("gram", pa.int64()), ("spans", _SPANS)]))
+_ITEM = "no long, body binary, budget int, needed int, width int, grams array<struct<gram:long,low:int,high:int>>"
+_GRAMS = pa.list_(pa.struct([("gram", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
 
 
 def _prepare(error: float):
@@ -99,7 +100,8 @@ def _prepare(error: float):
                 g = q_grams(data) if m >= Q else short_grams(data, m)[1]
                 order = np.argsort(g, kind="stable")
                 first = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))
-                grams = [{"gram": int(v), "spans": [{"low": a, "high": b} for a, b in _stretches(at, k + 1)]} for v, at in zip(g[order][first].view(np.int64), np.split(order, first[1:]), strict=True)]
+                # stretches that are more than two widths apart reach different bands from any place
+                grams = [{"gram": int(v), "low": a, "high": b} for v, at in zip(g[order][first].view(np.int64), np.split(order, first[1:]), strict=True) for a, b in _stretches(at, 2 * (k + 1))]
                 for column, value in zip(out, (no, body, k, max(1, m - Q + 1 - k * Q), k + 1, grams), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), _GRAMS)
@@ -108,34 +110,82 @@ def _prepare(error: float):
     return run
 
 
-def _known_places(table: np.ndarray, bits: int, lengths: list[int]):
-    """For each text the places whose q-gram the table knows."""
+class _Block:
+    """The q-grams of some items, sorted, each with its item, a stretch of places in it, and the width of the item's bands."""
+
+    def __init__(self, table: pa.Table) -> None:
+        gram = table["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(gram, kind="stable")
+        self.gram = gram[order]
+        self.low, self.high, self.width, needed, no, length = (table[c].to_numpy()[order].astype(np.int64) for c in ("low", "high", "width", "needed", "no", "length"))
+        self.names, first, self.item = np.unique(no, return_index=True, return_inverse=True)
+        self.needed = needed[first]
+        self.lengths = np.unique(length[length < Q]).tolist()
+        self.bits = np.zeros(1 << TABLE_BITS, bool)
+        self.bits[(self.gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the places whose q-gram an item has: text, place in it, and the first and last of its entries."""
+        g = q_grams(data)
+        at = np.flatnonzero(self.bits[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        values = g[at]
+        doc = np.searchsorted(offsets, at, "right") - 1
+        inside = at + Q <= offsets[doc + 1]
+        at, values = at[inside], values[inside]
+        for n in self.lengths:
+            few = [short_grams(data[a:b], n) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            at = np.concatenate([at, *(p + a for (p, _), a in zip(few, offsets[:-1], strict=True))])
+            values = np.concatenate([values, *(v for _, v in few)])
+        begin, end = np.searchsorted(self.gram, values, "left"), np.searchsorted(self.gram, values, "right")
+        some = np.flatnonzero(end > begin)
+        some = some[np.argsort(at[some], kind="stable")]
+        doc = np.searchsorted(offsets, at[some], "right") - 1
+        return doc, at[some] - offsets[doc], begin[some], end[some]
+
+    def bands(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and band (of the diagonals from band times width on, two widths wide) with enough q-grams of the item."""
+        doc, place, begin, end = self.hits(data, offsets)
+        shift, span = int(self.high.max()) + 3, int(len(data) + self.high.max()) + 8
+        held, counts = [], []
+        edges = np.append(np.searchsorted(np.cumsum(end - begin), np.arange(0, (end - begin).sum(), _VOTES // 4), "left"), len(doc))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            n = (end - begin)[a:b]
+            entry = np.repeat(begin[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            d, p, w = np.repeat(doc[a:b], n), np.repeat(place[a:b], n), self.width[entry]
+            first, last = (p - self.high[entry]) // w - 1, (p - self.low[entry]) // w
+            key = ((d * len(self.names) + self.item[entry]) * span) + shift
+            n = last - first + 1
+            inner = np.append(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), _VOTES), "left"), len(n))
+            for x, y in zip(inner[:-1], inner[1:], strict=True):
+                m = n[x:y]
+                votes = np.repeat(key[x:y] + first[x:y] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                names, times = np.unique(votes, return_counts=True)
+                held.append(names)
+                counts.append(times)
+        if not held:
+            return (np.zeros(0, np.int64),) * 3
+        names, at = np.unique(np.concatenate(held), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts))
+        item = names // span % len(self.names)
+        good = total >= self.needed[item]
+        names, item = names[good], item[good]
+        return names // span // len(self.names), item, names % span - shift
+
+
+def _count_bands(block: _Block):
+    """For each text the items with the bands that have enough of their q-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
             data, offsets, _ = normalise(*tx.utf8(part.column("text")))
-            g = q_grams(data)
-            at = np.flatnonzero(table[(g >> np.uint64(64 - bits)).astype(np.int64)])
-            doc = np.searchsorted(offsets, at, "right") - 1
-            inside = at + Q <= offsets[doc + 1]
-            at, doc = at[inside], doc[inside]
-            values = g[at]
-            for n in lengths:
-                few = [short_grams(data[a:b], n) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                more = np.concatenate([p + a for (p, _), a in zip(few, offsets[:-1], strict=True)])
-                value = np.concatenate([v for _, v in few])
-                some = table[(value >> np.uint64(64 - bits)).astype(np.int64)]
-                at, values = np.concatenate([at, more[some]]), np.concatenate([values, value[some]])
-                doc = np.searchsorted(offsets, at, "right") - 1
-            order = np.argsort(doc, kind="stable")
-            at, doc, values = at[order], doc[order], values[order]
-            count = np.bincount(doc, minlength=part.num_rows)
-            some = np.flatnonzero(count)
-            hits = pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array((at - offsets[doc]).astype(np.int32))], ["gram", "place"])
-            bounds = np.zeros(len(some) + 1, np.int32)
-            np.cumsum(count[some], out=bounds[1:])
-            rows = part.select(["doc_id", "key"]).take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(bounds), hits)], ["doc_id", "key", "hits"])
+            doc, item, band = block.bands(data, offsets)
+            if not len(doc):
+                continue
+            pair = doc * len(block.names) + item
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            rows = part.select(["doc_id", "key"]).take(pa.array(doc[first]))
+            lists = tx.list_column(band, np.diff(np.append(first, len(pair))), pa.int64())
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(block.names[item[first]]), lists], ["doc_id", "key", "no", "bands"])
 
     return run
 
@@ -249,23 +299,20 @@ def _align(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(items, id_type), *(pa.array(v, pa.int32()) for v in (starts, ends, edits))], ["doc_id", "key", "item_id", "start", "end", "edits"])
 
 
-def _candidates(texts: DataFrame, items: DataFrame, grams: DataFrame, total: int) -> DataFrame:
+def _candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, key, no, bands``: for each text and item the bands with enough q-grams of it."""
-    bits = min(max(TABLE_BITS[0], total.bit_length() + 5), TABLE_BITS[1])
-    slot = F.shiftrightunsigned("gram", 64 - bits)
-    words = grams.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(gram, {64 - bits}) & 63))")).alias("bits")).toArrow()  # at most 2**21 numbers
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    table = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
-    lengths = sorted(r["m"] for r in items.select(F.length("body").alias("m")).where(F.col("m") < Q).distinct().collect())  # at most 7
     kind = texts.schema["doc_id"].dataType.simpleString()
-    known = texts.mapInArrow(_known_places(table, bits, lengths), f"doc_id {kind}, key long, hits array<struct<gram:long,place:int>>")
-    hits = known.select("doc_id", "key", F.explode("hits").alias("hit")).select("doc_id", "key", F.col("hit.gram").alias("gram"), F.col("hit.place").alias("place"))
-    met = hits.join(F.broadcast(grams) if total <= BROADCAST_GRAMS else grams, "gram")
-    reach = F.transform("spans", lambda x: F.sequence(F.floor((F.col("place") - x["high"]) / F.col("width")) - 1, F.floor((F.col("place") - x["low"]) / F.col("width"))))
-    votes = met.select("doc_id", "key", "no", "needed", F.explode(F.array_distinct(F.flatten(reach))).alias("band"))
-    bands = votes.groupBy("doc_id", "key", "no", "needed", "band").agg(F.count("*").alias("votes")).where("votes >= needed")
-    return bands.groupBy("doc_id", "key", "no").agg(F.collect_list("band").alias("bands"))
+    order = W.orderBy("no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sizes = items.select("no", F.size("grams").alias("n"))  # a row for each item: a benchmark, not a corpus
+    numbered = sizes.withColumn("block", F.floor((F.sum("n").over(order) - F.col("n")) / BLOCK_GRAMS)).checkpoint()
+    found = None
+    for number in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
+        own = items.join(F.broadcast(numbered.where(F.col("block") == number).select("no")), "no", "left_semi")
+        table = own.select("no", "needed", "width", F.length("body").alias("length"), F.explode("grams").alias("g")).select("no", "needed", "width", "length", "g.*").toArrow()  # one block
+        if len(table):
+            bands = texts.mapInArrow(_count_bands(_Block(table)), f"doc_id {kind}, key long, no long, bands array<long>").checkpoint()
+            found = bands if found is None else found.unionByName(bands)
+    return found
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, error: float) -> DataFrame:
@@ -276,12 +323,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, error: float) -> DataFrame:
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
     named = benchmark.select("item_id", "text").where("text is not null").distinct().withColumn("no", F.xxhash64("item_id", "text")).checkpoint()
     items = named.select("no", "text").mapInArrow(_prepare(error), _ITEM).checkpoint()
-    grams = items.select("no", "needed", "width", F.explode("grams").alias("g")).select("g.gram", "g.spans", "no", "needed", "width").checkpoint()
-    total = grams.count()
     out = f"doc_id {kinds[0]}, key long, item_id {kinds[1]}, start int, end int, edits int"
-    if not total:
+    regions = _candidates(texts, items)
+    if regions is None:
         return spark.createDataFrame([], out)
-    regions = _candidates(texts, items, grams, total).checkpoint()
+    regions = regions.groupBy("doc_id", "key", "no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("bands")))).alias("bands")).checkpoint()  # equal rows have equal bands
     wanted = regions.join(items.select("no", "body", "budget"), "no").join(named.select("no", "item_id"), "no")
     wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("item_id", "body", "budget", "bands")).alias("items"))
     hit = few_or_shuffled(regions.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
