@@ -217,3 +217,20 @@ def test_stream_batches(spark, tmp_path):
     stream = ingest.events_stream(spark, "/root/testdata/sf0.001")
     ingest.each_batch(ingest.distinct_observations(stream), lambda df, n: seen.append(df.count()), str(tmp_path / "c")).awaitTermination(120)
     assert sum(seen) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_stored_prices_are_those_of_the_observations(spark):
+    o = obs(spark, [("1", 50, NOW - timedelta(days=3)), ("1", 20, NOW), ("2", 10, NOW), ("3", 40, NOW)])
+    stats = B.benchmarks(o, as_of=AS_OF, with_rest=True)
+    got = {r.product_id: (r.price_count, r.total_points, r.latest_any, r.current_price, r.history_days) for r in stats.collect()}
+    assert got == {"1": (2, 1, 20.0, 50.0, 1), "2": (1, 0, 10.0, None, None), "3": (1, 1, 40.0, 40.0, 1)}
+    plain = B.benchmarks(o, as_of=AS_OF)
+    assert sorted(map(str, stats.where("total_points > 0").select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_numbers_of_json_and_axes(spark):
+    rows = spark.createDataFrame([(1, '[1, "2.5", "x", null, ""]'), (2, "[1"), (3, None), (4, "[]")], "k int, t string")
+    assert {r.k: r.n for r in rows.select("k", X.numbers_of_json(F.col("t")).alias("n")).collect()} == {1: [1.0, 2.5, 0.0, 0.0], 2: [], 3: [], 4: []}
+    values = spark.createDataFrame([([5.0, 1.0, 9.0, 1.0, 9.0, 3.0, 4.0],), ([2.0],), ([],)], "v array<double>")
+    got = [r.a for r in values.select(P.chart_scale(F.col("v")).alias("a")).collect()]
+    assert (got[0].x_ticks, got[0].low_at, got[0].high_at) == ([0, 2, 4, 6], 3, 4) and got[1].x_ticks == [0] and got[2].x_ticks is None

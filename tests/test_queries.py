@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, page_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,3 +49,10 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalogue.QUERIES["guarded_append"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "l_shipdate" not in plan and "Python" not in plan
+
+
+def test_a_page_scans_the_observations_twice(spark):
+    """Once for the stored columns of all products, once for the recent prices of the page."""
+    for name in ("grid_desconto", "grid_search", "artist_page", "style_page", "carousel"):
+        plan = catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_extendedprice#") > 0 and len([line for line in plan.splitlines() if "Relation" in line and "l_orderkey" in line]) <= 2, name

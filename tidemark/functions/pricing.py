@@ -109,6 +109,16 @@ def page_range(current: int, total: int) -> list[int | None]:
     return out
 
 
+def clamp_page(page: Column, pages: Column) -> Column:
+    """The page to show: not behind the last one."""
+    return F.least(page, pages)
+
+
+def has_more(page: Column, pages: Column) -> Column:
+    """Whether another page can be appended."""
+    return page < pages
+
+
 def sparkline_points(values: Column, width: int = 44, height: int = 18, least: float = 0.10) -> Column:
     """(x, y) of each value in a box, the range being at least a tenth of the maximum; needs two values."""
     high, low, n = F.array_max(values), F.array_min(values), F.size(values)
@@ -121,11 +131,15 @@ def trend_down(values: Column) -> Column:
     return F.element_at(values, -1) <= F.element_at(values, 1)
 
 
-def chart_scale(values: Column, ticks: int = 5) -> Column:
-    """The ends of the axis, 0.8 of the lowest to 1.1 of the highest value, and evenly spaced ticks."""
-    low, high = F.array_min(values) * 0.8, F.array_max(values) * 1.1
+def chart_scale(values: Column, ticks: int = 5, most: int = 4) -> Column:
+    """The ends of the axis, 0.8 of the lowest to 1.1 of the highest value, and evenly spaced ticks; the places (from 0) of at
+    most so many labels along the other axis, first and last included; the last places of the lowest and highest value."""
+    low, high, n = F.array_min(values) * 0.8, F.array_max(values) * 1.1, F.size(values)
     marks = F.transform(F.sequence(F.lit(0), F.lit(ticks - 1)), lambda i: low + (high - low) * i / (ticks - 1))
-    return F.struct(low.alias("low"), high.alias("high"), marks.alias("ticks"))
+    count = F.least(n, F.lit(most))
+    along = F.when(n <= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.floor(i * (n - 1) / (count - 1) + 0.5).cast("int")))
+    last = lambda value: n - F.array_position(F.reverse(values), value).cast("int")
+    return F.struct(low.alias("low"), high.alias("high"), marks.alias("ticks"), F.when(n > 0, along).alias("x_ticks"), last(F.array_min(values)).alias("low_at"), last(F.array_max(values)).alias("high_at"))
 
 
 def local_date(ts: Column, zone: str = "America/Sao_Paulo") -> Column:
@@ -137,6 +151,11 @@ def day_label(ts: Column, as_of: Column, zone: str = "America/Sao_Paulo") -> Col
     return F.when(local_date(ts, zone) == local_date(as_of, zone), "hoje").otherwise(F.date_format(F.from_utc_timestamp(ts, zone), "dd/MM"))
 
 
+def full_label(ts: Column, zone: str = "America/Sao_Paulo") -> Column:
+    """Day, month, year and time, local."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "dd/MM/yyyy HH:mm")
+
+
 def within_hours(ts: Column, first: int = 8, last: int = 22, zone: str = "America/Sao_Paulo") -> Column:
     h = F.hour(F.from_utc_timestamp(ts, zone))
     return (h >= first) & (h < last)

@@ -97,6 +97,16 @@ REJECTED_PHRASES = (
 )
 
 
+# Patterns of names, titles, prices and pages.
+LEADING_WORD, EDGE_SIGNS, YEAR_PART = r"(?i)^(por|by|de)(?=\s|[^a-zA-ZÀ-ÿ])", "^[:·•–—,;]+|[:·•–—,;]+$", r"\s*\|\s*\d{4}\b.*$"
+CD_TITLE = r"(?i)\bcd\b|\[cd\]|\(cd\)|compact disc|\bcd\s*\d"
+FORMAT_LABEL, TITLE_EDGES = r"(?i)\s*[\[(]\s*(?:disco\s+de\s+vinil|vinil|vinyl|\d*\s*lp|picture\s+disc|180\s*g[r]?)\s*[\])]\s*", r"^[ \-–—|,]+|[ \-–—|,]+$"
+PRICE_SIGNS, PRICE_NUMBER = r"R\$\s*|\x{A0}|\s", r"\d+(?:\.\d+)?"
+
+#: What a page that asks for a human says, in lower case: our own list.
+ROBOT_PHRASES = ("robot check", "verificação de robô", "captcha", "not a robot", "digite os caracteres", "enter the characters", "automated access", "access denied")
+
+
 def plausible_artist(name: Column) -> Column:
     """Whether a text can be an artist: a letter, 120 characters at most, no price, no phrase of the shop."""
     low = F.lower(name)
@@ -108,25 +118,26 @@ def plausible_artist(name: Column) -> Column:
 
 def clean_artist(text: Column) -> Column:
     """Without a leading por/by/de, punctuation at the ends and a trailing "| year ..."."""
-    t = F.trim(F.regexp_replace(F.trim(text), r"(?i)^(por|by|de)(?=\s|[^a-zA-ZÀ-ÿ])", ""))
-    t = F.trim(F.regexp_replace(t, "^[:·•–—,;]+|[:·•–—,;]+$", ""))
-    return F.trim(F.regexp_replace(t, r"\s*\|\s*\d{4}\b.*$", ""))
+    t = F.trim(F.regexp_replace(F.trim(text), LEADING_WORD, ""))
+    t = F.trim(F.regexp_replace(t, EDGE_SIGNS, ""))
+    return F.trim(F.regexp_replace(t, YEAR_PART, ""))
 
 
 def vinyl_title(title: Column) -> Column:
     """Not a CD by its title."""
-    return ~title.rlike(r"(?i)\bcd\b|\[cd\]|\(cd\)|compact disc|\bcd\s*\d")
+    return ~title.rlike(CD_TITLE)
 
 
 def blocked_page(html: Column) -> Column:
     """A page that asks whether the reader is a robot."""
-    return html.rlike(r"(?i)robot check|verificação de robô|digite os caracteres|make sure you.re not a robot|automated access to|access denied|enter the characters you see|validatecaptcha|prove you.re not a robot")
+    low = F.lower(html)
+    return F.exists(F.array(*map(F.lit, ROBOT_PHRASES)), lambda phrase: low.contains(phrase))
 
 
 def parse_price(text: Column) -> Column:
     """A price as written in Brazil: points group thousands, a comma starts the cents.  So "29.90" is 2990."""
-    bare = F.regexp_replace(text, r"R\$\s*|\x{A0}|\s", "")
-    return F.nullif(F.regexp_extract(F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")), r"\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
+    bare = F.regexp_replace(text, PRICE_SIGNS, "")
+    return F.nullif(F.regexp_extract(F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")), PRICE_NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def parse_review_count(text: Column) -> Column:
@@ -164,8 +175,7 @@ def page_url(url: Column, page: Column) -> Column:
 
 def clean_title(title: Column) -> Column:
     """Without format labels in brackets, and without separators at the ends."""
-    bare = F.regexp_replace(title, r"(?i)\s*[\[(]\s*(?:disco\s+de\s+vinil|vinil|vinyl|\d*\s*lp|picture\s+disc|180\s*g[r]?)\s*[\])]\s*", " ")
-    return F.regexp_replace(bare, r"^[ \-–—|,]+|[ \-–—|,]+$", "")
+    return F.regexp_replace(F.regexp_replace(title, FORMAT_LABEL, " "), TITLE_EDGES, "")
 
 
 def escape_html(text: Column) -> Column:
@@ -207,6 +217,12 @@ def truncate_description(text: Column, limit: int = 155) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, "(?s)(?<=.) [^ ]*$", ""), F.lit("…")))
 
 
+def numbers_of_json(text: Column) -> Column:
+    """The numbers of a JSON array, in order, without those that are none; null and blank texts are 0, bad JSON is an empty list."""
+    values = F.transform(F.from_json(text, "array<string>"), lambda x: F.when(F.trim(F.coalesce(x, F.lit(""))) == "", 0.0).otherwise(x.try_cast("double")))
+    return F.coalesce(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)), F.expr("cast(array() as array<double>)"))
+
+
 def search_prefixes(term: str) -> list[str]:
     """The lower-case words of a search term, stripped of anything but letters and digits; empty ones dropped."""
     kept = ["".join(c for c in word if c.isascii() and c.isalnum() or "À" <= c <= "ɏ") for word in term.split()]

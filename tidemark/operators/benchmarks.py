@@ -14,22 +14,27 @@ def mean(price: Column, when: Column | None = None) -> Column:
     return F.try_divide(F.sum(x).cast("double"), F.count(x).cast("double"))
 
 
-def benchmarks(obs: DataFrame, *, as_of: str, floor: float | None = 30, short_days: int = 30, long_days: int = 90) -> DataFrame:
+def benchmarks(obs: DataFrame, *, as_of: str, floor: float | None = 30, short_days: int = 30, long_days: int = 90, with_rest: bool = False) -> DataFrame:
     """``product_id, total_points, history_days, low_all_time, avg_all, avg_short_strict, avg_short, low_short, avg_long, current_price, latest_at``.
 
     Windows include their first moment.  ``avg_short`` falls back to the mean of all prices; averages have two decimals.
     The newest price comes from the same aggregation; ties in time go to the larger identifier, then the larger price.
+    With ``with_rest`` prices below the floor are counted too: there is a row for each product that has any, and the columns
+    ``price_count`` and ``latest_any`` are about all of its prices.
     """
     now = F.lit(as_of).cast("timestamp")
     inside = lambda days: F.col("captured_at") >= now - F.make_dt_interval(days=F.lit(days))
     cents = lambda x: F.floor(x * 100 + 0.5) / 100
-    price = F.col("price")
-    span = F.unix_micros(F.max("captured_at")) - F.unix_micros(F.min("captured_at"))
-    newest = F.max(F.struct("captured_at", "obs_id", "price"))
-    rows = above(obs, floor).groupBy("product_id").agg(
-        F.count("*").alias("total_points"), F.greatest(F.lit(1), F.ceil(span / 86_400_000_000.0)).cast("int").alias("history_days"), F.min("price").cast("double").alias("low_all_time"),
+    counts = F.col("price") >= floor if with_rest and floor is not None else F.lit(True)
+    only = lambda x: F.when(counts, x) if with_rest and floor is not None else x
+    price, time, row = only(F.col("price")), only(F.col("captured_at")), F.struct("captured_at", "obs_id", "price")
+    span = F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))
+    days = F.greatest(F.lit(1), F.ceil(span / 86_400_000_000.0)).cast("int")
+    rest = [F.count("*").alias("price_count"), F.max(row)["price"].cast("double").alias("latest_any")] if with_rest else []
+    rows = (obs if with_rest else above(obs, floor)).groupBy("product_id").agg(
+        F.count(price).alias("total_points"), F.when(F.count(time) > 0, days).alias("history_days"), F.min(price).cast("double").alias("low_all_time"),
         cents(mean(price)).alias("avg_all"), cents(mean(price, inside(short_days))).alias("avg_short_strict"),
-        F.min(F.when(inside(short_days), price)).cast("double").alias("low_short"), cents(mean(price, inside(long_days))).alias("avg_long"), newest.alias("_newest"),
+        F.min(F.when(inside(short_days), price)).cast("double").alias("low_short"), cents(mean(price, inside(long_days))).alias("avg_long"), F.max(only(row)).alias("_newest"), *rest,
     )
     return rows.withColumn("avg_short", F.coalesce("avg_short_strict", "avg_all")).withColumn("current_price", F.col("_newest.price").cast("double")).withColumn("latest_at", F.col("_newest.captured_at")).drop("_newest")
 

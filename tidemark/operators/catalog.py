@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.functions import pricing as P
 from tidemark.functions import text as X
@@ -61,15 +62,26 @@ def listed(products: DataFrame, *, search: str = "", artist: str | None = None,
 
 
 def with_latest(products: DataFrame, obs: DataFrame, *, floor: float | None) -> DataFrame:
-    """Products that have a price, with ``price, mean_price, discount``."""
-    latest = latest_price(obs, floor=floor).select(F.col("product_id").alias("id"), F.col("price").cast("double").alias("price"))
-    rows = products.join(latest, "id")
+    """Products that have a price, with ``price, mean_price, discount``.
+
+    The newest price is read from the observations, unless the products store it (``latest_any``, or ``latest_30`` for a floor
+    of 30).
+    """
+    stored = "latest_any" if floor is None else f"latest_{floor:g}"
+    if stored in products.columns:
+        rows = products.where(F.col(stored).isNotNull()).withColumn("price", F.col(stored).cast("double"))
+    else:
+        rows = products.join(latest_price(obs, floor=floor).select(F.col("product_id").alias("id"), F.col("price").cast("double").alias("price")), "id")
     return rows.withColumn("mean_price", P.mean_or_latest(F.col("avg_30d"), F.col("price"))).withColumn("discount", P.discount(F.col("avg_30d"), F.col("price")))
 
 
 def with_recent(page: DataFrame, obs: DataFrame, *, as_of: str, days: int, newest: bool, floor: float | None) -> DataFrame:
-    """``recent`` prices of a page of products; empty where the window has none."""
-    mine = obs.join(page.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    """``recent`` prices of a page of products (a hundred at most); empty where the window has none.
+
+    The page is kept in memory while it is used twice: for the observations of its products, and for the result.
+    """
+    page = page.persist()
+    mine = obs.join(F.broadcast(page.select(F.col("id").alias("product_id"))), "product_id", "left_semi")  # a page
     recent = recent_prices(mine, as_of=as_of, days=days, newest=newest, floor=floor).withColumnRenamed("product_id", "id")
     return page.join(recent, "id", "left").withColumn("recent", F.coalesce("recent", F.expr("cast(array() as array<double>)")))
 
@@ -117,11 +129,12 @@ def artist_page(products: DataFrame, obs: DataFrame, slug: str, *, as_of: str, s
     return grid(own, obs, as_of=as_of, sort=sort, page=page, max_price=max_price, days=days).crossJoin(F.broadcast(name))  # one row
 
 
-def tag_frequency(products: DataFrame, *, limit: int = 5, exclude: str | None = None) -> DataFrame:
-    """``tag, n``: the commonest tags, in lower case, without one name."""
-    rows = products.select(F.explode(X.parse_tags(F.col("tags"))).alias("tag")).select(F.lower("tag").alias("tag"))
+def tag_frequency(products: DataFrame, *, limit: int = 5, exclude: str | None = None, order: str = "id") -> DataFrame:
+    """``tag, n``: the commonest tags, in lower case, without one name; of equal ones that which comes first in the order of a column."""
+    rows = products.select(F.col(order).alias("_row"), F.posexplode(X.parse_tags(F.col("tags"))).alias("_at", "tag")).withColumn("tag", F.lower("tag"))
     rows = rows if exclude is None else rows.where(F.col("tag") != exclude.lower())
-    return rows.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
+    counted = rows.groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("_row", "_at")).alias("_first"))
+    return counted.orderBy(F.desc("n"), "_first", "tag").limit(limit).select("tag", "n")
 
 
 def detail_tags(tags: Column, artist: Column, limit: int = 5) -> Column:
@@ -163,6 +176,39 @@ def style_page(products: DataFrame, obs: DataFrame, tag: str, *, as_of: str, sor
     return with_badge(with_recent(best, obs, as_of=as_of, days=days, newest=False, floor=None), as_of=as_of).orderBy(*sort_columns(sort))
 
 
+def style_page_of(products: DataFrame, obs: DataFrame, slug: str, **how) -> DataFrame:
+    """The style page of a slug, with ``tag``: the slug stands for its smallest tag, which is looked up first; empty if unknown."""
+    found = style_slugs(products).where(F.col("slug") == slug).select("tag").first()  # one row at most
+    name = found["tag"] if found else ""
+    return style_page(products if found else products.where(F.lit(False)), obs, name, **how).withColumn("tag", F.lit(name))
+
+
+def in_portuguese_order(names: DataFrame, column: str) -> DataFrame:
+    """Rows in the order of Portuguese, where accents and capitals come second; equal ones in binary order."""
+    return names.orderBy(F.collate(F.col(column), "pt"), F.col(column))
+
+
+def ping_styles(products: DataFrame) -> DataFrame:
+    """``style``: of available products that have one, a row each."""
+    return products.where(F.col("available") & F.col("style").isNotNull()).select("style")
+
+
+def deals_to_check(products: DataFrame) -> DataFrame:
+    """``ext_key, id, title`` of active deals: the best first, of equal ones the one updated longest ago."""
+    rows = products.where("deal_score is not null")
+    return rows.orderBy(F.desc("deal_score"), F.asc_nulls_first("updated_at"), "id").select("ext_key", "id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+def home_page(products: DataFrame, obs: DataFrame, top_slugs: DataFrame, *, as_of: str, search: str = "", artist: str | None = None, sort: str = "desconto", page: int = 1, max_price: float | None = None, days: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The grid, its count with the page shown and whether another can be appended, and the carousel, which is empty for a
+    search or a single artist."""
+    how = {"search": search, "artist": artist, "max_price": max_price}
+    shown = grid(products, obs, as_of=as_of, sort=sort, page=page, days=days, **how)
+    count = grid_count(products, obs, **how).withColumn("page", P.clamp_page(F.lit(page), F.col("pages"))).withColumn("has_more", P.has_more(F.lit(page), F.col("pages")))
+    chosen = top_slugs.where(F.lit(not search.strip() and artist is None))
+    return shown, count, carousel(products, obs, chosen, as_of=as_of, days=days)
+
+
 def related_deals(products: DataFrame, obs: DataFrame, product_id, *, as_of: str, seed: int = 0, n: int = 4, days: int = 30) -> DataFrame:
     """Other products with a deal: the highest scores, equal ones in an order that the seed decides."""
     rows = listed(products).where((F.col("id") != product_id) & F.col("deal_score").isNotNull())
@@ -231,6 +277,55 @@ def detail(products: DataFrame, obs: DataFrame, slug: str, *, as_of: str, days:
     return own.join(history, "id", "left")
 
 
+def detail_page(products: DataFrame, obs: DataFrame, slug: str, *, as_of: str, days: int = 365, zone: str = "America/Sao_Paulo") -> DataFrame:
+    """The product of a slug with the figures of its page, from one history of a year: points, latest, lowest, highest and mean
+    price, when the lowest and highest were seen last, status, and the history with the change to the price before and local
+    labels.  No row for an unknown slug; a product without history has null figures and an empty history."""
+    now = F.lit(as_of).cast("timestamp")
+    own = detail(products, obs, slug, as_of=as_of, days=days)
+    points = F.coalesce("history", F.array().cast("array<struct<captured_at:timestamp,obs_id:bigint,price:decimal(10,2)>>"))
+    price = F.transform(points, lambda x: x["price"].cast("double"))
+    mean = F.aggregate(points, F.lit(0).cast("decimal(20,2)"), lambda s, x: (s + x["price"]).cast("decimal(20,2)"), lambda s: s.cast("double")) / F.nullif(F.size(points), F.lit(0))
+    last = lambda best: F.array_max(F.transform(F.filter(points, lambda x: x["price"].cast("double") == best), lambda x: x["captured_at"]))
+    row = lambda x, i: F.struct(
+        x["captured_at"].alias("captured_at"), x["price"].cast("double").alias("price"), (x["price"].cast("double") - F.get(points, i - 1)["price"].cast("double")).alias("delta"),
+        P.day_label(x["captured_at"], now, zone).alias("label"), P.full_label(x["captured_at"], zone).alias("full_label"),
+    )
+    low, high, latest = F.array_min(price), F.array_max(price), F.get(price, F.size(price) - 1)
+    return own.withColumn("points", F.size(points)).withColumn("latest", latest).withColumn("low", low).withColumn("high", high).withColumn("mean", mean).withColumn("low_at", last(low)).withColumn("high_at", last(high)).withColumn(
+        "status", P.price_status(latest, low, mean, F.size(points))
+    ).withColumn("first_tags", detail_tags(F.col("tags"), F.col("artist"))).withColumn("history", F.transform(points, row))
+
+
+def enrich_tags(products: DataFrame, payloads: DataFrame, tags_of: Column) -> DataFrame:
+    """Products with the tags of artists that never had any fetched: ``payloads`` has ``artist`` and what ``tags_of`` reads.
+
+    An artist without labels gets an empty text, which means fetched; artists without payload stay as they are.
+    """
+    wanted = payloads.join(untagged_artists(products), "artist", "left_semi")
+    return set_tags_where_null(products, wanted.select("artist", F.array_join(tags_of, ", ").alias("tags")))
+
+
+def set_tags_where_null(products: DataFrame, tags: DataFrame) -> DataFrame:
+    new = tags.groupBy(F.col("artist").alias("_artist")).agg(F.min("tags").alias("_tags"))
+    return products.join(new, F.col("artist") == F.col("_artist"), "left").withColumn("tags", F.coalesce("tags", "_tags")).drop("_artist", "_tags")
+
+
+def list_json(rows: DataFrame, name: str, base: str, *order: Column) -> DataFrame:
+    """One row ``json``: a schema.org list of a page's products, in the given order."""
+    placed = rows.withColumn("_place", F.row_number().over(W.orderBy(*order)))  # one page
+    item = F.struct(F.lit("ListItem").alias("@type"), F.col("_place").alias("position"), F.concat(F.lit(f"{base}/disco/"), F.col("slug")).alias("url"), F.col("title").alias("name"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("_place", item.alias("item")))), lambda x: x["item"])
+    head = [F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), F.lit(name).alias("name")]
+    return placed.agg(F.to_json(F.struct(*head, F.count("*").alias("numberOfItems"), items.alias("itemListElement"))).alias("json"))
+
+
+def breadcrumb_json(steps: list[tuple[str, str]]) -> Column:
+    """A schema.org trail of (name, address)."""
+    item = lambda k, name, url: F.struct(F.lit("ListItem").alias("@type"), F.lit(k).alias("position"), F.lit(name).alias("name"), F.lit(url).alias("item"))
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), F.array(*(item(k, *s) for k, s in enumerate(steps, 1))).alias("itemListElement")))
+
+
 def product_json(rows: DataFrame) -> DataFrame:
     """``id, json``: a schema.org description of products with a price."""
     offer = F.struct(F.lit("Offer").alias("@type"), F.lit("BRL").alias("priceCurrency"), F.col("price"), F.when(F.col("available"), "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability"))

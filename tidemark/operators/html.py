@@ -108,6 +108,20 @@ def _cards(root: dom.Node) -> list[dict]:
     ]
 
 
+def _search_cards(root: dom.Node) -> list[dict]:
+    """Cards of an artist search: the names of their own format, the links to other formats, title and prices."""
+    out = []
+    for c in root.select(f"{CARD}[data-asin]"):
+        recipe, head = c.first("[data-cy='price-recipe']"), c.first("h2[aria-label]") or c.first("h2")
+        links = [(a.text(), a.parent.text(" ") if a.parent is not None else "", a.get("href")) for a in c.select("a[href]")]
+        out.append({
+            "card_key": c.get("data-asin").strip().upper(), "card_text": c.text(" "), "own": [a.text() for a in recipe.select("a.a-text-bold")] if recipe is not None else [],
+            "links": [x[0] for x in links], "near": [x[1] for x in links], "hrefs": [x[2] for x in links],
+            "title": (head.get("aria-label").strip() or head.text(" ")) if head is not None else "", "prices": [n.text() for n in c.select(".a-price .a-offscreen")],
+        })
+    return out
+
+
 def _vinyl(node: dom.Node) -> bool:
     low = node.text(" ").lower()
     return "vinil" in low or "vinyl" in low
@@ -150,6 +164,7 @@ _PRODUCT_FIELDS = [
     ("title", pa.string()), ("artists", _STRINGS), ("ratings", _STRINGS), ("reviews", _STRINGS), ("image", pa.string()), ("availability", pa.string()), ("badge", _STRINGS), ("shut", _STRINGS),
     *((n, pa.bool_()) for n in ("qualified", "unqualified", "used", "vinyl_out", "switcher", "vinyl_selected", "other_formats_only")), ("table_prices", _STRINGS), ("box_prices", _STRINGS), ("loose_prices", _STRINGS), ("variant_links", _STRINGS),
 ]
+_SEARCH_FIELDS = [("card_key", pa.string()), ("card_text", pa.string()), *((n, _STRINGS) for n in ("own", "links", "near", "hrefs")), ("title", pa.string()), ("prices", _STRINGS)]
 _ARTICLE_FIELDS = [("title", pa.string()), ("headings", _STRINGS), ("links", _STRINGS), ("text", pa.string())]
 
 
@@ -181,9 +196,14 @@ def first_price(texts: Column) -> Column:
     return _first(texts, X.parse_price, lambda p: p >= FLOOR)
 
 
+# Texts that are no title, and titles of other formats.
+RATING_TEXT, NUMBER_TEXT = r"(?i)^\d[\d,.]* de \d|^\d[\d.]* out of \d|estrelas?$", r"^[\d.,\s%R$]+$"
+OTHER_TITLE = r"(?i)\bcd\b|\[cd\]|\(cd\)|compact disc|\bcd\s*\d|\bcassete\b|\bcassette\b|\bfita\s+cassete\b"
+
+
 def choose_title(titles: Column) -> Column:
     """The longest of the texts that are titles (300 characters at most, else the first); null if none is."""
-    no = lambda t: (F.length(t) <= 3) | t.rlike(r"(?i)^\d[\d,.]* de \d|^\d[\d.]* out of \d|estrelas?$") | t.rlike(r"^[\d.,\s%R$]+$") | F.exists(F.array(*map(F.lit, PROMOTIONS)), lambda p: F.lower(t).contains(p))
+    no = lambda t: (F.length(t) <= 3) | t.rlike(RATING_TEXT) | t.rlike(NUMBER_TEXT) | F.exists(F.array(*map(F.lit, PROMOTIONS)), lambda p: F.lower(t).contains(p))
     good = F.filter(titles, lambda t: ~no(t))
     short = F.filter(good, lambda t: F.length(t) <= 300)
     longest = F.aggregate(short, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
@@ -234,7 +254,7 @@ def product_pages(pages: DataFrame, *, compat_stock: bool = False) -> DataFrame:
     lost = F.col("switcher") & table.isNull() & (F.col("vinyl_out") | ~F.col("vinyl_selected"))
     price = F.when(no_offer | lost, None).when(table.isNotNull() & ~F.col("vinyl_selected"), table).otherwise(F.coalesce(box, loose))
     reviews = F.when(~no_offer, _first(F.col("reviews"), X.parse_review_count, lambda x: x.isNotNull()))
-    wrong_title = F.coalesce(F.col("title").rlike(r"(?i)\bcd\b|\[cd\]|\(cd\)|compact disc|\bcd\s*\d|\bcassete\b|\bcassette\b|\bfita\s+cassete\b"), F.lit(False))
+    wrong_title = F.coalesce(F.col("title").rlike(OTHER_TITLE), F.lit(False))
     rows = rows.withColumn("price", price).withColumn("review_count", reviews).withColumn("artist", choose_artist(F.col("artists"))).withColumn("rating", _first(F.col("ratings"), X.parse_rating, lambda x: x.isNotNull()))
     rows = rows.withColumn("non_vinyl", wrong_title | F.col("other_formats_only")).withColumn("variant_key", _first(F.col("variant_links"), X.key_of_url, lambda x: x.isNotNull()))
     return rows.withColumn("image", X.image_size(F.col("image"))).select(*(c for c in pages.columns if c != "html"), "title", "artist", "image", "rating", "review_count", "in_stock", "price", "non_vinyl", "used", "variant_key")
@@ -246,6 +266,23 @@ def discovered_records(pages: DataFrame) -> DataFrame:
     return rows.withColumn("slug", X.product_slug(F.col("title"), F.col("ext_key"))).drop("non_vinyl", "used", "variant_key", "in_stock")
 
 
+# What artist searches say of formats and offers.
+VINYL_FORMAT, OTHER_FORMAT, NO_OFFER = r"(?i)disco\s+de\s+vinil", r"(?i)outro\s+formato|other\s+format", r"(?i)nenhuma\s+op.+?de\s+compra\s+em\s+destaque"
+
+
+def artist_search_records(pages: DataFrame) -> DataFrame:
+    """``ext_key, title, price`` of the vinyl that pages of an artist search show; other columns of the pages are kept.
+
+    A card counts if its own format is vinyl, or if it names vinyl as another format with a link that has a key, which is
+    then the record's.  Cards without an offer or a key of ten signs give none; a price below the floor is null.
+    """
+    rows = _extract(pages, _search_cards, _SEARCH_FIELDS).where((F.length("card_key") == 10) & ~F.col("card_text").rlike(NO_OFFER))
+    own = F.exists("own", lambda t: t.rlike(VINYL_FORMAT))
+    others = F.filter(F.arrays_zip("links", "near", "hrefs"), lambda x: x["links"].rlike(VINYL_FORMAT) & x["near"].rlike(OTHER_FORMAT) & X.key_of_url(x["hrefs"]).isNotNull())
+    rows = rows.withColumn("ext_key", F.when(own, F.col("card_key")).otherwise(X.key_of_url(F.get(others, 0)["hrefs"]))).withColumn("price", first_price(F.col("prices")))
+    return rows.where("ext_key is not null").drop("card_key", "card_text", "own", "links", "near", "hrefs", "prices")
+
+
 def articles(pages: DataFrame) -> DataFrame:
     """Title, headings, links and visible text of any page."""
     return _extract(pages, _article, _ARTICLE_FIELDS)

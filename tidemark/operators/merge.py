@@ -133,6 +133,11 @@ def set_state(state: DataFrame, key: str, value: Column) -> DataFrame:
     return state.where(F.col("key") != key).unionByName(row)
 
 
+def get_state(state: DataFrame, key: str, default: str | None = None) -> DataFrame:
+    """One row with the ``value`` of a key, or the default where the table has none."""
+    return state.where(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit(default).cast("string")).alias("value"))
+
+
 def next_batch(index: Column, size: int = 13) -> Column:
     """The next index of a cycle."""
     return F.pmod(index + 1, F.lit(size))

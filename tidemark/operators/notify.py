@@ -15,6 +15,8 @@ from .merge import KEEP_OLD, merge
 def active_deals(products: DataFrame, obs: DataFrame, *, floor: float = 30) -> DataFrame:
     """Available products with a deal and an average above 0, at their newest price."""
     rows = products.where(F.col("deal_score").isNotNull() & F.col("available") & (F.col("avg_30d") > 0))
+    if f"latest_{floor:g}" in products.columns:  # stored with the products
+        return rows.where(F.col(f"latest_{floor:g}").isNotNull()).withColumn("price", F.col(f"latest_{floor:g}").cast("decimal(10,2)"))
     return rows.join(latest_price(obs, floor=floor).select(F.col("product_id").alias("id"), "price"), "id")
 
 
@@ -87,6 +89,16 @@ def run_gates(as_of: Column, last_sent_at: Column, *, drip_minutes: int = 20) ->
     return window, window & waited
 
 
+def plan_run(queue: DataFrame, sent: DataFrame, *, as_of: str, n: int = 5, drip_minutes: int = 20) -> DataFrame:
+    """``ext_key, action`` of a run: outside sending hours nothing; inside, all edits, and if enough minutes have passed since the
+    last message also what next_messages() sends or discards."""
+    window, may_send = run_gates(F.lit(as_of).cast("timestamp"), F.col("_last"), drip_minutes=drip_minutes)
+    gate = F.broadcast(sent.agg(F.max("sent_at").alias("_last")).select(window.alias("_open"), may_send.alias("_send")))  # one row
+    changed = edits(queue, sent).select("ext_key", F.lit("edit").alias("action")).crossJoin(gate).where("_open")
+    following = next_messages(queue, sent, as_of=as_of, n=n).select("ext_key", "action").crossJoin(gate).where("_send")
+    return changed.unionByName(following).select("ext_key", "action")
+
+
 def caption(title: Column, artist: Column, price: Column, avg: Column, low: Column, url: Column) -> Column:
     """The text of a message."""
     price, avg, low = price.cast("double"), avg.cast("double"), low.cast("double")

@@ -69,11 +69,12 @@ def write_back(products: DataFrame, scored: DataFrame) -> DataFrame:
     return scored_ids.unionByName(products.join(new.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
-def score_summary(scored: DataFrame) -> DataFrame:
-    """One row of counts."""
+def score_summary(scored: DataFrame, orphaned: DataFrame | None = None) -> DataFrame:
+    """One row of counts; with the table of orphans() their number too."""
     n = lambda cond: F.count_if(cond)
     t = F.col("transition")
-    return scored.agg(
+    row = scored.agg(
         F.count("*").alias("total"), n(t == "maintained").alias("scored"), n(t == "flagged").alias("flagged"), n(t == "cleared").alias("cleared"),
         n(F.col("cooled_down")).alias("skipped"), n(F.col("stale")).alias("stale"),
     )
+    return row if orphaned is None else row.crossJoin(orphaned.agg(F.count("*").alias("orphans")))  # one row each

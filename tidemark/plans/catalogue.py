@@ -292,7 +292,8 @@ def tag_counts(spark, d):
     return C.tag_counts(T.products(spark, d, with_benchmarks=False))
 
 
-@query("tag_frequency", f"{BASE}, f AS (SELECT unnest(string_split(lower(tags), ', ')) AS tag FROM prod) SELECT tag, count(*) AS n FROM f WHERE tag <> 'red' GROUP BY tag ORDER BY n DESC, tag LIMIT 5")
+@query("tag_frequency", f"""{BASE}, f AS (SELECT id, unnest(l) AS tag, generate_subscripts(l, 1) AS pos FROM (SELECT id, string_split(lower(tags), ', ') AS l FROM prod))
+  SELECT tag, count(*) AS n FROM f WHERE tag <> 'red' GROUP BY tag ORDER BY n DESC, min(id * 100 + pos) LIMIT 5""")
 def tag_frequency(spark, d):
     return C.tag_frequency(T.products(spark, d, with_benchmarks=False), exclude="Red")
 
@@ -311,10 +312,12 @@ def related_deals(spark, d):
 
 
 def _chart(spark, d) -> DataFrame:
-    return T.table(spark, d, "part").where("p_partkey < 60").select(X.artist_slug(F.col("p_brand")).alias("slug")).distinct()
+    """The chart: the ten artists with the most parts."""
+    names = T.table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand").limit(10)
+    return names.select(X.artist_slug(F.col("p_brand")).alias("slug")).distinct()
 
 
-_CHART = f"chart AS (SELECT DISTINCT {artist_slug('p_brand')} AS slug FROM part WHERE p_partkey < 60)"
+_CHART = f"chart AS (SELECT DISTINCT {artist_slug('p_brand')} AS slug FROM (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 10))"
 
 
 @query("carousel", f"""{BASE}, {_CHART}, {latest_any()}, {recent('r', newest=True, floor=None)},
@@ -380,19 +383,19 @@ def detail_history(spark, d):
 # --- scalars over text ----------------------------------------------------------------------------------------------
 
 
-@query("artist_slug", f"SELECT doc_id, {artist_slug('left(text, 120)')} AS slug FROM documents")
+@query("artist_slug", f"SELECT doc_id, {artist_slug('text')} AS slug FROM documents")
 def artist_slug_of_text(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", X.artist_slug(F.left("text", F.lit(120))).alias("slug"))
+    return T.table(spark, d, "documents").select("doc_id", X.artist_slug(F.col("text")).alias("slug"))
 
 
-@query("style_slug_sql", """SELECT doc_id, trim(regexp_replace(translate(lower(left(text, 200)), 'áàâãäåéèêëíìîïóòõôöúùûüçñý', 'aaaaaaeeeeiiiioooouuuucny'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+@query("style_slug_sql", """SELECT doc_id, trim(regexp_replace(translate(lower(text), 'áàâãäåéèêëíìîïóòõôöúùûüçñý', 'aaaaaaeeeeiiiioooouuuucny'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
 def style_slug_sql(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", X.compat_slug(F.left("text", F.lit(200))).alias("slug"))
+    return T.table(spark, d, "documents").select("doc_id", X.compat_slug(F.col("text")).alias("slug"))
 
 
-@query("escaped_captions", "SELECT page_id, replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+@query("escaped_captions", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
 def escaped_captions(spark, d):
-    return T.table(spark, d, "pages").select("page_id", X.escape_html(F.left("html", F.lit(200))).alias("escaped"))
+    return T.table(spark, d, "pages").select("page_id", X.escape_html(F.col("html")).alias("escaped"))
 
 
 @query("page_urls", r"""SELECT page_id, regexp_replace(url, '[&?](page|qid)=\d+', '', 'g') || CASE WHEN contains(regexp_replace(url, '[&?](page|qid)=\d+', '', 'g'), '?') THEN '&' ELSE '?' END || 'page=3' AS url FROM pages""")
@@ -539,7 +542,10 @@ def deal_tiers(spark, d):
     return N.tier_counts(_queue(spark, d)[2])
 
 
-@query("captions", None)
+@query("captions", f"""{BASE}, {_QUEUE}, m AS (SELECT *, translate(format('{{:,.2f}}', price), ',.', '.,') AS p, translate(format('{{:,.2f}}', avg_30d), ',.', '.,') AS a, translate(format('{{:,.2f}}', avg_30d - price), ',.', '.,') AS s FROM deals)
+  SELECT id, '🔥 <b>OFERTA</b>' || chr(10) || artist || ' — ' || title || chr(10) || CASE WHEN price <= low_all_time THEN '🏆 Menor preço histórico' || chr(10) ELSE '' END || chr(10) || '✅ Por: R$ ' || p || chr(10)
+  || CASE WHEN avg_30d > price THEN 'De: R$ ' || a || chr(10) || chr(10) || 'Desconto: ' || CAST(CAST(floor((avg_30d - price) / avg_30d * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% OFF' || chr(10) || 'Economia: R$ ' || s || chr(10) ELSE '' END
+  || chr(10) || '🛒 <a href=''https://shop.example.com/dp/' || ext_key || '?tag=tag''>Comprar na Amazon</a> 👉' AS caption FROM m""")
 def captions(spark, d):
     deals = _queue(spark, d)[2]
     return deals.select("id", N.caption(F.col("title"), F.col("artist"), F.col("price"), F.col("avg_30d"), F.col("low_all_time"), X.product_url(F.col("ext_key"), "tag")).alias("caption"))
@@ -674,7 +680,8 @@ def untagged_artists(spark, d):
     return C.untagged_artists(T.table(spark, d, "part").selectExpr("p_brand artist", "case when p_partkey % 9 <> 0 then p_type end tags"))
 
 
-@query("product_json", None)
+@query("product_json", f"""{BASE}, {_LISTED} SELECT id, '{{"@context":"https://schema.org","@type":"Product","name":"' || title || '","brand":{{"@type":"Brand","name":"' || artist || '"}},"offers":{{"@type":"Offer","priceCurrency":"BRL","price":'
+  || CAST(price AS VARCHAR) || ',"availability":"https://schema.org/InStock"}}}}' AS json FROM listed""")
 def product_json(spark, d):
     return C.product_json(C.with_latest(C.listed(T.products(spark, d)), T.observations(spark, d), floor=30))
 

@@ -48,7 +48,10 @@ def dense_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str, *, with_benchmarks: bool = True) -> DataFrame:
-    """Adapter A's products; the previous scoring state is derived from the identifiers."""
+    """Adapter A's products; the previous scoring state is derived from the identifiers.
+
+    The columns that a catalogue stores with its products (counts, averages, newest prices) come from one aggregation.
+    """
     k = F.col("p_partkey")
     hours = lambda n: at(LONG.as_of) - F.make_dt_interval(hours=n.cast("int"))
     artist = F.when(k % 4 == 3, F.concat(F.split_part("p_brand", F.lit("#"), F.lit(2)), F.lit(", BRAND"))).otherwise(F.col("p_brand"))
@@ -62,7 +65,6 @@ def products(spark: SparkSession, sf_dir: str, *, with_benchmarks: bool = True)
     )
     if not with_benchmarks:
         return rows
-    stats = benchmarks(observations(spark, sf_dir), as_of=LONG.as_of, floor=30, short_days=LONG.short_days, long_days=LONG.long_days)
-    counts = observations(spark, sf_dir).groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("price_count"))
-    stats = stats.select(F.col("product_id").alias("id"), F.col("avg_short").alias("avg_30d"), "low_all_time", F.col("history_days"))
-    return rows.join(counts, "id", "left").join(stats, "id", "left").withColumn("price_count", F.coalesce("price_count", F.lit(0)))
+    stats = benchmarks(observations(spark, sf_dir), as_of=LONG.as_of, floor=30, short_days=LONG.short_days, long_days=LONG.long_days, with_rest=True)
+    stats = stats.select(F.col("product_id").alias("id"), "price_count", F.col("avg_short").alias("avg_30d"), "low_all_time", "history_days", "latest_any", F.col("current_price").alias("latest_30"))
+    return rows.join(stats, "id", "left").withColumn("price_count", F.coalesce("price_count", F.lit(0)))
