@@ -820,11 +820,33 @@ def test_neighbours_hot_vector_and_small_buckets(spark):
     assert a == b and [r[2] for r in a if r[0] == 50] == [0, 1, 2, 3, 4]
 
 
-def test_probe_order_is_by_cost():
-    below, width = [0.1, 0.7, 0.45], 1.0
-    cost = lambda s: sum((d * d if v < 0 else (width - d) ** 2) for d, v in zip(below, s, strict=True) if v)
-    got = neighbours.probe_order(below, width, 27)
-    assert len(set(got)) == 27 and [round(cost(s), 9) for s in got] == sorted(round(cost(s), 9) for s in got)
+def test_visits_are_in_order_of_their_chance():
+    rng = np.random.default_rng(2)
+    below, distance = rng.random((3, 4)) * 2.0, np.array([0.3, 0.8, 1.2])
+    owner, step = neighbours.visits(below, distance, 2.0, 0.9)
+    for i in range(3):
+        moved = below[i] + distance[i] * rng.standard_normal((200_000, 4))  # where a neighbour's projections may lie
+        cells = np.floor(moved / 2.0).astype(int)
+        mine = step[owner == i]
+        share = [float((cells == s).all(1).mean()) for s in mine]
+        assert len({tuple(s) for s in mine}) == len(mine) and all(a >= b - 0.01 for a, b in zip(share, share[1:], strict=False))
+        assert 0.88 < sum(share) < 0.99 or len(mine) == 81
+    assert (owner == 0).sum() < (owner == 2).sum()
+
+
+def test_neighbours_visit_little_of_clustered_vectors(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((150, 64))
+    x = np.repeat(centres, 30, 0) + 0.35 * rng.standard_normal((4500, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    answers, visited = neighbours.search(df, F.col("vec_id") % 50 == 0)
+    got = collections.defaultdict(list)
+    for r in answers.collect():
+        got[r.query_id].append(r.vec_id)
+    want = plain_neighbours([(i, np.float32(v)) for i, v in rows])
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+    assert np.mean([r.visited for r in visited.collect()]) / len(rows) < 0.3
 
 
 # --- all together -----------------------------------------------------------------------------------------------------
