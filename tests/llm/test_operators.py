@@ -282,6 +282,20 @@ def test_similar_documents(spark, texts, short, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_similar_documents_with_clashing_names_dealt_lists_and_shuffles(spark, texts, monkeypatch):
+    """Digests of eight bits clash nearly always; lists of more than 20 rows are dealt over parts; nothing is broadcast."""
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 20)
+    monkeypatch.setattr(jaccard, "BROADCAST_CLASSES", 0)
+    rnd = random.Random(31)
+    base = [f"b{i}" for i in range(70)]
+    rows = list(texts) + [(20_000 + i, edited(rnd, base, rnd.randrange(5))) for i in range(150)] + [(30_000 + i, " ".join(base[:30]) + " " + " ".join(f"{rnd.randrange(900)}" for _ in range(12))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, names = jaccard._named(df, 8)
+    assert len(names.clashes) > 50
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard._components(df, 75, bits=8).collect()}
+    assert got == plain_components(rows)
+
+
 def test_sketches_bound_the_intersection():
     random = np.random.default_rng(5)
     for n, m, both in ((1, 1, 0), (1, 1, 1), (40, 50, 38), (40, 50, 3), (900, 1100, 880), (900, 1100, 0), (3000, 3000, 3000)):

@@ -21,6 +21,7 @@ Sets are rebuilt from the texts where they are verified; only prefixes, pairs an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from .session import few_or_shuffled, shared_folder
 SHINGLE_WORDS = 5
 SKETCH_BITS = 20
 SHORT_LIST = 16
-#: Classes whose identifiers are broadcast to pick their texts; beyond it the texts are joined by a shuffle.
-BROADCAST_CLASSES = 500_000
+#: Classes, and partners of all of them, that are broadcast to pick texts; beyond it the texts are joined by a shuffle.
+BROADCAST_CLASSES, BROADCAST_PARTNERS = 200_000, 1_000_000
+#: The index list of a shingle that more rows may have is dealt over several tasks.
+LIST_ROWS = 50_000
 PIVOT_ROWS = 2000
 _SLICE = 4096
 _KEEP_BITS = np.uint64(58)
@@ -59,9 +62,23 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return sets
 
 
-def digest(s: np.ndarray) -> int:
-    """A 64-bit identifier of a set, which together with its size names its class."""
-    return int((tx.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64))
+def digests(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set and its size; of the first one only so many bits are kept."""
+    first, second = ((tx.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64) for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B))
+    return int(first) if bits == 64 else int(first) & ((1 << bits) - 1), int(second)
+
+
+@dataclass(frozen=True)
+class Names:
+    """Names of classes: the first digest of a set, or the second one where different sets share the first."""
+
+    bits: int = 64
+    clashes: frozenset[int] = frozenset()
+
+    def of(self, s: np.ndarray) -> tuple[int, int]:
+        """The name of a set, and its other digest, by which a clash is seen."""
+        first, second = digests(s, self.bits)
+        return (second, first) if first in self.clashes else (first, second)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -104,41 +121,50 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     return pa.table({"place": pa.array([table["place"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def rarity_levels(docs: DataFrame) -> np.ndarray:
-    """A level for each sketch bucket: 0 for usual ones, growing with the logarithm of the count above the mean."""
+def rarity_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each sketch bucket a level, 0 for usual ones, growing with the logarithm of the count above the mean, and the number
+    of parts that the index lists in it are dealt over."""
     sketches = docs.select("text").mapInArrow(_count, "place int, counts binary")
     total = np.zeros(1 << SKETCH_BITS)
     for place, counts in sketches.groupBy("place").applyInArrow(_sum_counts, "place int, counts binary").collect():  # 2**SKETCH_BITS numbers
         total[place * _SLICE : (place + 1) * _SLICE] = np.frombuffer(counts, np.int64)
     mean = max(1.0, total.mean())
-    return np.clip(np.floor(4 * np.log2(np.maximum(total, 1) / mean)), 0, 63).astype(np.uint64)
+    return np.clip(np.floor(4 * np.log2(np.maximum(total, 1) / mean)), 0, 63).astype(np.uint8), np.where(total > LIST_ROWS, np.ceil(total / LIST_ROWS), 0).astype(np.int32)
 
 
 def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The set in the global order, as values that sort in it."""
-    return np.sort(levels[s >> np.uint64(64 - SKETCH_BITS)] << _KEEP_BITS | s >> np.uint64(6))
+    return np.sort(levels[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << _KEEP_BITS | s >> np.uint64(6))
+
 
+def _postings(docs: DataFrame, levels: np.ndarray, parts: np.ndarray, names: Names, threshold: int) -> DataFrame:
+    """``token, part, cls, meta``: a row for each prefix shingle of a class; part is 0 but for shingles of long lists (from 1)."""
+    dealt = parts if parts.any() else None
 
-def _postings(docs: DataFrame, levels: np.ndarray, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes that this task has emitted
         for part in tx.slices(batches, "text"):
             tokens, classes, sizes = [], [], []
             for s in shingle_sets(part.column("text")):
-                c = digest(s)
+                c, _ = names.of(s)
                 if not len(s) or c in seen:
                     continue
                 seen.add(c)
-                tokens.append(_ordered(s, levels)[: prefix_length(len(s), threshold)].view(np.int64))
+                tokens.append(_ordered(s, levels)[: prefix_length(len(s), threshold)])
                 classes.append(c)
                 sizes.append(len(s))
             if classes:
-                lists = tx.list_column(np.concatenate(tokens), np.array([len(t) for t in tokens]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["cls", "n", "tokens"])
+                lengths, token = np.array([len(t) for t in tokens]), np.concatenate(tokens)
+                own = np.zeros(len(token), np.int32)
+                if dealt is not None:
+                    bucket = (token >> np.uint64(_KEEP_BITS - np.uint64(SKETCH_BITS))) & np.uint64((1 << SKETCH_BITS) - 1)
+                    n = dealt[bucket.astype(np.int64)]
+                    own = np.where(n > 0, 1 + np.repeat(np.array(classes), lengths) % np.maximum(n, 1), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), tx.list_column(token.view(np.int64), lengths, pa.int64()), tx.list_column(own, lengths, pa.int32())], ["cls", "n", "tokens", "parts"])
 
-    lists = docs.select("text").mapInArrow(run, "cls long, n long, tokens array<long>")
-    rows = lists.select("cls", "n", F.posexplode("tokens").alias("at", "token"))
-    return rows.select("token", "cls", (F.shiftleft("n", 32) + F.col("at")).alias("meta"))
+    lists = docs.select("text").mapInArrow(run, "cls long, n long, tokens array<long>, parts array<int>")
+    rows = lists.select("cls", "n", F.posexplode(F.arrays_zip("tokens", "parts")).alias("at", "x"))
+    return rows.select(F.col("x.tokens").alias("token"), F.col("x.parts").alias("part"), "cls", (F.shiftleft("n", 32) + F.col("at")).alias("meta"))
 
 
 def _possible(meta_a: np.ndarray, meta_b: np.ndarray, threshold: int) -> np.ndarray:
@@ -176,20 +202,21 @@ def _candidate_rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _pairs_of_lists(threshold: int):
-    """Kind 0: a candidate pair, token both sizes, meta the number of lists it was met in.  Kind 1: a row of a long list."""
+    """Kind 0: a candidate pair, token both sizes, meta the number of lists it was met in.  Kind 1: a row of a long list, or of
+    one that is dealt over parts.  Kind 2: the hub of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, meta in _runs(batches, ["token", "cls", "meta"]):
+        for token, part, cls, meta in _runs(batches, ["token", "part", "cls", "meta"]):
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-            token, cls, meta = token[new], cls[new], meta[new]
+            token, part, cls, meta = token[new], part[new], cls[new], meta[new]
             edge = np.ones(len(token), bool)
-            edge[1:] = token[1:] != token[:-1]
+            edge[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
             start = np.flatnonzero(edge)
             size = np.diff(np.append(start, len(token)))
             begin, length = np.repeat(start, size), np.repeat(size, size)
             one, two = [], []
-            short = np.flatnonzero((length > 1) & (length <= SHORT_LIST))
+            short = np.flatnonzero((length > 1) & (length <= SHORT_LIST) & (part == 0))
             for d in range(1, SHORT_LIST):
                 left = short[short + d < begin[short] + length[short]]
                 if not len(left):
@@ -201,7 +228,8 @@ def _pairs_of_lists(threshold: int):
             # the hub of a long list: where the token stands foremost, as in a text that others were edited from
             order = np.lexsort((cls, meta & 0xFFFFFFFF, begin))
             hub = np.repeat(order[start], size)
-            long = np.flatnonzero((length > SHORT_LIST) & (hub != np.arange(len(token))))
+            large = (length > SHORT_LIST) | (part > 0)
+            long = np.flatnonzero(large & (hub != np.arange(len(token))))
             ok = long[_possible(meta[hub[long]], meta[long], threshold)]
             one, two = np.concatenate([*one, hub[ok]]), np.concatenate([*two, ok])
             if len(one):
@@ -212,9 +240,11 @@ def _pairs_of_lists(threshold: int):
                 first = np.flatnonzero(np.append(True, (cls[one][1:] != cls[one][:-1]) | (cls[two][1:] != cls[two][:-1])))
                 times, one, two = np.diff(np.append(first, len(one))), one[first], two[first]
                 yield _candidate_rows(0, token=(meta[one] >> 32 << 32) | meta[two] >> 32, a=cls[one], b=cls[two], meta=times)
-            keep = length > SHORT_LIST
-            if keep.any():
-                yield _candidate_rows(1, token=token[keep], a=cls[keep], meta=meta[keep])
+            if large.any():
+                yield _candidate_rows(1, token=token[large], a=cls[large], meta=meta[large])
+            heads = np.unique(hub[part > 0])
+            if len(heads):
+                yield _candidate_rows(2, token=token[heads], a=cls[heads], meta=meta[heads])
 
     return run
 
@@ -245,7 +275,20 @@ def _pairs_across(threshold: int, block: int = 2048):
     return run
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _across_parts(candidates: DataFrame) -> DataFrame:
+    """The candidates with pairs of each part's hub and that of the whole list, where a list was dealt over parts."""
+    hubs = candidates.where("kind = 2").select("token", "a", "meta")
+    place = F.col("meta").bitwiseAND(F.lit(0xFFFFFFFF))
+    whole = hubs.groupBy("token").agg(F.min(F.struct(place.alias("at"), F.col("a").alias("cls"), F.col("meta").alias("meta"))).alias("w"))
+    both = hubs.join(whole, "token").where(F.col("a") != F.col("w.cls")).select("a", "meta", F.col("w.cls").alias("b"), F.col("w.meta").alias("other"))
+    swap = F.col("a") > F.col("b")
+    n, m = F.shiftright("meta", 32), F.shiftright("other", 32)
+    sizes = F.shiftleft(F.when(swap, m).otherwise(n), 32).bitwiseOR(F.when(swap, n).otherwise(m))
+    pairs = both.select(F.lit(0).alias("kind"), sizes.alias("token"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("meta"))
+    return candidates.where("kind < 2").unionByName(pairs)
+
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, names: Names, threshold: int) -> DataFrame:
     """``a, b, linked, n, base, lost, gained`` of pairs ``a, b``.
 
     The sets of all partners of a class meet its own, which each part of them gets.  Similar sets (half of the union shared)
@@ -256,14 +299,15 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: in
     own = parts.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("cls", F.struct(F.col("cls").alias("a"), "part", F.lit(0).alias("side")).alias("to"))
     wanted = sent.unionByName(own).groupBy("cls").agg(F.collect_list("to").alias("to")).join(classes.select("cls", F.col("doc").alias("_doc")), "cls").checkpoint()
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted.hint("shuffle_hash")
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("to")), F.lit(0)).alias("partners")).first()
+    side = F.broadcast(wanted) if size["n"] <= BROADCAST_CLASSES and size["partners"] <= BROADCAST_PARTNERS else wanted.hint("shuffle_hash")
     rows = texts.join(side, F.col("_id").eqNullSafe(F.col("_doc"))).select("text", "cls", "to")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text", max_bytes=1 << 19):
             out = []
             for s, c, to in zip(shingle_sets(part.column("text")), part.column("cls").to_pylist(), part.column("to").to_pylist(), strict=True):
-                if digest(s) == c:  # not another text under the same identifier
+                if names.of(s)[0] == c:  # not another text under the same identifier
                     raw = s.tobytes()
                     out += [(t["a"], t["part"], t["side"], c, raw) for t in to]
             if out:
@@ -452,31 +496,55 @@ def keep_one(docs: DataFrame, *, threshold: int = 75) -> DataFrame:
     return plain.unionByName(repeated.withColumn("_place", place).where("_place = 1").select(docs.columns))
 
 
-def _components(docs: DataFrame, threshold: int) -> DataFrame:
-    """``doc_id, key, n_shingles, component, component_id``: a hash of the text, and a name of the component (null: no words)."""
-    shared_folder(docs.sparkSession)
+def _members(docs: DataFrame, names: Names) -> DataFrame:
+    """``doc_id, key, n_shingles, cls, other, sketch`` of every row; the sketch only once for each class and task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes whose sketch this task has emitted
         for part in tx.slices(batches, "text"):
             sets = shingle_sets(part.column("text"))
-            names, sketches = [digest(s) for s in sets], []
-            for s, c in zip(sets, names, strict=True):
+            named, sketches = [names.of(s) for s in sets], []
+            for s, (c, _) in zip(sets, named, strict=True):
                 sketches.append(sketch(s) if len(s) and c not in seen else None)
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "key", "n_shingles", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([c for c, _ in named], pa.int64()), pa.array([o for _, o in named], pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "key", "n_shingles", "cls", "other", "sketch"])
+
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(members, f"doc_id {kind}, key long, n_shingles long, cls long, other long, sketch binary").checkpoint()
+
+
+def _named(docs: DataFrame, bits: int) -> tuple[DataFrame, Names]:
+    """The members, named so that different sets have different names.
 
-    rows = docs.withColumn("key", F.xxhash64("text")).mapInArrow(members, f"doc_id {kind}, key long, n_shingles long, cls long, sketch binary").checkpoint()
+    Two digests of 64 bits tell sets apart.  The first alone is a name unless it clashes, which is seen by the second; of n
+    different sets about n * n / 2**65 do, so the list of clashes that every task gets is short, and mostly empty.
+    """
+    clash = lambda rows: rows.where("n_shingles > 0").groupBy("cls").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("cls")
+    names = Names(bits)
+    rows = _members(docs, names)
+    clashes = frozenset(r["cls"] for r in clash(rows).collect())
+    if clashes:
+        names = Names(bits, clashes)
+        rows = _members(docs, names)
+        if not clash(rows).isEmpty():
+            raise RuntimeError("different sets share both digests")
+    return rows, names
+
+
+def _components(docs: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """``doc_id, key, n_shingles, component, component_id``: a hash of the text, and a name of the component (null: no words)."""
+    shared_folder(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    rows, names = _named(docs, bits)
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"))
-    levels = rarity_levels(docs)
-    lists = _postings(docs, levels, threshold).repartition("token").sortWithinPartitions("token", "cls")
+    levels, parts = rarity_levels(docs)
+    lists = _postings(docs, levels, parts, names, threshold).repartition("token", "part").sortWithinPartitions("token", "part", "cls")
     candidates = lists.mapInArrow(_pairs_of_lists(threshold), _CANDIDATE).checkpoint()
+    candidates = _across_parts(candidates) if parts.any() else candidates
     pairs = _often_enough(candidates, threshold).checkpoint()
 
     first = _best_partners(pairs).checkpoint()
-    verified = _verify(docs, classes, first, threshold).checkpoint()
+    verified = _verify(docs, classes, first, names, threshold).checkpoint()
     links = _links(verified)
     links = links.unionByName(_around_hubs(verified, components(links), threshold)).checkpoint()
     labels = components(links)
@@ -490,11 +558,11 @@ def _components(docs: DataFrame, threshold: int) -> DataFrame:
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = _undecided(pairs.select("a", "b").unionByName(more).distinct(), labels, hubs).join(done, ["a", "b"], "left_anti").checkpoint()
     rest = _plausible(rows, rest, threshold).checkpoint()
-    found = _links(_verify(docs, classes, rest, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    found = _links(_verify(docs, classes, rest, names, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
     labels = components(found)
 
     tagged = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     heads = tagged.groupBy("component").agg(F.min("doc").alias("component_id"))
-    names = tagged.join(heads, "component").select("cls", "component", "component_id")
-    full = rows.where("n_shingles > 0").join(names, "cls").select("doc_id", "key", "n_shingles", "component", "component_id")
+    known = tagged.join(heads, "component").select("cls", "component", "component_id")
+    full = rows.where("n_shingles > 0").join(known, "cls").select("doc_id", "key", "n_shingles", "component", "component_id")
     return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
