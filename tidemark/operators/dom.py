@@ -16,10 +16,11 @@ _CLOSES_ITSELF = frozenset(("p", "li", "td", "th", "tr", "option"))
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "parent", "place", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.place = len(parent.children) if parent is not None else 0
 
     def get(self, name: str) -> str:
         return self.attrs.get(name, "")
@@ -60,6 +61,20 @@ class Node:
         return next((n for n in self.walk() if any(_matches(n, p, len(p) - 1, self) for p in paths)), None)
 
 
+    def firsts(self, selectors: tuple[str, ...]) -> list[Node]:
+        """The first match of each selector that has one, in the order of the selectors, by one walk."""
+        found: dict[int, Node] = {}
+        open_ = [(i, _compiled(s)) for i, s in enumerate(selectors)]
+        for n in self.walk():
+            hit = [i for i, paths in open_ if any(_matches(n, p, len(p) - 1, self) for p in paths)]
+            if hit:
+                found.update(dict.fromkeys(hit, n))
+                open_ = [o for o in open_ if o[0] not in found]
+                if not open_:
+                    break
+        return [found[i] for i in sorted(found)]
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -122,6 +137,13 @@ def _matches(node: Node, path: list, i: int, root: Node) -> bool:
         return True
     if joint == " ":
         return any(_matches(a, path, i - 1, root) for a in node.ancestors())
-    before = [c for c in node.parent.children if isinstance(c, Node)] if node.parent else []
-    before = before[: next((k for k, c in enumerate(before) if c is node), 0)]
-    return any(_matches(b, path, i - 1, root) for b in (before[-1:] if joint == "+" else before))
+    if node.parent is None:
+        return False
+    for k in range(node.place - 1, -1, -1):
+        other = node.parent.children[k]
+        if isinstance(other, Node):
+            if _matches(other, path, i - 1, root):
+                return True
+            if joint == "+":
+                return False
+    return False

@@ -45,8 +45,7 @@ PROMOTIONS = ("ouça com amazon music", "ouça com music unlimited", "listen wit
 
 
 def _texts(node: dom.Node, selectors: tuple[str, ...], label: bool = False) -> list[str]:
-    found = [n for s in selectors if (n := node.first(s)) is not None]
-    return [(n.get("aria-label") if label else "") or n.text() for n in found]
+    return [(n.get("aria-label") if label else "") or n.text() for n in node.firsts(selectors)]
 
 
 def _secondary(node: dom.Node) -> bool:

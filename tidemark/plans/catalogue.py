@@ -554,7 +554,9 @@ def captions(spark, d):
 # --- pages -----------------------------------------------------------------------------------------------------------
 
 
-@query("html_titles", None)
+@query("html_titles", r"""WITH p AS (SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS body,
+  trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<h[123][ >]')) AS headings FROM pages)
+  SELECT page_id, title, headings, length(array_to_string(list_filter(list_transform(string_split_regex(body, '<[^>]*>'), lambda t: trim(t)), lambda t: t <> ''), ' ')) AS characters FROM p""")
 def html_titles(spark, d):
     return H.articles(T.table(spark, d, "pages").select("page_id", "html")).select("page_id", "title", F.size("headings").alias("headings"), F.length("text").alias("characters"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -35,12 +36,21 @@ def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], check
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", *, timeout: int = 600) -> DataFrame:
-    """Everything that is there now, as a table in memory; for results that are small, such as counts by the hour."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, mode: str = "append", *, timeout: int = 600, folder: str | None = None) -> DataFrame:
+    """Everything that is there now, written as a table: to ``folder``, or to one in spark.checkpoint.dir (local masters: a
+    temporary one).  In complete mode each batch replaces the one before; a batch that is repeated is written once more to its
+    own place, so nothing is counted twice."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None and not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    folder = folder or f"{shared or tempfile.mkdtemp(prefix='streams-')}/stream-{uuid.uuid4().hex}"
+    target = lambda number: f"{folder}/table" + ("" if mode == "complete" else f"/batch={number}")
+    write = lambda rows, number: rows.write.mode("overwrite").parquet(target(number))
+    write(spark.createDataFrame([], stream.schema), -1)  # a table also where nothing came
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     try:
         query.awaitTermination(timeout)
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table").select(stream.columns)
