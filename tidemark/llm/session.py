@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, in whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few_or_shuffled(ids: DataFrame, limit: int | None = None) -> DataFrame:
     """A table of identifiers, written out and counted: broadcast in joins if it is small, so that texts need not move."""
     shared_folder(ids.sparkSession)
