@@ -16,6 +16,7 @@ Only texts that hold a band worth aligning are joined with items, and only they
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .session import few_or_shuffled, shared_folder
 
 Q = 8
 #: Bits of the table that q-grams of texts are looked up in first.
-TABLE_BITS = 24
+TABLE_BITS = 22
 #: So many q-grams of items (some 100 MB) are sent to tasks at once; more are handled in blocks, one after another.
 BLOCK_GRAMS = 4_000_000
 _VOTES = 2_000_000
@@ -121,8 +122,13 @@ class _Block:
         self.names, first, self.item = np.unique(no, return_index=True, return_inverse=True)
         self.needed = needed[first]
         self.lengths = np.unique(length[length < Q]).tolist()
-        self.bits = np.zeros(1 << TABLE_BITS, bool)
-        self.bits[(self.gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """Whether any q-gram begins with some bits; made in the task, so that it is not sent."""
+        bits = np.zeros(1 << TABLE_BITS, bool)
+        bits[(self.gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        return bits
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the places whose q-gram an item has: text, place in it, and the first and last of its entries."""
