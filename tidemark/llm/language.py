@@ -134,10 +134,12 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
     if not languages:
         return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, LENGTHS)))
     bound = max(1, min(per_language, max_sample // languages))
-    # ranked within 64 parts of a language first, so that a large language is not one task's work
-    ranked = rows.select("doc_id", "lang").withColumn("_order", order).withColumn("_part", F.pmod("_order", F.lit(64)))
-    for keys in (("lang", "_part"), ("lang",)):
-        ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_order", "doc_id"))).where(F.col("_rank") <= bound)
+    # the rows with the smallest hashes, by counting hashes in 4096 ranges first, so that few rows of a language are ranked
+    ranked = rows.select("doc_id", "lang").withColumn("_order", order).withColumn("_range", F.shiftright("_order", 52))
+    sums = ranked.groupBy("lang", "_range").agg(F.count("*").alias("n")).withColumn("_upto", F.sum("n").over(W.partitionBy("lang").orderBy("_range")))
+    reach = sums.groupBy(F.col("lang").alias("_lang")).agg(F.coalesce(F.min(F.when(F.col("_upto") >= bound, F.col("_range"))), F.max("_range")).alias("_last"))
+    near = ranked.join(F.broadcast(reach) if languages <= max_sample else reach, F.col("lang") == F.col("_lang")).where(F.col("_range") <= F.col("_last"))  # a row for each language
+    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_order", "doc_id"))).where(F.col("_rank") <= bound)
     picked = ranked.select(F.col("doc_id").alias("_id")).distinct()
     sample = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"), "left_semi")
 
@@ -156,13 +158,15 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
     found = sample.mapInArrow(vectors, "doc_id string, lang string, v binary").toArrow()
     found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("v", "ascending")])
     lang = np.array(found["lang"].to_pylist(), object)
-    x = np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in found["v"].to_pylist()]) if len(found) else np.zeros((0, DIMENSIONS), np.float32)
+    x = np.frombuffer(b"".join(found["v"].to_pylist()), np.float16).reshape(len(found), DIMENSIONS).astype(np.float32)
+    del found
     full = np.linalg.norm(x, axis=1) > 0
     groups = {l: _cluster(x[(lang == l) & full], clusters, rounds) for l in sorted(set(lang[full]))}
     if not groups:
         return LanguageModel(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, LENGTHS)))
     centroids, names = np.concatenate(list(groups.values())), [l for l, c in groups.items() for _ in c]
     of = np.array(names, object)
+    del x, groups
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text and pieces of it, half as long as one another: nearest centroid of the language, length, cosine."""
