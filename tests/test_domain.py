@@ -234,3 +234,8 @@ def test_numbers_of_json_and_axes(spark):
     values = spark.createDataFrame([([5.0, 1.0, 9.0, 1.0, 9.0, 3.0, 4.0],), ([2.0],), ([],)], "v array<double>")
     got = [r.a for r in values.select(P.chart_scale(F.col("v")).alias("a")).collect()]
     assert (got[0].x_ticks, got[0].low_at, got[0].high_at) == ([0, 2, 4, 6], 3, 4) and got[1].x_ticks == [0] and got[2].x_ticks is None
+
+
+def test_blocked_pages(spark):
+    pages = ["<h4>Digite os CARACTERES que você vê", "We just need to make sure you're not a robot", "<p>VERIFICAÇÃO DE ROBÔ", "robots in vinyl", "", None]
+    assert values(spark, lambda x: F.coalesce(X.blocked_page(x), F.lit(False)), pages) == [True, True, True, False, False, False]

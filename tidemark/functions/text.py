@@ -103,8 +103,11 @@ CD_TITLE = r"(?i)\bcd\b|\[cd\]|\(cd\)|compact disc|\bcd\s*\d"
 FORMAT_LABEL, TITLE_EDGES = r"(?i)\s*[\[(]\s*(?:disco\s+de\s+vinil|vinil|vinyl|\d*\s*lp|picture\s+disc|180\s*g[r]?)\s*[\])]\s*", r"^[ \-–—|,]+|[ \-–—|,]+$"
 PRICE_SIGNS, PRICE_NUMBER = r"R\$\s*|\x{A0}|\s", r"\d+(?:\.\d+)?"
 
-#: What a page that asks for a human says, in lower case: our own list.
-ROBOT_PHRASES = ("robot check", "verificação de robô", "captcha", "not a robot", "digite os caracteres", "enter the characters", "automated access", "access denied")
+# What pages say that ask whether the reader is human; case is ignored.
+ROBOT_PATTERNS = (
+    r"Robot Check", r"Verificação de robô", r"Digite os caracteres", r"just need to make sure you.re not a robot", r"automated access to Amazon",
+    r"Access Denied", r"Enter the characters you see", r"validateCaptcha", r"Prove you.re not a robot",
+)
 
 
 def plausible_artist(name: Column) -> Column:
@@ -130,8 +133,7 @@ def vinyl_title(title: Column) -> Column:
 
 def blocked_page(html: Column) -> Column:
     """A page that asks whether the reader is a robot."""
-    low = F.lower(html)
-    return F.exists(F.array(*map(F.lit, ROBOT_PHRASES)), lambda phrase: low.contains(phrase))
+    return html.rlike(f"(?iu){'|'.join(ROBOT_PATTERNS)}")
 
 
 def parse_price(text: Column) -> Column:
