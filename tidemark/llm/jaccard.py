@@ -11,9 +11,11 @@ met by a shuffle; pairs whose sizes rule out a link are skipped there, and so ar
 Set relations skip the rest.  A short list gives all its pairs; a long list first gives the pairs with its hub only, the
 class in which the shingle stands foremost.  Each class is verified against its most promising partner, which yields its
 difference to that hub; links among the sets of one hub follow from those differences, without their sets.  What is left are
-pairs of different components and different hubs: of short lists, and of long lists with whole blocks skipped by size and
-position.  Of these only the pairs whose sketches (two to four bits a shingle) leave room for a link have their sets compared.  Pairs inside a component have their answer from those of the sets they resemble and are never expanded, so a
-group of thousands of near copies costs about as many verifications as it has members.
+pairs of different components and different hubs: of short lists, and of long lists, which are dealt over tasks in blocks, with
+sizes apart skipped before the shuffle and positions and sketches tested before a pair is made (blocks.py).  Of these only
+the pairs whose sketches (two to four bits a shingle) leave room for a link have their sets compared.  Pairs inside a
+component have their answer from those of the sets they resemble and are never expanded, so a group of thousands of near
+copies costs about as many verifications as it has members.
 
 Sets are rebuilt from the texts where they are verified; only prefixes, pairs and the sets of candidate pairs are shuffled.
 """
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import textops as tx
+from .blocks import least_overlap, most_shared, pairs_across, possible, runs, sketch
 from .components import components
 from .session import few_or_shuffled, shared_folder
 
@@ -45,18 +48,18 @@ _SLICE = 4096
 _KEEP_BITS = np.uint64(58)
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: pa.Array, words: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
     data, offsets = tx.utf8(texts)
     data = tx.LOWER[data]
     starts, ends, doc = tx.words(data, offsets, tx.NON_BLANK)
     h = tx.run_hashes(data, starts, ends, tx.NON_BLANK)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    grams = tx.windows(h, SHINGLE_WORDS)
+    grams = tx.windows(h, words)
     sets = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= SHINGLE_WORDS:
-            sets.append(np.unique(grams[a : b - SHINGLE_WORDS + 1]))
+        if b - a >= words:
+            sets.append(np.unique(grams[a : b - words + 1]))
         else:
             sets.append(tx.windows(h[a:b], b - a) if b > a else grams[:0])
     return sets
@@ -81,30 +84,10 @@ class Names:
         return (second, first) if first in self.clashes else (first, second)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """A bit for each value of the low bits of a set's hashes; a power of two of them, two to four for each hash."""
-    bits = np.zeros(max(64, 1 << (2 * len(s) - 1).bit_length()), bool)
-    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-def most_shared(n: int, a: bytes, m: int, b: bytes) -> int:
-    """An upper bound of the intersection of sets of sizes n and m with sketches a and b: bits that one lacks are not shared."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    width = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(z.reshape(-1, width), 0) for z in (x, y))
-    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
-
-
 def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
-def least_overlap(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
-    """The smallest intersection of linked sets of sizes n and m: t / (100 + t) of their sum, rounded up."""
-    return -(-threshold * (n + m) // (100 + threshold))
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
     for part in tx.slices(batches, "text"):
@@ -167,31 +150,6 @@ def _postings(docs: DataFrame, levels: np.ndarray, parts: np.ndarray, names: Nam
     return rows.select(F.col("x.tokens").alias("token"), F.col("x.parts").alias("part"), "cls", (F.shiftleft("n", 32) + F.col("at")).alias("meta"))
 
 
-def _possible(meta_a: np.ndarray, meta_b: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether sizes and positions in an index list leave room for a link."""
-    n, m, i, j = meta_a >> 32, meta_b >> 32, meta_a & 0xFFFFFFFF, meta_b & 0xFFFFFFFF
-    return (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & (np.minimum(n - i, m - j) >= least_overlap(n, m, threshold))
-
-
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches that are sorted by the first one, regrouped so that no value of it is split."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        first = columns[0]
-        last = int(np.searchsorted(first, first[-1], "left"))
-        if held and last == 0 and held[-1][0][-1] == first[-1]:
-            held.append(columns)
-            continue
-        held.append([c[:last] for c in columns])
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-        held = [[c[last:] for c in columns]]
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
 _CANDIDATE = "kind int, token long, a long, b long, meta long"
 
 
@@ -206,7 +164,7 @@ def _pairs_of_lists(threshold: int):
     one that is dealt over parts.  Kind 2: the hub of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, part, cls, meta in _runs(batches, ["token", "part", "cls", "meta"]):
+        for token, part, cls, meta in runs(batches, ["token", "part", "cls", "meta"]):
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
             token, part, cls, meta = token[new], part[new], cls[new], meta[new]
@@ -230,7 +188,7 @@ def _pairs_of_lists(threshold: int):
             hub = np.repeat(order[start], size)
             large = (length > SHORT_LIST) | (part > 0)
             long = np.flatnonzero(large & (hub != np.arange(len(token))))
-            ok = long[_possible(meta[hub[long]], meta[long], threshold)]
+            ok = long[possible(meta[hub[long]], meta[long], threshold)]
             one, two = np.concatenate([*one, hub[ok]]), np.concatenate([*two, ok])
             if len(one):
                 turned = cls[one] > cls[two]
@@ -249,32 +207,6 @@ def _pairs_of_lists(threshold: int):
     return run
 
 
-def _pairs_across(threshold: int, block: int = 2048):
-    """Pairs of long lists in different components and of different hubs; blocks are skipped by size and position."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, meta, component, hub in _runs(batches, ["token", "a", "meta", "component", "hub"]):
-            edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                order = lo + np.argsort(meta[lo:hi], kind="stable")  # by size, then position
-                c, m, g, h = cls[order], meta[order], component[order], hub[order]
-                for i in range(0, len(c), block):
-                    for j in range(i, len(c), block):
-                        left, right = slice(i, i + block), slice(j, j + block)
-                        if 100 * (m[left][-1] >> 32) < threshold * (m[right][0] >> 32):
-                            break  # all later blocks hold larger sets still
-                        most = ((m[left] >> 32) - (m[left] & 0xFFFFFFFF)).max()
-                        if most < least_overlap(m[left][0] >> 32, m[right][0] >> 32, threshold):
-                            continue
-                        x, y = np.nonzero((g[left][:, None] != g[right][None, :]) & (h[left][:, None] != h[right][None, :]) & _possible(m[left][:, None], m[right][None, :], threshold))
-                        x, y = x + i, y + j
-                        x, y = x[x < y], y[x < y]
-                        if len(x):
-                            yield _candidate_rows(0, a=np.minimum(c[x], c[y]), b=np.maximum(c[x], c[y]), meta=np.ones(len(x), np.int64))
-
-    return run
-
-
 def _across_parts(candidates: DataFrame) -> DataFrame:
     """The candidates with pairs of each part's hub and that of the whole list, where a list was dealt over parts."""
     hubs = candidates.where("kind = 2").select("token", "a", "meta")
@@ -288,7 +220,7 @@ def _across_parts(candidates: DataFrame) -> DataFrame:
     return candidates.where("kind < 2").unionByName(pairs)
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, names: Names, threshold: int) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, names: Names, threshold: int, words: int) -> DataFrame:
     """``a, b, linked, n, base, lost, gained`` of pairs ``a, b``.
 
     The sets of all partners of a class meet its own, which each part of them gets.  Similar sets (half of the union shared)
@@ -306,7 +238,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, names: Names,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text", max_bytes=1 << 19):
             out = []
-            for s, c, to in zip(shingle_sets(part.column("text")), part.column("cls").to_pylist(), part.column("to").to_pylist(), strict=True):
+            for s, c, to in zip(shingle_sets(part.column("text"), words), part.column("cls").to_pylist(), part.column("to").to_pylist(), strict=True):
                 if names.of(s)[0] == c:  # not another text under the same identifier
                     raw = s.tobytes()
                     out += [(t["a"], t["part"], t["side"], c, raw) for t in to]
@@ -365,10 +297,10 @@ def _best_partners(pairs: DataFrame) -> DataFrame:
     """``a, b``: for each class b the partner a that most index lists name as a hub, among those it met often."""
     both = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), "met").unionByName(pairs.select("b", "a", "met"))
     weight = both.groupBy("a").agg(F.sum("met").alias("weight"))
-    often = 2 * F.col("met") >= F.max("met").over(W.partitionBy("b"))
-    place = F.row_number().over(W.partitionBy("b").orderBy(F.desc("often"), F.desc("weight"), F.desc("met"), "a"))
-    best = both.withColumn("often", often).join(weight, "a").withColumn("_place", place).where("_place = 1").select("a", "b")
-    return best.dropDuplicates(["b"]).withColumn("_low", F.least("a", "b")).withColumn("_high", F.greatest("a", "b")).dropDuplicates(["_low", "_high"]).select("a", "b")
+    most = both.groupBy("b").agg(F.max("met").alias("most"))
+    order = F.struct((2 * F.col("met") < F.col("most")).alias("seldom"), (-F.col("weight")).alias("weight"), (-F.col("met")).alias("met"), "a")
+    best = both.join(weight, "a").join(most, "b").groupBy("b").agg(F.min(order)["a"].alias("a")).select("a", "b")
+    return best.withColumn("_low", F.least("a", "b")).withColumn("_high", F.greatest("a", "b")).dropDuplicates(["_low", "_high"]).select("a", "b")
 
 
 def _around_hubs(verified: DataFrame, labels: DataFrame, threshold: int, rows: int = 4000) -> DataFrame:
@@ -449,10 +381,10 @@ def _undecided(pairs: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFram
     return both.where((F.coalesce("_a", "a") != F.coalesce("_b", "b")) & (F.coalesce("_ha", "a") != F.coalesce("_hb", "b"))).select("a", "b")
 
 
-def _plausible(rows: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _plausible(sketches: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs ``a, b`` whose sketches leave room for a link; the others share too little, and their sets stay where they are."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    known = rows.where("sketch is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.struct(F.first("n_shingles").alias("n"), F.first("sketch").alias("bits")).alias("s"))
+    known = sketches.join(wanted, "cls", "left_semi").select("cls", F.struct("n", "bits").alias("s"))
     both = pairs.join(known.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,19 +445,19 @@ def _members(docs: DataFrame, names: Names) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("text")).mapInArrow(members, f"doc_id {kind}, key long, n_shingles long, cls long, other long, sketch binary").checkpoint()
 
 
-def _named(docs: DataFrame, bits: int) -> tuple[DataFrame, Names]:
-    """The members, named so that different sets have different names.
+def _named(docs: DataFrame, bits: int, members=_members) -> tuple[DataFrame, Names]:
+    """The members (rows with ``n_shingles, cls, other`` of documents and names), named so that different sets have different names.
 
     Two digests of 64 bits tell sets apart.  The first alone is a name unless it clashes, which is seen by the second; of n
     different sets about n * n / 2**65 do, so the list of clashes that every task gets is short, and mostly empty.
     """
     clash = lambda rows: rows.where("n_shingles > 0").groupBy("cls").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("cls")
     names = Names(bits)
-    rows = _members(docs, names)
+    rows = members(docs, names)
     clashes = frozenset(r["cls"] for r in clash(rows).collect())
     if clashes:
         names = Names(bits, clashes)
-        rows = _members(docs, names)
+        rows = members(docs, names)
         if not clash(rows).isEmpty():
             raise RuntimeError("different sets share both digests")
     return rows, names
@@ -543,26 +475,41 @@ def _components(docs: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     candidates = _across_parts(candidates) if parts.any() else candidates
     pairs = _often_enough(candidates, threshold).checkpoint()
 
+    labels = connect(docs, classes, pairs, candidates.where("kind = 1").select("token", F.col("a").alias("cls"), "meta"), known_sketches(rows), names, threshold, SHINGLE_WORDS)
+    known = named_components(classes, labels)
+    full = rows.where("n_shingles > 0").join(known, "cls").select("doc_id", "key", "n_shingles", "component", "component_id")
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def known_sketches(rows: DataFrame) -> DataFrame:
+    """``cls, n, bits`` of rows of which some of each class hold its sketch."""
+    return rows.where("sketch is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("bits"))
+
+
+def connect(docs: DataFrame, classes: DataFrame, pairs: DataFrame, lists: DataFrame, sketches: DataFrame, names: Names, threshold: int, words: int) -> DataFrame:
+    """``node, component`` of the classes that link with others.
+
+    ``pairs`` (``a, b, met``) hold all candidates of short lists and those of long ones with their hubs; ``lists`` (``token, cls,
+    meta``) are the rows of the long lists, where other pairs may link as well.  ``sketches`` are ``cls, n, bits``.
+    """
     first = _best_partners(pairs).checkpoint()
-    verified = _verify(docs, classes, first, names, threshold).checkpoint()
+    verified = _verify(docs, classes, first, names, threshold, words).checkpoint()
     links = _links(verified)
     links = links.unionByName(_around_hubs(verified, components(links), threshold)).checkpoint()
     labels = components(links)
     hubs = verified.where("lost is not null").select(F.col("b").alias("node"), F.col("a").alias("hub")).dropDuplicates(["node"])
 
-    long = candidates.where("kind = 1").select("token", "a", "meta").join(labels.select(F.col("node").alias("a"), "component"), "a", "left").join(hubs.select(F.col("node").alias("a"), "hub"), "a", "left")
-    long = long.withColumn("component", F.coalesce("component", "a")).withColumn("hub", F.coalesce("hub", "a"))
-    mixed = long.groupBy("token").agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in ("component", "hub") for f in (F.min, F.max))).where("_min_component <> _max_component and _min_hub <> _max_hub").select("token")
-    met = long.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token")
-    more = met.mapInArrow(_pairs_across(threshold), _CANDIDATE).select("a", "b")
+    long = lists.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").join(hubs.select(F.col("node").alias("cls"), "hub"), "cls", "left")
+    more = pairs_across(long.withColumn("component", F.coalesce("component", "cls")).withColumn("hub", F.coalesce("hub", "cls")), sketches, threshold)
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = _undecided(pairs.select("a", "b").unionByName(more).distinct(), labels, hubs).join(done, ["a", "b"], "left_anti").checkpoint()
-    rest = _plausible(rows, rest, threshold).checkpoint()
-    found = _links(_verify(docs, classes, rest, names, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
-    labels = components(found)
+    rest = _plausible(sketches, rest, threshold).checkpoint()
+    found = _links(_verify(docs, classes, rest, names, threshold, words)).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(found)
 
-    tagged = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+def named_components(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cls, component, component_id`` of all classes ``cls, doc``: the smallest identifier of each component."""
+    tagged = classes.select("cls", "doc").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     heads = tagged.groupBy("component").agg(F.min("doc").alias("component_id"))
-    known = tagged.join(heads, "component").select("cls", "component", "component_id")
-    full = rows.where("n_shingles > 0").join(known, "cls").select("doc_id", "key", "n_shingles", "component", "component_id")
-    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+    return tagged.join(heads, "component").select("cls", "component", "component_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, licenses, mixing, neighbours, pii, repeats, secrets, toxicity, trie, variants
+from . import decontaminate, jaccard, language, licenses, minhash, mixing, neighbours, pii, repeats, secrets, toxicity, trie, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours_report(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_ngram_jaccard, op4_secret_scan, op5_decontaminate, op6_repeated_lines, op7_toxicity, op8_pii, op9_source_mixing, op10_neighbours, op12_conversation_trie, op13_spelling_variants, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_ngram_jaccard, op4_secret_scan, op5_decontaminate, op6_repeated_lines, op7_toxicity, op8_pii, op9_source_mixing, op10_neighbours, op11_minhash, op12_conversation_trie, op13_spelling_variants, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
