@@ -80,7 +80,7 @@ def _signed(words: int, bands: int, band_rows: int):
 def _candidates(classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b, met`` of classes that share buckets, those of large buckets with their hub only; and the rows of large buckets."""
     places = classes.select(F.explode("tokens").alias("token"), "cls", "n")
-    shared = places.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    shared = places.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").checkpoint()  # a plain table, so that a hot bucket's rows can be split in the join
     places = places.join(shared, "token").checkpoint()
     size = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
     # small buckets: a list of a few rows
@@ -88,7 +88,7 @@ def _candidates(classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFram
     few = few.select(F.col("x").alias("y"), F.posexplode("x").alias("at", "one")).select("one", F.explode(F.slice("y", F.col("at") + 2, F.size("y"))).alias("two")).where(size(F.col("one.n"), F.col("two.n")))
     many = places.where(F.col("size") > SHORT_BUCKET)
     weight = many.groupBy("cls").agg(F.sum("size").alias("weight"))
-    hubs = many.join(weight, "cls").groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("hub"))
+    hubs = many.join(weight, "cls").groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("hub")).checkpoint()
     around = many.join(hubs, "token").where((F.col("cls") != F.col("hub.cls")) & size(F.col("n"), F.col("hub.n")))
     pairs = few.select(F.col("one.cls").alias("a"), F.col("two.cls").alias("b")).unionByName(around.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("met")), many.select("token", "cls", F.shiftleft("n", 32).alias("meta"))
