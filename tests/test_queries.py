@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import catalogue, page_queries  # noqa: F401
+from tidemark.plans import catalogue, page_queries, stored_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -330,3 +330,19 @@ def product_json(rows: DataFrame) -> DataFrame:
     """``id, json``: a schema.org description of products with a price."""
     offer = F.struct(F.lit("Offer").alias("@type"), F.lit("BRL").alias("priceCurrency"), F.col("price"), F.when(F.col("available"), "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability"))
     return rows.select("id", F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), F.col("title").alias("name"), F.struct(F.lit("Brand").alias("@type"), F.col("artist").alias("name")).alias("brand"), offer.alias("offers"))).alias("json"))
+
+
+def related_tags_of_all(products: DataFrame, *, limit: int = 10) -> DataFrame:
+    """``tag, related, shared, total, jaccard, place``: what related_tags finds, for every tag at once.
+
+    Tags meet inside their product, whose tags are few; pairs are counted before the shuffle, so that a tag that most
+    products have is no hot key, and the best are cut in each task before the rest moves.
+    """
+    tags = products.where("available").select(F.array_distinct(X.stored_tags(F.col("tags"))).alias("tags"))
+    totals = tags.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("total"))
+    met = tags.select(F.explode("tags").alias("tag"), "tags").select("tag", F.explode("tags").alias("related")).where("tag <> related")
+    shared = met.groupBy("tag", "related").agg(F.count("*").alias("shared"))
+    rows = shared.join(totals.withColumnRenamed("total", "_own"), "tag").join(totals.withColumnRenamed("tag", "related"), "related")
+    rows = rows.withColumn("jaccard", F.col("shared") / (F.col("_own") + F.col("total") - F.col("shared")))
+    place = F.row_number().over(W.partitionBy("tag").orderBy(F.desc("jaccard"), "related"))
+    return rows.withColumn("place", place).where(F.col("place") <= limit).select("tag", "related", "shared", "total", "jaccard", "place")
