@@ -1,7 +1,7 @@
 """Candidate pairs of long index lists, met in blocks of bounded size.
 
-The rows of a list that are in its largest component need not meet each other; all others meet every row of a size that may
-link.  Both are dealt into blocks by size and by a hash, and each pair of blocks is one group of rows, so that no task gets more
+The rows of a list that are in its largest component need not meet each other, nor those of one hub; the others meet rows of a
+size that may link.  They are dealt into blocks by size and by a hash, and each pair of blocks is one group of rows, so that no task gets more
 than two blocks at once however long a list is, and sizes apart are skipped before the shuffle.  Inside a pair of blocks, sizes, positions,
 components, hubs and sketches are tested before a pair is made.
 """
@@ -77,11 +77,11 @@ def _shared_bounds(n: int, a: np.ndarray, sizes: np.ndarray, sketches: np.ndarra
 
 def _compare(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "level", "block", "with_level", "with_block", "side", "cls", "meta", "component", "hub", "major", "bits"]
-        for columns in runs(batches, names, 5):
-            keys = np.stack([c.astype(np.int64) for c in columns[:5]])
+        names = ["token", "sort", "level", "block", "with_level", "with_block", "side", "cls", "meta", "component", "hub", "major", "bits"]
+        for columns in runs(batches, names, 6):
+            keys = np.stack([c.astype(np.int64) for c in columns[:6]])
             edges = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))), keys.shape[1])
-            side, cls, meta, component, hub, major, bits = columns[5:]
+            side, cls, meta, component, hub, major, bits = columns[6:]
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 middle = lo + int(np.searchsorted(side[lo:hi], 1))
                 if not lo < middle < hi:
@@ -107,25 +107,42 @@ def _compare(threshold: int):
 
 def pairs_across(rows: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """``a, b`` (a < b, with repeats): pairs of rows ``token, cls, meta, component, hub`` of one token that are in different components
-    and of different hubs, and whose sizes, positions (both in meta) and sketches (``cls, n, bits``) leave room for a link."""
-    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("_rows"), F.min("hub").alias("_low"), F.max("hub").alias("_high"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("_rows", "component"))["component"].alias("_major"), F.min("component").alias("_first"), F.max("component").alias("_last"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    mixed = mixed.where("_first <> _last and _low <> _high").select("token", "_major").checkpoint()
+    and of different hubs, and whose sizes, positions (both in meta) and sketches (``cls, n, bits``) leave room for a link.
+
+    Of a list's largest component and its commonest hub, rows that have both ("both") only need to meet rows that have neither
+    ("none"); those that have one of the two also meet those that have the other.  So a list of near copies, nearly all of
+    which have both, moves only where it has a foreign row.
+    """
+    most = lambda c: rows.groupBy("token", c).agg(F.count("*").alias("_rows")).groupBy("token").agg(F.max(F.struct("_rows", c))[c].alias(f"_{c}"), F.count("*").alias(f"_n_{c}")).where(f"_n_{c} > 1")
+    mixed = most("component").join(most("hub"), "token").select("token", "_component", "_hub").checkpoint()
     # sizes of linked sets are at most one level apart
     level = F.floor(F.log(F.shiftright("meta", 32).cast("double")) / (math.log(100 / threshold) * 1.000001)).cast("int")
-    tagged = rows.join(mixed, "token").withColumn("major", F.col("component") == F.col("_major")).withColumn("level", level)
-    tagged = tagged.join(sketches.select("cls", "bits"), "cls").select("token", "cls", "meta", "component", "hub", "major", "level", "bits").checkpoint()
-    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    counts = tagged.groupBy("token", "level").agg(blocks(F.count("*")).alias("all"), blocks(F.count_if(~F.col("major"))).alias("minor"))
-    beside = counts.select("token", F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), F.struct(F.col("level").alias("with"), "all", "minor").alias("o"))
-    beside = beside.groupBy("token", "level").agg(F.collect_list("o").alias("beside")).join(counts, ["token", "level"])  # three at most
-    dealt = tagged.join(beside, ["token", "level"])
-    own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    inside, same = F.col("component") == F.col("_component"), F.col("hub") == F.col("_hub")
+    kind = F.when(inside & same, "both").when(inside, "inside").when(same, "hub").otherwise("none")
+    tagged = rows.join(mixed, "token").select("token", "cls", "meta", "component", "hub", kind.alias("kind"), level.alias("level")).checkpoint()
+    blocks = lambda when, name: F.ceil(F.count_if(when) / BLOCK_ROWS).cast("int").alias(name)
+    counts = tagged.groupBy("token", "level").agg(blocks(F.lit(True), "n_all"), *(blocks(F.col("kind") == k, f"n_{k}") for k in ("none", "hub", "inside")))
+    beside = counts.select("token", F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), F.struct(F.col("level").alias("with"), "n_all", "n_none", "n_hub", "n_inside").alias("o"))
+    # three at most; a plain table, so that joins can split a hot list
+    beside = beside.groupBy("token", "level").agg(F.collect_list("o").alias("beside")).join(counts, ["token", "level"]).checkpoint()
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(F.col(f"n_{n}"), F.lit(1))).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    place = lambda level, block, with_level, with_block, side: F.struct(level.alias("level"), block.alias("block"), with_level.alias("with_level"), with_block.alias("with_block"), F.lit(side).alias("side"))
-    first = F.flatten(F.transform("beside", lambda o: F.transform(upto(o["all"]), lambda j: place(F.col("level"), own(F.col("minor")), o["with"], j, 0))))
-    second = F.flatten(F.transform("beside", lambda o: F.transform(upto(o["minor"]), lambda i: place(o["with"], i, F.col("level"), own(F.col("all")), 1))))
-    dealt = dealt.withColumn("to", F.explode(F.when(F.col("major"), second).otherwise(F.concat(first, second))))
-    key = ["token", "level", "block", "with_level", "with_block"]
+
+    def sent(side: int, sort: int, mine: str, theirs: str):
+        """The groups of a row that is on a side of them: its own block of some kind of rows with all blocks of another kind."""
+
+        def of(o):
+            first, second = (F.col("level"), o["with"]) if side == 0 else (o["with"], F.col("level"))
+            place = lambda i: F.struct(F.lit(sort).alias("sort"), first.alias("level"), (own(mine) if side == 0 else i).alias("block"), second.alias("with_level"), (i if side == 0 else own(mine)).alias("with_block"), F.lit(side).alias("side"))
+            return F.transform(upto(o[f"n_{theirs}"]), place)
+
+        return F.flatten(F.transform("beside", of))
+
+    foreign = sent(1, 0, "all", "none")  # every row is met by those that have neither
+    to = F.when(F.col("kind") == "none", F.concat(foreign, sent(0, 0, "none", "all"))).when(F.col("kind") == "hub", F.concat(foreign, sent(0, 1, "hub", "inside")))
+    to = to.when(F.col("kind") == "inside", F.concat(foreign, sent(1, 1, "inside", "hub"))).otherwise(foreign)
+    dealt = tagged.join(beside, ["token", "level"]).withColumn("to", to).where(F.size("to") > 0).select("token", "cls", "meta", "component", "hub", (F.col("kind") != "none").alias("major"), "to")
+    dealt = dealt.join(sketches.select("cls", "bits"), "cls").withColumn("to", F.explode("to"))
+    key = ["token", "sort", "level", "block", "with_level", "with_block"]
     met = dealt.select("token", *(F.col("to")[c].alias(c) for c in (*key[1:], "side")), "cls", "meta", "component", "hub", "major", "bits")
     return met.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(_compare(threshold), "a long, b long")
