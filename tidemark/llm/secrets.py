@@ -9,8 +9,8 @@ between stands in the last one too.  Two arrays map the characters of that layer
 
 A base64 run (one line, or lines of equal length as mail wraps them) stands for one place, the run.  It is decoded from each of
 its first four characters, since a path may stand before it; bytes are scanned as they are and without zero bytes (UTF-16).
-Compressed streams anywhere inside are inflated, level by level and member by member, and read in windows, so that the memory
-does not grow with what they hold.  A layer that was seen before in the same run is not unwrapped again, so cycles end; equal
+Compressed streams anywhere inside are inflated once, level by level and member by member, and read in windows, so that neither
+depth nor number costs more than the layers themselves, and the memory does not grow with what they hold.  A layer that was seen before in the same run is not unwrapped again, so cycles end; equal
 runs at other places are reported there.
 
 The operator is a map over rows: no shuffle, memory for one slice of texts.
@@ -58,16 +58,30 @@ _BLANKS = re.compile(rb"\x20{3,}")
 _TAIL = re.compile(rb"[A-Za-z0-9+/_.=%\\-]*\Z")
 #: Inflated bytes are read in windows; a token that a window cuts is read again with the next, up to so many bytes.
 WINDOW, CARRY = 8 << 20, 1 << 20
+#: Compressed streams are read, and put out, in pieces of at most so many bytes.
+_PIECE = 1 << 20
 
 
-def scan(text: str) -> Iterator[tuple[str, int, int]]:
-    """Kind, start and end of every secret that stands in the text as it is."""
+_RUN_BYTE = np.zeros(256, bool)
+_RUN_BYTE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)] = True
+
+
+def _has_run(text: str) -> bool:
+    """Whether sixteen characters of base64 follow each other, without which there is no hexadecimal or base64 run."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = np.flatnonzero(~_RUN_BYTE[np.minimum(codes, 255)] | (codes > 255))
+    return bool(np.diff(places, prepend=-1, append=len(codes)).max(initial=0) > 16)
+
+
+def scan(text: str, runs: bool = True) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of every secret that stands in the text as it is; runs tells whether it may have long ones."""
     low = text.lower()
     if any(w in low for w in _ASSIGN_WORDS):
         yield from (("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6)
     if "AKIA" in text:
         yield from (("access", *m.span()) for m in _ACCESS.finditer(text))
-    yield from (("hex", *m.span()) for m in _HEX.finditer(text))
+    if runs:
+        yield from (("hex", *m.span()) for m in _HEX.finditer(text))
     for kind, hint, pattern in (("pem", "-----BEGIN", _PEM), ("github", "gh", _GITHUB), ("slack", "xox", _SLACK), ("jwt", "eyJ", _JWT)):
         if hint in text:
             yield from ((kind, *m.span()) for m in pattern.finditer(text))
@@ -147,64 +161,100 @@ def _decompressor(head: bytes):
     return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _inflate(stream: Iterator[bytes]) -> Iterator[bytes]:
-    """What a stream of bytes holds, member after member; nothing if it is not compressed.  A broken stream ends where it breaks."""
-    rest = next(stream, b"")
-    while len(rest) < 6 and (more := next(stream, b"")):
-        rest += more
-    while unpack := _decompressor(rest):
-        try:
-            while not unpack.eof:
-                if isinstance(unpack, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
-                    out = unpack.decompress(rest if unpack.needs_input else b"", 1 << 20)
-                    rest = b"" if unpack.needs_input else rest[:0]
-                    hungry = unpack.needs_input
-                else:
-                    out = unpack.decompress(rest, 1 << 20)
-                    rest = unpack.unconsumed_tail
-                    hungry = not rest and len(out) < 1 << 20
-                if out:
-                    yield out
-                if hungry and not unpack.eof and not (rest := next(stream, b"")):
-                    return
-        except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            return
-        rest = unpack.unused_data
-        while len(rest) < 6 and (more := next(stream, b"")):
-            rest += more
+class _Level:
+    """One level of compression of a nest.
 
+    ``start``: not known yet whether a stream begins (``held``: too few bytes to tell); ``stream``: one is being read (``held``: what
+    it took without giving anything, which is content if it breaks; ``more``: it can give more without being fed); ``plain``: what comes is content; ``dead``: a
+    stream broke, nothing follows.
+    """
 
-def _pieces(raw: bytes, at: int) -> Iterator[bytes]:
-    """Bytes from a place on, in pieces that grow, so that what is not a stream costs little."""
-    size = 512
-    while at < len(raw):
-        yield raw[at : at + size]
-        at += size
-        size = min(size * 4, 1 << 20)
+    __slots__ = ("state", "unpack", "held", "given", "more")
 
+    def __init__(self) -> None:
+        self.state, self.unpack, self.held, self.given, self.more = "start", None, b"", False, False
 
-def _content(stream: Iterator[bytes]) -> Iterator[bytes]:
-    """What a compressed stream holds when no level of compression is left."""
-    inner = _inflate(stream)
-    head = next(inner, b"")
-    while head and len(head) < 6 and (more := next(inner, b"")):
-        head += more
 
-    def again() -> Iterator[bytes]:
-        yield head
-        yield from inner
+def _give(unpack, fed: bytes) -> tuple[bytes, int, bool]:
+    """What a stream gives, a piece at most; how many bytes of the fed ones it left; whether it has more."""
+    piece = unpack.decompress(fed, _PIECE)
+    if unpack.eof:
+        return piece, len(unpack.unused_data), False
+    if isinstance(unpack, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+        return piece, 0, not unpack.needs_input
+    left = len(unpack.unconsumed_tail)
+    return piece, left, not left and len(piece) == _PIECE
 
-    if not head:
-        return
-    if _STREAM.match(head):
-        deeper = _content(again())
-        first = next(deeper, b"")
-        if first:
-            yield first
-            yield from deeper
-            return
-    yield head
-    yield from inner
+
+class _Unwrapped:
+    """What the compressed stream at a place of some bytes holds when no level of compression is left, in pieces.
+
+    Levels are a list and pieces wait on a stack, so that a nest of any depth takes the time of its layers and, as a stream
+    that ended is forgotten, little memory.  Streams that follow each other make one content.  ``end`` is where the last whole
+    stream ends in the bytes.
+    """
+
+    def __init__(self, raw: bytes, at: int) -> None:
+        self.end, self.levels, self.todo = at, [_Level()], [(0, raw, at)]
+
+    def __iter__(self) -> Iterator[bytes]:
+        while self.todo:
+            yield from self._step(*self.todo.pop())
+        for level in self.levels[1:]:  # what was too short, or gave nothing, was no stream
+            if level.held and level.state in ("start", "stream"):
+                yield level.held
+
+    def _step(self, i: int, data: bytes, at: int) -> Iterator[bytes]:
+        if i == len(self.levels):
+            self.levels.append(_Level())
+        level, out, size, step = self.levels[i], [], 0, 512
+        while size < _PIECE and (at < len(data) or level.more) and level.state in ("start", "stream"):
+            if level.state == "start":
+                head = level.held + data[at : at + 10]
+                if len(head) < 10:  # no stream that holds anything is shorter
+                    level.held, at = head, len(data)
+                    break
+                if level.held:  # it began in the piece before
+                    data, at, level.held = level.held + data[at:], 0, b""
+                level.unpack = _decompressor(head) if _STREAM.match(head) else None
+                level.state, level.given, step = "stream" if level.unpack else "plain", False, 512
+                continue
+            fed = b"" if level.more else data[at : at + step]
+            step = min(step * 4, _PIECE)
+            try:
+                piece, left, level.more = _give(level.unpack, fed)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                level.state, level.unpack, level.more = "dead" if level.given else "plain", None, False
+                data, at, level.held = level.held + data[at:], 0, b""
+                break
+            at += len(fed) - left
+            if piece:
+                out.append(piece)
+                size += len(piece)
+                level.given, level.held = True, b""
+            elif not level.given:
+                level.held += fed[: len(fed) - left]
+            if level.unpack.eof:
+                level.state, level.unpack, level.held = "start", None, b""
+                if i == 0:
+                    self.end = at
+        if level.state in ("start", "stream") and (at < len(data) or level.more):
+            self.todo.append((i, data, at))
+        if out:
+            self.todo.append((i + 1, b"".join(out), 0))
+        if level.state == "plain" and i:  # the first level's own bytes were read before
+            for k in range(at, len(data), _PIECE):
+                yield data[k : k + _PIECE]
+
+
+def _layers(raw: bytes, limit: int | None) -> Iterator[bytes | None]:
+    """What all compressed streams in some bytes hold, in windows; what whole streams took is not tried again."""
+    done = 0
+    for m in _STREAM.finditer(raw):
+        if m.start() >= done:
+            inner = _Unwrapped(raw, m.start())
+            yield from _windows(iter(inner), limit)
+            done = inner.end
 
 
 def _windows(stream: Iterator[bytes], limit: int | None) -> Iterator[bytes | None]:
@@ -267,47 +317,46 @@ def _views(raw: bytes) -> Iterator[str]:
 
 
 def _inside(run: bytes, seams: tuple[int, ...], limit: int | None) -> set[str]:
-    """The kinds in all layers inside a base64 run; of a wrapped run those that its single lines cannot show."""
+    """The kinds in all layers inside a base64 run; of a wrapped run those that its single lines cannot show.
+
+    The worklist holds what is still to be unwrapped of each layer above the one at hand, so that layers are made when
+    their turn comes, and a nest of any depth is a loop.
+    """
     kinds: set[str] = set()
-    seen, todo = set(), []
-
-    def push(raw: bytes) -> None:
-        if raw and hash(raw) not in seen:
-            seen.add(hash(raw))
-            todo.append(raw)
-
-    def streams(raw: bytes) -> None:
-        for m in _STREAM.finditer(raw):
-            for window in _windows(_content(_pieces(raw, m.start())), limit):
-                if window is None:
-                    kinds.add(OVERSIZE)
-                else:
-                    push(window)
-                    drain()
+    seen: set[int] = set()
+    todo: list[Iterator[bytes | None]] = []
+
+    def below(raw: bytes, texts: set[str]) -> Iterator[bytes | None]:
+        for text in texts:
+            for _, _, inner, _ in _runs(text):
+                yield from (deeper for _, deeper in _decoded(inner))
+        yield from _layers(raw, limit)
 
     def read(raw: bytes, place=None) -> None:
+        texts = set()
         for view in _views(raw):
-            kinds.update("layer_" + k for k, a, b in scan(view) if place is None or len(view) != len(raw) or place(a, b))
+            runs = _has_run(view)
+            kinds.update("layer_" + k for k, a, b in scan(view, runs) if place is None or len(view) != len(raw) or place(a, b))
+            texts |= {view} if runs else set()
             flat = unescaped(view)
+            if flat is not None and (runs := _has_run(flat[0])):
+                texts.add(flat[0])
             if flat is not None:
-                kinds.update("layer_" + k for k, _, _ in scan(flat[0]))
-            for text in {view, flat[0] if flat is not None else view}:
-                for _, _, inner, _ in _runs(text):
-                    for _, deeper in _decoded(inner):
-                        push(deeper)
-        streams(raw)
-
-    def drain() -> None:
-        while todo:
-            read(todo.pop())
+                kinds.update("layer_" + k for k, _, _ in scan(flat[0], runs))
+        todo.append(below(raw, texts))
 
     for skip, raw in _decoded(run):
         seen.add(hash(raw))
-        if seams:
-            read(raw, lambda a, b, skip=skip: any(skip + 4 * (a // 3) < s < skip + 4 * (-(-b // 3)) for s in seams))
-        else:
-            read(raw)
-    drain()
+        read(raw, (lambda a, b, skip=skip: any(skip + 4 * (a // 3) < s < skip + 4 * (-(-b // 3)) for s in seams)) if seams else None)
+        while todo:
+            layer = next(todo[-1], False)
+            if layer is False:
+                todo.pop()
+            elif layer is None:
+                kinds.add(OVERSIZE)
+            elif layer and hash(layer) not in seen:
+                seen.add(hash(layer))
+                read(layer)
     return kinds
 
 
@@ -335,8 +384,8 @@ def find_secrets(docs: DataFrame, *, max_inflated: int | None = None) -> DataFra
     """``doc_id, secrets`` of columns ``doc_id, text``: an array of (kind, start, end, value), a row for each input row.
 
     Offsets count code points of the text, end exclusive; ``value`` is the text there (still encoded for kinds ``layer_*``).
-    Null and empty texts have none; equal rows have equal findings.  Texts are read whole, and so is what they hold: a very
-    long run or nest of escapes takes time in proportion to its length.  Who fears decompression bombs may bound what one
+    Null and empty texts have none; equal rows have equal findings, and other columns, whatever their names, are not looked at.
+    Texts are read whole, and so is what they hold: very long texts, runs and nests take time in proportion to the sum of their layers.  Who fears decompression bombs may bound what one
     compressed stream is read to with ``max_inflated`` bytes; a run that holds more then has the kind ``oversize``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
