@@ -2,7 +2,7 @@
 
 Texts and benchmark items are normalised (letters and digits in lower case, everything else one blank).  If an item of
 length m stands in a text with at most k edits, then at least m - q + 1 - k * q of its q-grams are shared within a band
-of k + 1 diagonals.  The q-grams of the items are a table, cut into blocks of bounded size; the q-grams of each text are looked
+of k + 1 diagonals; q is 8, or less for short items, so that one at least is needed.  The q-grams of the items are a table, cut into blocks of bounded size; the q-grams of each text are looked
 up in a block, the hits are counted for each item in overlapping bands of diagonals, as places of the text, and bands that
 meet the bound are aligned with the item, and kept if the distance is within the budget.
 
@@ -51,11 +51,22 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(word[place], low[place], np.uint8(32)), np.searchsorted(place, offsets), place
 
 
-def q_grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every Q = 8 bytes: the bytes themselves, mixed."""
-    n = len(data) - Q + 1
+def gram_size(length: int, budget: int) -> int:
+    """The size of an item's q-grams: 8, or less where as many edits could break all of these."""
+    return min(Q, length // (budget + 1))
+
+
+def q_grams(data: np.ndarray, size: int = Q) -> np.ndarray:
+    """A 64-bit hash of every run of so many bytes (8 at most): the bytes themselves, shorter ones with their number, mixed."""
+    n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if size < Q:
+        whole = np.concatenate([data, np.zeros(Q - size, np.uint8)])
+        value = np.zeros(n, np.uint64)
+        for j in range(size):
+            value = value << np.uint64(8) | whole[j : j + n]
+        return (value | np.uint64(16 + size) << np.uint64(56)) * tx.MULTIPLIER  # no normalised text has such a first byte
     pair = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
     four = pair[:-2].astype(np.uint32) << np.uint32(16) | pair[2:]
     return (four[:n].astype(np.uint64) << np.uint64(32) | four[4 : 4 + n]) * tx.MULTIPLIER
@@ -97,13 +108,14 @@ def _prepare(error: float):
                 if not m:
                     continue
                 data = np.frombuffer(body, np.uint8)
-                k = min(int(error * m), (m - Q) // Q) if m >= Q else 0
-                g = q_grams(data) if m >= Q else short_grams(data, m)[1]
+                k = int(error * m) if m >= Q else 0
+                q = gram_size(m, k)
+                g = q_grams(data, q) if m >= Q else short_grams(data, m)[1]
                 order = np.argsort(g, kind="stable")
                 first = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))
                 # stretches that are more than two widths apart reach different bands from any place
                 grams = [{"gram": int(v), "low": a, "high": b} for v, at in zip(g[order][first].view(np.int64), np.split(order, first[1:]), strict=True) for a, b in _stretches(at, 2 * (k + 1))]
-                for column, value in zip(out, (no, body, k, max(1, m - Q + 1 - k * Q), k + 1, grams), strict=True):
+                for column, value in zip(out, (no, body, k, max(1, m - q + 1 - k * q), k + 1, grams), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), _GRAMS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["no", "body", "budget", "needed", "width", "grams"])
@@ -122,6 +134,7 @@ class _Block:
         self.names, first, self.item = np.unique(no, return_index=True, return_inverse=True)
         self.needed = needed[first]
         self.lengths = np.unique(length[length < Q]).tolist()
+        self.sizes = np.unique(np.minimum(Q, length // self.width)[length >= Q]).tolist()
 
     @cached_property
     def bits(self) -> np.ndarray:
@@ -132,12 +145,12 @@ class _Block:
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the places whose q-gram an item has: text, place in it, and the first and last of its entries."""
-        g = q_grams(data)
-        at = np.flatnonzero(self.bits[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        values = g[at]
-        doc = np.searchsorted(offsets, at, "right") - 1
-        inside = at + Q <= offsets[doc + 1]
-        at, values = at[inside], values[inside]
+        at, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for size in self.sizes:
+            g = q_grams(data, size)
+            some = np.flatnonzero(self.bits[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+            inside = some + size <= offsets[np.searchsorted(offsets, some, "right")]
+            at, values = np.concatenate([at, some[inside]]), np.concatenate([values, g[some[inside]]])
         for n in self.lengths:
             few = [short_grams(data[a:b], n) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             at = np.concatenate([at, *(p + a for (p, _), a in zip(few, offsets[:-1], strict=True))])
@@ -348,7 +361,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error: float = 0.1) ->
 
     ``error`` is the share of an item's characters that may be edited, insertions and deletions included.  Offsets count
     code points of the text, end exclusive.  Places of an item do not overlap: of overlapping ones the one with fewer edits
-    counts, then the first.  Items with fewer than 8 letters, digits and blanks between words match where their words stand
+    counts, then the first.  Shorter items with many edits are looked for by shorter q-grams, so that the budget is the stated share for
+    every length.  Items with fewer than 8 letters, digits and blanks between words match where their words stand
     unchanged, as words of their own; null items and those without letters and digits match nothing, nor do null or empty
     texts.  Every input row is searched, so repeated documents give repeated rows; of equal items one is searched, items
     that share an identifier or a text each give their rows.  Texts of any length are one row's work.
