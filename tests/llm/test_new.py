@@ -1,8 +1,13 @@
 """Near copies by MinHash, the conversation trie and spelling variants against brute force."""
 
+import base64
+import bz2
+import gzip
 import hashlib
+import lzma
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import blocks, jaccard, minhash, trie, variants
+from tidemark.llm import blocks, decontaminate, jaccard, minhash, secrets, trie, variants
 
 DIR = "/root/testdata/sf0.001"
 
@@ -235,3 +240,59 @@ def test_variants_of_nothing(spark):
     assert variants.spelling_variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         variants.spelling_variants(spark.createDataFrame([], "doc_id long, text string"), ratio=1)
+
+
+def test_leaks_of_every_length_up_to_the_budget(spark):
+    """Items of 8 to 200 letters with as many edits as a tenth of them, at the start, inside and at the end of a document."""
+    rng = random.Random(4)
+    items, docs, want = [], [], {}
+    for m in [*range(8, 70), 99, 100, 101, 150, 199, 200]:
+        body = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(m))
+        body = body[: m // 2] + (" " if m > 12 else "x") + body[m // 2 + 1 :]
+        items.append((m, body))
+        for more in (0, 1):
+            chars = list(body)
+            for i in range(int(0.1 * m) + more):
+                at = min(int((i + 0.5) * m / (int(0.1 * m) + more)), m - 1)  # far from each other, as the bound allows for
+                chars[at] = rng.choice(["", "q" + chars[at] + "", "7"]) if chars[at] != " " else " "
+            before, after = rng.choice([("", " and more text"), ("some text, then ", ""), ("x y ", " z")])
+            docs.append((2 * m + more, before + "".join(chars) + after))
+    norm = lambda t: " ".join(re.findall(r"[0-9a-z]+", t.lower()))
+    for d, t in docs:
+        for m, body in items:
+            if abs(m - d // 2) < 25:
+                row = [0] * (len(norm(t)) + 1)
+                for i, c in enumerate(body, 1):
+                    new = [i]
+                    for j, x in enumerate(norm(t), 1):
+                        new.append(min(row[j - 1] + (c != x), row[j] + 1, new[j - 1] + 1))
+                    row = new
+                if min(row) <= int(0.1 * m):
+                    want[d, m] = min(row)
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {}
+    for r in found.collect():
+        got[r.doc_id, r.item_id] = min(r.edits, got.get((r.doc_id, r.item_id), 99))
+    assert got == want and {m for _, m in want} == {m for m, _ in items}
+
+
+def test_deep_nests_and_many_members(spark):
+    """Depth, number and size of what a run holds cost no more than the layers themselves."""
+    key, wrap = b"password=hunter2secret", lambda b: "see " + base64.b64encode(b).decode()
+    deep = alternating = key
+    for _ in range(5000):
+        deep = gzip.compress(deep, 1)
+    for _ in range(100):
+        alternating = gzip.compress(base64.b64encode(alternating))
+    members = b"".join(gzip.compress(b"member %d" % i) for i in range(30_000)) + gzip.compress(key)
+    large = bz2.compress(b"abc def " * (1 << 20) + key)
+    for name, raw in {"deep": deep, "alternating": alternating, "members": members, "inside": gzip.compress(members), "large": large}.items():
+        began = time.time()
+        assert "layer_assign" in {k for k, _, _ in secrets.find_all(wrap(raw))}, name
+        assert time.time() - began < 30, name  # seconds on an idle machine; quadratic ways take minutes
+    odd = [gzip.compress(gzip.compress(b"a") + b" " + key), gzip.compress(b"aaa")[:-3] + b"  " + key, gzip.compress(b"x\x9c no stream " + key), gzip.compress(b"\x1f\x8b\x08 no stream " + key), lzma.compress(bz2.compress(zlib.compress(key)))]
+    assert all("layer_assign" in {k for k, _, _ in secrets.find_all(wrap(raw))} for raw in odd)
+    assert secrets.find_all(wrap(gzip.compress(b"nothing " * 100)[:-9])) == []
+    assert "oversize" in {k for k, _, _ in secrets.find_all(wrap(large), 1 << 20)}
+    df = spark.createDataFrame([(1, wrap(deep)), (2, wrap(gzip.compress(b"")))], "doc_id long, text string").withColumn("secrets", F.lit(1))
+    assert {r.doc_id: {s.kind for s in r.secrets} for r in secrets.find_secrets(df).collect()} == {1: {"layer_assign"}, 2: set()}
