@@ -296,8 +296,8 @@ def _often_enough(candidates: DataFrame, threshold: int) -> DataFrame:
 def _best_partners(pairs: DataFrame) -> DataFrame:
     """``a, b``: for each class b the partner a that most index lists name as a hub, among those it met often."""
     both = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), "met").unionByName(pairs.select("b", "a", "met"))
-    weight = both.groupBy("a").agg(F.sum("met").alias("weight"))
-    most = both.groupBy("b").agg(F.max("met").alias("most"))
+    weight = both.groupBy("a").agg(F.sum("met").alias("weight")).checkpoint()  # plain tables, so that joins can split a hub's rows
+    most = both.groupBy("b").agg(F.max("met").alias("most")).checkpoint()
     order = F.struct((2 * F.col("met") < F.col("most")).alias("seldom"), (-F.col("weight")).alias("weight"), (-F.col("met")).alias("met"), "a")
     best = both.join(weight, "a").join(most, "b").groupBy("b").agg(F.min(order)["a"].alias("a")).select("a", "b")
     return best.withColumn("_low", F.least("a", "b")).withColumn("_high", F.greatest("a", "b")).dropDuplicates(["_low", "_high"]).select("a", "b")
