@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import blocks, decontaminate, jaccard, minhash, secrets, trie, variants
+from tidemark.llm import blocks, decontaminate, jaccard, language, minhash, secrets, toxicity, trie, variants
 
 DIR = "/root/testdata/sf0.001"
 
@@ -296,3 +296,17 @@ def test_deep_nests_and_many_members(spark):
     assert "oversize" in {k for k, _, _ in secrets.find_all(wrap(large), 1 << 20)}
     df = spark.createDataFrame([(1, wrap(deep)), (2, wrap(gzip.compress(b"")))], "doc_id long, text string").withColumn("secrets", F.lit(1))
     assert {r.doc_id: {s.kind for s in r.secrets} for r in secrets.find_secrets(df).collect()} == {1: {"layer_assign"}, 2: set()}
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """However often an identifier or a row repeats."""
+    rows = [(1, f"text number {i} of one identifier", "en") for i in range(200)] + [(2, "the same row", "en")] * 100 + [(3, "un autre", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (9, 1)], "doc_id long, toxic int")
+    keep = docs.where(~toxicity.held_out())
+    sample = toxicity.labelled_sample(docs, labels, max_sample=50)
+    assert sample.count() <= 50 and sample.distinct().count() == sample.count()
+    whole = {(r.text, r.label) for r in toxicity.labelled_sample(docs, labels).collect()}
+    assert whole == {(r.text, {1: 1, 2: 0}[r.doc_id]) for r in keep.where("doc_id < 3").collect()}
+    model = language.fit_language(docs, per_language=10)
+    assert model.languages and set(model.languages) <= {"en", "fr"}

@@ -124,24 +124,27 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
 
     ``quantile`` and ``slack`` set how far a text may be from its centroid, see least_cosines().
 
-    The rows for the centroids are, in each language, the ``per_language`` with the smallest hash of the identifier,
-    fewer if there are so many languages that they would exceed ``max_sample``.  With no usable row the model knows no
+    The rows for the centroids are, in each language, the ``per_language`` with the smallest hash of the identifier, then of the
+    text, fewer if there are so many languages that they would exceed ``max_sample``; equal rows count once, so that the
+    bound holds for rows however often identifiers repeat.  Texts of any length are one row's work.  With no usable row the model knows no
     language and predicts ``und`` everywhere.
     """
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    shared_folder(docs.sparkSession)
+    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("_key", F.xxhash64("text"))
     order = F.xxhash64("doc_id", F.lit(17))
-    languages = rows.select("lang").distinct().count()
+    narrow = rows.select("doc_id", "lang", "_key").checkpoint()  # all that picking needs of the texts
+    languages = narrow.select("lang").distinct().count()
     if not languages:
         return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, LENGTHS)))
     bound = max(1, min(per_language, max_sample // languages))
     # the rows with the smallest hashes, by counting hashes in 4096 ranges first, so that few rows of a language are ranked
-    ranked = rows.select("doc_id", "lang").withColumn("_order", order).withColumn("_range", F.shiftright("_order", 52))
+    ranked = narrow.withColumn("_order", order).withColumn("_range", F.shiftright("_order", 52))
     sums = ranked.groupBy("lang", "_range").agg(F.count("*").alias("n")).withColumn("_upto", F.sum("n").over(W.partitionBy("lang").orderBy("_range")))
     reach = sums.groupBy(F.col("lang").alias("_lang")).agg(F.coalesce(F.min(F.when(F.col("_upto") >= bound, F.col("_range"))), F.max("_range")).alias("_last"))
     near = ranked.join(F.broadcast(reach) if languages <= max_sample else reach, F.col("lang") == F.col("_lang")).where(F.col("_range") <= F.col("_last"))  # a row for each language
-    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_order", "doc_id"))).where(F.col("_rank") <= bound)
-    picked = ranked.select(F.col("doc_id").alias("_id")).distinct()
-    sample = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"), "left_semi")
+    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_order", "doc_id", "_key"))).where(F.col("_rank") <= bound)
+    picked = ranked.select("doc_id", "lang", "_key").distinct()
+    sample = rows.join(F.broadcast(picked), ["doc_id", "lang", "_key"], "left_semi").dropDuplicates(["doc_id", "lang", "_key"]).drop("_key")
 
     counted = rows.select("text").mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n"))
     df = dict(counted.collect())  # DIMENSIONS + 1 rows whatever the input
@@ -153,7 +156,6 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
             v = _vectors(gram_counts(part.column("text")), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], ["doc_id", "lang", "v"])
 
-    shared_folder(docs.sparkSession)
     sample = sample.checkpoint()  # bound * languages rows
     found = sample.mapInArrow(vectors, "doc_id string, lang string, v binary").toArrow()
     found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("v", "ascending")])
@@ -191,7 +193,7 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
 
 
 def detect_language(docs: DataFrame, model: LanguageModel, *, keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred, score, rejected`` to columns ``keep`` (default: all); needs a column ``text``.
+    """Add ``lang_pred, score, rejected`` to columns ``keep`` (default: all); needs a column ``text``, of any length.
 
     ``score`` is the cosine to the nearest centroid, 0 to 1.  ``rejected`` is true where that is less than the model asks
     of a text of this length, or ``lang_pred`` is ``und``, which stands for null texts, texts without a letter, and models

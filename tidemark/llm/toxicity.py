@@ -233,7 +233,7 @@ def fit_toxicity(rows: DataFrame, *, min_rows: int = 4, strength: float = 16.0,
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | None = None) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to columns ``keep`` (default: all); needs ``text``.
 
-    Every input row gives one row; null and empty texts have the score of a text without known words; input columns that
+    Every input row gives one row; texts of any length are one row's work; null and empty texts have the score of a text without known words; input columns that
     have the name of a new one are replaced.
     """
     known, weights, bias = _Known(model.words), model.weights, model.bias
@@ -251,15 +251,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | N
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, max_sample: int = 12_000) -> DataFrame:
-    """``text, label`` of the labelled documents that are not held out: the ``max_sample`` with the smallest hash.
+    """``text, label`` of the labelled documents that are not held out: the ``max_sample`` rows with the smallest hash.
 
-    Labels of absent documents take no place in the sample; a document with two labels, or two rows, gives a row for each.
-    Ties are cut by identifier, then label.  The sample is written out once, so that the fit does not scan documents again.
+    Labels of absent documents take no place in the sample; a document with two labels, or two texts, gives a row for each, equal
+    rows count once, so the bound holds for rows.  Ties are cut by identifier, label, then text hash.  The sample is written out once, so that the fit does not scan documents again.
     """
     wanted = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
-    picked = wanted.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id", "label").limit(max_sample)
+    rows = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("text"))
+    picked = wanted.distinct().join(rows.select("doc_id", "_key"), "doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id", "label", "_key").limit(max_sample)
     shared_folder(docs.sparkSession)
-    return docs.join(F.broadcast(picked), "doc_id").select("text", "label").checkpoint()
+    return rows.join(F.broadcast(picked), ["doc_id", "_key"]).dropDuplicates(["doc_id", "_key", "label"]).select("text", "label").checkpoint()
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
