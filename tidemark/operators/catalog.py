@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from tidemark.functions import pricing as P
 from tidemark.functions import text as X
 
-from .latest import first_per_key, latest_price, preferred_spelling, recent_prices
+from .latest import first_per_key, latest_price, numbered, preferred_spelling, recent_prices
 
 PAGE = 24
 
@@ -183,9 +183,13 @@ def style_page_of(products: DataFrame, obs: DataFrame, slug: str, **how) -> Data
     return style_page(products if found else products.where(F.lit(False)), obs, name, **how).withColumn("tag", F.lit(name))
 
 
+def portuguese_order(column: str) -> list[Column]:
+    """The order of Portuguese, where accents and capitals come second; equal ones in binary order."""
+    return [F.collate(F.col(column), "pt"), F.col(column)]
+
+
 def in_portuguese_order(names: DataFrame, column: str) -> DataFrame:
-    """Rows in the order of Portuguese, where accents and capitals come second; equal ones in binary order."""
-    return names.orderBy(F.collate(F.col(column), "pt"), F.col(column))
+    return names.orderBy(*portuguese_order(column))
 
 
 def ping_styles(products: DataFrame) -> DataFrame:
@@ -194,9 +198,9 @@ def ping_styles(products: DataFrame) -> DataFrame:
 
 
 def deals_to_check(products: DataFrame) -> DataFrame:
-    """``ext_key, id, title`` of active deals: the best first, of equal ones the one updated longest ago."""
-    rows = products.where("deal_score is not null")
-    return rows.orderBy(F.desc("deal_score"), F.asc_nulls_first("updated_at"), "id").select("ext_key", "id", F.coalesce("title", F.lit("")).alias("title"))
+    """``place, ext_key, id, title`` of active deals: the best first, of equal ones the one updated longest ago."""
+    rows = products.where("deal_score is not null").select("ext_key", "id", F.coalesce("title", F.lit("")).alias("title"), "deal_score", "updated_at")
+    return numbered(rows, F.desc("deal_score"), F.asc_nulls_first("updated_at"), F.asc("id")).select("place", "ext_key", "id", "title")
 
 
 def home_page(products: DataFrame, obs: DataFrame, top_slugs: DataFrame, *, as_of: str, search: str = "", artist: str | None = None, sort: str = "desconto", page: int = 1, max_price: float | None = None, days: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -320,9 +324,10 @@ def list_json(rows: DataFrame, name: str, base: str, *order: Column) -> DataFram
     return placed.agg(F.to_json(F.struct(*head, F.count("*").alias("numberOfItems"), items.alias("itemListElement"))).alias("json"))
 
 
-def breadcrumb_json(steps: list[tuple[str, str]]) -> Column:
-    """A schema.org trail of (name, address)."""
-    item = lambda k, name, url: F.struct(F.lit("ListItem").alias("@type"), F.lit(k).alias("position"), F.lit(name).alias("name"), F.lit(url).alias("item"))
+def breadcrumb_json(steps: list[tuple[str | Column, str | Column]]) -> Column:
+    """A schema.org trail of (name, address), each a text or a column."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    item = lambda k, name, url: F.struct(F.lit("ListItem").alias("@type"), F.lit(k).alias("position"), lit(name).alias("name"), lit(url).alias("item"))
     return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), F.array(*(item(k, *s) for k, s in enumerate(steps, 1))).alias("itemListElement")))
 
 

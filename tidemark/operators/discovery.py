@@ -39,6 +39,16 @@ def run_counts(searches: DataFrame, known: DataFrame) -> DataFrame:
     return artists.crossJoin(found)  # one row each
 
 
+def run_counts_of(searches: DataFrame, finds: DataFrame, known: DataFrame) -> DataFrame:
+    """The counters of run_counts from rows: ``artist, blocked`` of each search, ``artist, ext_key`` of each find; an artist's finds
+    are counted in partial sums, never gathered."""
+    numbers = finds.groupBy("artist").agg(F.count("*").alias("_n"))
+    none = F.coalesce("_n", F.lit(0)) == 0
+    artists = searches.join(numbers, "artist", "left").agg(F.count_if(~none | ~F.col("blocked")).alias("processed"), F.count_if(none & ~F.col("blocked")).alias("empty"), F.count_if(F.col("blocked")).alias("blocked"))
+    keys = finds.select("ext_key").distinct().join(known.select("ext_key", F.lit(1).alias("_known")).distinct(), "ext_key", "left")
+    return artists.crossJoin(keys.agg(F.count("*").alias("found"), F.count_if(F.col("_known").isNull()).alias("new"), F.count_if(F.col("_known").isNotNull()).alias("known")))  # one row each
+
+
 def first_finder(finds: DataFrame, order: str) -> DataFrame:
     """Of a key that several artists' searches gave, the row of the first search."""
     return first_per_key(finds, ["ext_key"], F.asc_nulls_last(order), F.asc_nulls_last("artist_name"))

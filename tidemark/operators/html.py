@@ -167,8 +167,17 @@ _SEARCH_FIELDS = [("card_key", pa.string()), ("card_text", pa.string()), *((n, _
 _ARTICLE_FIELDS = [("title", pa.string()), ("headings", _STRINGS), ("links", _STRINGS), ("text", pa.string())]
 
 
+#: Pages that one task reads, as long as that makes no more than so many tasks.
+TASK_PAGES, TASKS = 64, 20_000
+
+
 def _extract(pages: DataFrame, read: Callable[[dom.Node], list[dict]], fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """The rows that ``read`` finds in column ``html``, each with the page's other columns."""
+    """The rows that ``read`` finds in column ``html``, each with the page's other columns.
+
+    Reading a page takes far longer than moving it, so pages are dealt out by their number, however few files or shuffle
+    partitions they come in.
+    """
+    pages = pages.repartition(max(1, min(-(-pages.count() // TASK_PAGES), TASKS)))
     schema = pa.schema(fields)
     kept = [c for c in pages.columns if c != "html"]
     names = {pa.string(): "string", _STRINGS: "array<string>", pa.bool_(): "boolean"}

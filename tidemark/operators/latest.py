@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.sources.shared import run_folder
+
 NEWEST = ("captured_at", "obs_id", "price")
 
 
@@ -19,6 +21,21 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column, n: int = 1) ->
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Adds the place of each row, from 1, in an order of the whole table, which should be total.
+
+    Rows are range-sorted and written out; a row's place is its place in its part and the sizes of the parts before,
+    so that no task gets more than its part.
+    """
+    spark, folder = df.sparkSession, run_folder(df.sparkSession, "numbered")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each part
+    return rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
+
+
 def above(obs: DataFrame, floor: float | None) -> DataFrame:
     return obs if floor is None else obs.where(F.col("price") >= floor)
 

@@ -10,13 +10,14 @@ from tidemark.functions import text as X
 from tidemark.operators import catalog as C
 from tidemark.operators import discovery as D
 from tidemark.operators import html as H
+from tidemark.operators import latest as L
 from tidemark.operators import merge as M
 from tidemark.operators import notify as N
 from tidemark.operators import scoring as S
 from tidemark.sources import payloads
 from tidemark.sources import tables as T
 
-from .catalogue import _CHART, _FRESH, _GRID_COLUMNS, _LISTED, _MOVED, _ORDERS, _QUEUE, DAYS, NOW, _chart, _grid_sql, _queue, cents, moved, query, seconds
+from .catalogue import _CHART, _FRESH, _GRID_COLUMNS, _LISTED, _MOVED, _ORDERS, _QUEUE, DAYS, NOW, SQL, _chart, _grid_sql, _queue, cents, moved, query, seconds
 from .tables_sql import BASE, LONG_AS_OF, OBS, artist_slug, latest_any, recent, slug
 
 # --- listing pages ---------------------------------------------------------------------------------------------------
@@ -145,7 +146,7 @@ def recheck_outcomes(spark, d):
 
 
 def search_pages(spark, d) -> DataFrame:
-    """``artist_name, rank, html``: one search page for each brand."""
+    """``artist_name, page, rank, html``: search pages of each brand, of some 20 cards; rank is the brand's smallest number."""
     k, price = F.col("p_partkey"), F.col("p_retailprice")
     kind = k % 6
     own = F.concat(F.lit('<div data-cy="price-recipe"><a class="a-text-bold" href="/dp/'), _key(k), F.lit('">Disco de  Vinil</a></div>'))
@@ -156,7 +157,8 @@ def search_pages(spark, d) -> DataFrame:
     card = F.concat(F.lit('<div data-component-type="s-search-result" data-asin="'), F.when(k % 7 == 0, F.lit("short")).otherwise(F.lower(_key(k))), F.lit('">'), head, body, prices, F.lit("</div>"))
     cards = T.table(spark, d, "part").select(F.col("p_brand").alias("artist_name"), "p_partkey", card.alias("card"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "card"))), lambda x: x["card"]), "")
-    return cards.groupBy("artist_name").agg(joined.alias("html"), F.min("p_partkey").alias("rank"))
+    pages = cards.groupBy("artist_name", F.floor(F.col("p_partkey") / 500).alias("page")).agg(joined.alias("html"))  # 25 brands
+    return pages.join(cards.groupBy("artist_name").agg(F.min("p_partkey").alias("rank")), "artist_name")
 
 
 _SEARCHED = """found AS (SELECT p_brand AS artist_name, CASE WHEN p_partkey % 6 = 0 THEN 'B' ELSE 'V' END || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS ext_key, p_name AS title,
@@ -180,12 +182,11 @@ def discovery_first_finder(spark, d):
   SELECT count(*) FILTER (WHERE n > 0 OR NOT blocked) AS processed, count(*) FILTER (WHERE n = 0 AND NOT blocked) AS empty, count(*) FILTER (WHERE blocked) AS blocked, (SELECT count(*) FROM f) AS found,
   (SELECT count(*) FROM f WHERE p_partkey % 3 <> 0) AS new, (SELECT count(*) FROM f WHERE p_partkey % 3 = 0) AS known FROM a""")
 def discovery_counts(spark, d):
-    keys = H.artist_search_records(search_pages(spark, d).where("artist_name not like '%4'")).groupBy(F.col("artist_name").alias("artist")).agg(F.collect_set("ext_key").alias("keys"))
-    artists = T.table(spark, d, "part").select(F.col("p_brand").alias("artist")).distinct()
-    searches = artists.join(keys, "artist", "left").select("artist", F.col("artist").endswith("3").alias("blocked"), F.coalesce("keys", F.expr("cast(array() as array<string>)")).alias("keys"))
+    finds = H.artist_search_records(search_pages(spark, d).where("artist_name not like '%4'")).select(F.col("artist_name").alias("artist"), "ext_key")
+    searches = T.table(spark, d, "part").select(F.col("p_brand").alias("artist"), F.col("p_brand").endswith("3").alias("blocked")).distinct()
     number = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
     known = T.table(spark, d, "part").where("p_partkey % 3 = 0").select(F.explode(F.array(F.concat(F.lit("B"), number), F.concat(F.lit("V"), number))).alias("ext_key"))
-    return D.run_counts(searches, known)
+    return D.run_counts_of(searches, finds, known)
 
 
 @query("key_categories", "SELECT l_partkey AS ext_key, array_to_string(list_sort(list(DISTINCT 'u' || l_suppkey)), ',') AS urls FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
@@ -276,11 +277,13 @@ def state_cursor(spark, d):
     return T.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), M.next_batch(F.col("n_nationkey")).cast("int").alias("next"))
 
 
-@query("state_values", "SELECT 'cursor' AS key, '12' AS value UNION ALL SELECT 'other', 'x' UNION ALL SELECT 'read', '12' UNION ALL SELECT 'unset', '0'")
+@query("state_values", """SELECT n_name AS key, CASE WHEN n_name = 'NATION_3' THEN '12' ELSE CAST(n_nationkey AS VARCHAR) END AS value FROM nation
+  UNION ALL SELECT 'read', '12' UNION ALL SELECT 'kept', max(CAST(n_nationkey AS VARCHAR)) FROM nation WHERE n_name = 'NATION_7' UNION ALL SELECT 'unset', '0' UNION ALL SELECT 'new', 'x'""")
 def state_values(spark, d):
-    table = M.set_state(spark.createDataFrame([("cursor", "3"), ("other", "x")], "key string, value string"), "cursor", F.lit(12))
+    state = T.table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"))
+    table = M.set_state(M.set_state(state, "NATION_3", F.lit(12)), "new", F.lit("x"))
     read = lambda name, key, default: M.get_state(table, key, default).select(F.lit(name).alias("key"), "value")
-    return table.unionByName(read("read", "cursor", None)).unionByName(read("unset", "nothing", "0"))
+    return table.unionByName(read("read", "NATION_3", None)).unionByName(read("kept", "NATION_7", None)).unionByName(read("unset", "nothing", "0"))
 
 
 @query("variant_duplicates", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'duplicate' ELSE 'rename' END AS what FROM part WHERE p_partkey % 2 = 0")
@@ -319,6 +322,12 @@ def home_count(spark, d):
     return C.home_page(T.products(spark, d), T.observations(spark, d), _chart(spark, d), as_of=NOW, days=DAYS, page=9999)[1]
 
 
+@query("home_carousel", SQL["carousel"])
+def home_carousel(spark, d):
+    rows = C.home_page(T.products(spark, d), T.observations(spark, d), _chart(spark, d), as_of=NOW, days=DAYS)[2]
+    return rows.withColumn("recent", cents()).select(*_GRID_COLUMNS)
+
+
 @query("home_no_carousel", "SELECT CAST(0 AS BIGINT) AS n")
 def home_no_carousel(spark, d):
     return C.home_page(T.products(spark, d), T.observations(spark, d), _chart(spark, d), as_of=NOW, days=DAYS, search="red")[2].agg(F.count("*").alias("n"))
@@ -371,15 +380,16 @@ def ping_styles(spark, d):
 @query("deals_to_check", "SELECT row_number() OVER (ORDER BY p_partkey % 3 DESC, p_size, p_partkey) AS place, p_partkey AS id, COALESCE(CASE WHEN p_partkey % 5 <> 0 THEN p_name END, '') AS title FROM part WHERE p_partkey % 7 < 3")
 def deals_to_check(spark, d):
     rows = T.table(spark, d, "part").selectExpr("p_partkey id", "'' ext_key", "case when p_partkey % 5 <> 0 then p_name end title", "case when p_partkey % 7 < 3 then p_partkey % 3 end deal_score", "p_size updated_at")
-    ordered = C.deals_to_check(rows).agg(F.collect_list(F.struct("id", "title")).alias("l"))
-    return ordered.select(F.posexplode("l").alias("at", "x")).select((F.col("at") + 1).cast("long").alias("place"), "x.id", "x.title")
+    return C.deals_to_check(rows).select("place", "id", "title")
+
+
+_SPELT = "CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, 'e', 'é') WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END"
 
 
-@query("portuguese_order", "SELECT row_number() OVER (ORDER BY k) AS place, name FROM (VALUES (1, 'abacate'), (2, 'Ábaco'), (3, 'água'), (4, 'Bola'), (5, 'caça'), (6, 'cacá'), (7, 'Érica'), (8, 'zebra')) AS t(k, name) WHERE k <> 5 AND k <> 6")
+@query("portuguese_order", f"SELECT row_number() OVER (ORDER BY p_name) AS place, {_SPELT} AS name FROM (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1)")
 def portuguese_order(spark, d):
-    rows = spark.createDataFrame([(n,) for n in ("zebra", "Érica", "Bola", "água", "Ábaco", "abacate")], "name string")
-    ordered = C.in_portuguese_order(rows, "name").agg(F.collect_list("name").alias("l"))
-    return ordered.select(F.posexplode("l").alias("at", "name")).select((F.col("at") + 1).cast("long").alias("place"), "name")
+    first = T.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    return L.numbered(first.select(F.expr(_SPELT).alias("name")), *C.portuguese_order("name"))
 
 
 @query("json_numbers", "SELECT event_id, CAST(user_id AS DOUBLE) + 0.5 AS total, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 3 END AS n FROM events".replace("CAST(user_id AS DOUBLE) + 0.5", "CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE user_id + 0.5 END"))
@@ -409,9 +419,14 @@ def list_documents(spark, d):
     return json.select(parsed.alias("x")).select(F.col("x.numberOfItems").alias("n"), F.array_join(F.transform("x.itemListElement", lambda i: F.regexp_extract(i["url"], "([^/]*)$", 1)), ",").alias("slugs"))
 
 
-@query("trail_documents", """SELECT '{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Início","item":"https://example.com/"},{"@type":"ListItem","position":2,"name":"Rock","item":"https://example.com/estilo/rock"}]}' AS json""")
+@query("trail_documents", """SELECT n_nationkey AS id, '{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Início","item":"https://example.com/"},'
+  || '{"@type":"ListItem","position":2,"name":"' || r_name || '","item":"https://example.com/estilo/' || r_regionkey || '"},{"@type":"ListItem","position":3,"name":"' || n_name || '","item":"https://example.com/artista/' || n_nationkey || '"}]}' AS json
+  FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def trail_documents(spark, d):
-    return spark.range(1).select(C.breadcrumb_json([("Início", "https://example.com/"), ("Rock", "https://example.com/estilo/rock")]).alias("json"))
+    rows = T.table(spark, d, "nation").join(T.table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    at = lambda path, key: F.concat(F.lit(f"https://example.com/{path}/"), F.col(key).cast("string"))
+    trail = C.breadcrumb_json([("Início", "https://example.com/"), (F.col("r_name"), at("estilo", "r_regionkey")), (F.col("n_name"), at("artista", "n_nationkey"))])
+    return rows.select(F.col("n_nationkey").alias("id"), trail.alias("json"))
 
 
 @query("run_plan", f"""{BASE}, {_QUEUE}, pend AS (SELECT *, COALESCE(CAST(sent_at - INTERVAL 3 HOUR AS DATE) = CAST(TIMESTAMP '2001-11-05 15:00:00' - INTERVAL 2 HOUR AS DATE) AND CASE WHEN ref_price > 0 THEN (ref_price - price) / ref_price ELSE 0 END < 0.1, false) AS again FROM synced WHERE status = 'pending'),
@@ -454,8 +469,8 @@ def word_capitals(spark, d):
 
 @query("category_seed", "SELECT n_name AS name, 'https://example.com/c/' || n_nationkey AS url FROM nation")
 def category_seed(spark, d):
-    rows = T.table(spark, d, "nation").select("n_name", "n_nationkey").orderBy("n_nationkey").collect()  # a fixed list of 25
-    return payloads.category_seed(spark, [r["n_name"] for r in rows], [f"https://example.com/c/{r['n_nationkey']}" for r in rows])
+    lists = T.table(spark, d, "nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))  # the seed is a short list
+    return payloads.category_seed(lists.select(F.col("l.n_name").alias("names"), F.transform("l.n_nationkey", lambda k: F.concat(F.lit("https://example.com/c/"), k.cast("string"))).alias("urls")))
 
 
 @query("page_results", f"""{BASE}, {_CHART} SELECT CASE WHEN {artist_slug('artist')} IN (SELECT slug FROM chart) THEN 'chart' ELSE 'other' END AS kind, count(DISTINCT artist) AS n FROM prod GROUP BY 1""")
@@ -474,7 +489,7 @@ def nan_rows(spark, d):
 @query("inverted_slugs", f"SELECT p_partkey AS id, {slug("split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)")} AS slug FROM part")
 def inverted_slugs(spark, d):
     name = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(", "), F.split_part("p_name", F.lit(" "), F.lit(2)))
-    return T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.artist_slug(name).alias("slug"))
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.compat_inverted_slug(name).alias("slug"))
 
 
 @query("clean_titles", "SELECT p_partkey AS id, p_name AS title FROM part")

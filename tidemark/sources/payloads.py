@@ -44,6 +44,7 @@ def genre_tags(payload: Column, max_tags: int = 3) -> Column:
     return F.when(parsed["error"].isNull() & good.isNotNull(), F.slice(good, 1, max_tags)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def category_seed(spark, names: list[str], urls: list[str]) -> DataFrame:
-    """``name, url`` of categories given as two lists of equal length."""
-    return spark.createDataFrame(list(zip(names, urls, strict=True)), "name string, url string")
+def category_seed(lists: DataFrame) -> DataFrame:
+    """``name, url`` of categories given as two lists of equal length, ``names`` and ``urls``; lists of other lengths are refused."""
+    zipped = F.when(F.size("names") == F.size("urls"), F.arrays_zip("names", "urls")).otherwise(F.raise_error(F.lit("names and urls differ in number")))
+    return lists.select(F.explode(zipped).alias("x")).select(F.col("x.names").alias("name"), F.col("x.urls").alias("url"))
