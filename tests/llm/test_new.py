@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import blocks, decontaminate, jaccard, language, minhash, secrets, toxicity, trie, variants
+from tidemark.llm import blocks, decontaminate, jaccard, language, licenses, minhash, secrets, toxicity, trie, variants
 
 DIR = "/root/testdata/sf0.001"
 
@@ -310,3 +310,11 @@ def test_samples_are_bounded_in_rows(spark):
     assert whole == {(r.text, {1: 1, 2: 0}[r.doc_id]) for r in keep.where("doc_id < 3").collect()}
     model = language.fit_language(docs, per_language=10)
     assert model.languages and set(model.languages) <= {"en", "fr"}
+
+
+def test_short_notices_stand_whole(spark):
+    texts = ["they are licensed under cc rules", "a work licensed under CC-BY 4.0", "# SPDX-License-Identifier: MPL-2.0", "spdx license identifier follows", "// SPDX-License-Identifier: (MIT OR Apache-2.0)",
+             "GNU Affero General Public License", "the affero general rule", "under the Eclipse Public License 2.0", "3-Clause BSD", "three clause bsd", "released into the public domain", "released into the public square", "all rights are reserved", "GNU LGPL v3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == ["", "cc", "mpl", "", "mit", "agpl,gpl", "", "epl", "bsd", "", "public-domain", "", "", "lgpl"]

@@ -194,7 +194,7 @@ def plain_labels(text):
     for label, template in licenses.TEMPLATES:
         t = template.split()
         own = list(zip(t, t[1:], strict=False))
-        need, reach = -(-6 * len(own) // 10), int(1.5 * (len(own) + 1))
+        need, reach = len(own) if len(own) <= 4 else -(-6 * len(own) // 10), int(1.5 * (len(own) + 1))  # short notices stand whole
         if len(set(own) & set(grams)) < 0.6 * len(set(own)) * 0.7:
             continue
         for start in [i for i, g in enumerate(grams) if g in own]:

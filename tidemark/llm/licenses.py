@@ -62,7 +62,28 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
 ]
 
+#: Names and abbreviations of usual licences, by label: notices that must stand whole.
+NAMES = {
+    "agpl": ["gnu affero general public license", "affero general public license", "gnu agpl", "agpl v3", "agpl 3 0"],
+    "apache": ["apache software license", "apache 2 0 license", "apache license 2 0"],
+    "bsd": ["bsd license", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "new bsd license", "simplified bsd license"],
+    "bsl": ["boost software license"],
+    "cc0": ["cc0 1 0", "creative commons zero", "creative commons cc0"],
+    "epl": ["eclipse public license", "epl 2 0", "epl 1 0"],
+    "eupl": ["european union public license", "european union public licence", "eupl 1 2"],
+    "gpl": ["gnu gpl", "gpl v2", "gpl v3", "gpl 2 0", "gpl 3 0"],
+    "isc": ["isc license"],
+    "lgpl": ["lesser general public license", "library general public license", "gnu lgpl", "lgpl v2", "lgpl v3", "lgpl 2 1", "lgpl 3 0"],
+    "mpl": ["mozilla public license", "mpl 2 0"],
+    "public-domain": ["released into the public domain", "dedicated to the public domain", "public domain dedication"],
+}
+#: What follows "SPDX-License-Identifier:", up to the version, by label.
+IDENTIFIERS = {"agpl": "agpl", "apache": "apache", "bsd": "bsd", "bsl": "bsl", "cc": "cc", "cc0": "cc0", "epl": "epl", "eupl": "eupl", "gpl": "gpl", "isc": "isc", "lgpl": "lgpl", "mit": "mit", "mpl": "mpl", "unlicense": "unlicense", "zlib": "zlib"}
+TEMPLATES += [(label, name) for label, names in NAMES.items() for name in names] + [(label, f"spdx license identifier {name}") for label, name in IDENTIFIERS.items()]
+
 GRAM = 2
+#: A notice of at most so many grams has to stand whole: parts of it are words that stand together by chance.
+WHOLE_GRAMS = 4
 _MARKER = 0
 
 
@@ -141,7 +162,7 @@ def _verify(batches: Iterator[pa.RecordBatch], min_cover: float) -> Iterator[pa.
                 out.append([{"base": True, "label": label, "start": d["diagonal"], "end": d["diagonal"] + size + GRAM - 1, "cover": 1.0} for d in diagonals])
             else:
                 hits = [(d["diagonal"] + t, t) for d in diagonals for t in d["places"]]
-                out.append([{"base": False, "label": label, "start": a, "end": b + GRAM, "cover": n / size} for a, b, n in aligned(hits, size, min_cover)])
+                out.append([{"base": False, "label": label, "start": a, "end": b + GRAM, "cover": n / size} for a, b, n in aligned(hits, size, min_cover if size > WHOLE_GRAMS else 1.0)])
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "digest", "n_words", "copies")), pa.array(out, pa.list_(_FINDING))], ["doc_id", "digest", "n_words", "copies", "findings"])
 
 
@@ -149,7 +170,7 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = BASE_PHRASES, te
     """Findings of each document of columns ``doc_id, text``: ``doc_id, n_words, findings``, a row for each input row.
 
     ``findings`` is an array of (base, label, start, end, cover): words from 0, end exclusive; cover is the share of the
-    template's grams in the aligned chain.  Base findings are the exact places of a phrase.  Occurrences of a template
+    template's grams in the aligned chain, which is all of them for notices of at most four grams.  Base findings are the exact places of a phrase.  Occurrences of a template
     that follow each other, also without a word between, are findings of their own.  Null texts count as empty, empty
     texts have no findings; identifiers may be null or repeat (rows are told apart by identifier and text; equal rows have
     equal findings); columns besides the two are not looked at.  Templates are a list that a driver holds, of any length.
