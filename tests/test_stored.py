@@ -1,6 +1,7 @@
 """Tables at rest: what is read, what is written twice, what goes; and the rank of positions against published figures."""
 
 import datetime
+import pathlib
 import random
 
 import pytest
@@ -8,9 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import benchmarks as B
 from tidemark.operators import catalog as C
+from tidemark.operators import html as HT
+from tidemark.operators import latest as L
+from tidemark.operators import merge as M
 from tidemark.operators import rollups as R
 from tidemark.operators import search_index as I
 from tidemark.sources import history as H
+from tidemark.sources import keyed as Y
 from tidemark.sources import lookups as K
 from tidemark.sources import shared
 from tidemark.sources import tables as T
@@ -185,3 +190,54 @@ def test_related_tags_of_all_as_of_each(spark):
         every.setdefault(r.tag, []).append((r.related, r.shared, r.total, r.jaccard))
     for tag in sorted(every)[::25]:
         assert every[tag] == [tuple(r) for r in C.related_tags(products, tag, limit=4).collect()]
+
+
+def test_a_change_replaces_only_the_buckets_of_its_keys(spark, folder):
+    products = spark.range(200).select(F.col("id").alias("ext_key"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.lit("a").alias("artist"))
+    Y.write_keyed(products, folder, "ext_key", buckets=32)
+    before = {p.name: {f.name for f in p.iterdir()} for p in pathlib.Path(folder).iterdir() if p.is_dir()}
+    new = spark.createDataFrame([(7, "seven", "b"), (7, "again", "b"), (999, "new", "c"), (None, "lost", "d")], "ext_key long, title string, artist string")
+    touched = Y.change_keyed(spark, folder, products.schema, "ext_key", new, lambda o, n: M.upsert_products(o, n, as_of="2024-01-01", order=("title",)), buckets=32)
+    after = {p.name: {f.name for f in p.iterdir()} for p in pathlib.Path(folder).iterdir() if p.is_dir()}
+    assert {k for k in before if before[k] != after[k]} <= {f"bucket={n}" for n in touched} and len(touched) <= 2
+    want = {(i, f"t{i}", "a") for i in range(200) if i != 7} | {(7, "seven", "b"), (999, "new", "c")}
+    assert {tuple(r) for r in Y.read_keyed(spark, folder, products.schema).collect()} == want
+    gone = spark.createDataFrame([(i,) for i in range(150)], "ext_key long")
+    Y.change_keyed(spark, folder, products.schema, "ext_key", gone, lambda o, n: M.delete_keys(o, n, "ext_key"), buckets=32)
+    assert {r.ext_key for r in Y.read_keyed(spark, folder, products.schema).collect()} == {*range(150, 200), 999}
+    assert Y.change_keyed(spark, folder, products.schema, "ext_key", gone.where("false"), lambda o, n: o, buckets=32) == []
+
+
+def test_a_mutation_reads_only_its_buckets(spark, folder):
+    Y.write_keyed(spark.range(1000).select(F.col("id").alias("k")), folder, "k", buckets=32)
+    some = Y.read_keyed(spark, folder, spark.range(1).select(F.col("id").alias("k")).schema, only=[3, 4])
+    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().executedPlan().toString() and rows_read(some) == some.count() < 150
+
+
+def test_merges_of_bucketed_tables_move_only_the_changes(spark):
+    name, threshold = "bucketed_products_test", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = spark.range(500).select(F.col("id").alias("ext_key"), F.lit("t").alias("title"))
+        stored = Y.save_bucketed(old, name, "ext_key", buckets=8)
+        new = spark.range(490, 510).select(F.col("id").alias("ext_key"), F.lit("u").alias("title"))
+        merged = M.merge(stored, new, ["ext_key"], {})
+        plan = merged._jdf.queryExecution().sparkPlan().toString(), merged._jdf.queryExecution().executedPlan().toString()
+        assert plan[1].count("Exchange hashpartitioning") == 1  # of the changes
+        assert {tuple(r) for r in merged.collect()} == {(i, "t" if i < 490 else "u") for i in range(510)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_places_in_an_order_of_the_whole_table(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(6)
+    got = L.numbered(rows, F.desc("x")).collect()
+    assert sorted((r.place, r.x) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
+    assert L.numbered(rows.where("false"), F.asc("x")).count() == 0
+
+
+def test_pages_are_read_in_more_than_one_task(spark):
+    pages = spark.range(200).select(F.col("id"), F.concat(F.lit("<html><title>page "), F.col("id").cast("string"), F.lit("</title></html>")).alias("html")).coalesce(1)
+    rows = HT._extract(pages, HT._article, HT._ARTICLE_FIELDS)
+    assert rows.rdd.getNumPartitions() == 4 and rows.where("title = concat('page ', id)").count() == 200

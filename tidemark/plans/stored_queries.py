@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as C
+from tidemark.operators import merge as M
 from tidemark.operators import rollups as R
 from tidemark.operators import search_index as I
 from tidemark.sources import history as H
+from tidemark.sources import keyed as Y
 from tidemark.sources import lookups as K
 from tidemark.sources import tables as T
 from tidemark.sources.shared import run_folder
@@ -185,3 +187,32 @@ def table_of_two_layouts(spark, d):
   FROM pairs p JOIN tc s ON s.tag = p.tag JOIN tc o ON o.tag = related QUALIFY place <= 10""")
 def related_tags_of_all(spark, d):
     return C.related_tags_of_all(T.products(spark, d, with_benchmarks=False))
+
+
+# --- mutations of tables at rest -------------------------------------------------------------------------------------
+
+
+@query("upsert_product_stored", SQL["upsert_product"])
+def upsert_product_stored(spark, d):
+    part, folder = T.table(spark, d, "part"), run_folder(spark, "keyed")
+    old = part.where("p_partkey % 3 <> 0").selectExpr("p_partkey ext_key", "p_name title", "p_brand artist", "case when p_partkey % 2 = 0 then p_type end style", "p_size review_count")
+    new = part.where("p_partkey % 2 = 0").selectExpr("p_partkey ext_key", "upper(p_name) title", "concat(p_brand, '!') artist", "case when p_partkey % 5 <> 0 then lower(p_type) end style", "case when p_partkey % 7 <> 0 then p_size + 1 end review_count", "p_size captured_at")
+    Y.write_keyed(old, folder, "ext_key", buckets=16)
+    Y.change_keyed(spark, folder, old.schema, "ext_key", new, lambda o, n: M.upsert_products(o, n, as_of=NOW), buckets=16)
+    return Y.read_keyed(spark, folder, old.schema)
+
+
+@query("unavailable_stored", SQL["unavailable"])
+def unavailable_stored(spark, d):
+    products, folder = T.table(spark, d, "part").selectExpr("p_partkey id", "p_partkey % 11 <> 0 available", "case when p_partkey % 7 < 3 then 1 end deal_score"), run_folder(spark, "keyed")
+    Y.write_keyed(products, folder, "id", buckets=16)
+    Y.change_keyed(spark, folder, products.schema, "id", T.table(spark, d, "supplier").selectExpr("s_suppkey id"), M.mark_unavailable, buckets=16)
+    return Y.read_keyed(spark, folder, products.schema)
+
+
+@query("deleted_stored", "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def deleted_stored(spark, d):
+    products, folder = T.table(spark, d, "part").selectExpr("p_partkey id", "p_name title"), run_folder(spark, "keyed")
+    Y.write_keyed(products, folder, "id", buckets=16)
+    Y.change_keyed(spark, folder, products.schema, "id", T.table(spark, d, "supplier").selectExpr("s_suppkey id"), lambda o, n: M.delete_keys(o, n, "id"), buckets=16)
+    return Y.read_keyed(spark, folder, products.schema)
