@@ -19,6 +19,7 @@ from tidemark.sources import keyed as Y
 from tidemark.sources import lookups as K
 from tidemark.sources import shared
 from tidemark.sources import tables as T
+from tidemark.streaming import timers as TM
 
 DIR = "/root/testdata/sf0.001"
 
@@ -241,3 +242,37 @@ def test_pages_are_read_in_more_than_one_task(spark):
     pages = spark.range(200).select(F.col("id"), F.concat(F.lit("<html><title>page "), F.col("id").cast("string"), F.lit("</title></html>")).alias("html")).coalesce(1)
     rows = HT._extract(pages, HT._article, HT._ARTICLE_FIELDS)
     assert rows.rdd.getNumPartitions() == 4 and rows.where("title = concat('page ', id)").count() == 200
+
+
+def gaps(rows, hours):
+    """Moments after which a key had no event for so long, up to the newest event of all."""
+    out, end = set(), max(t for _, t in rows)
+    for k in {k for k, _ in rows}:
+        times = sorted({t for key, t in rows if key == k})
+        out |= {(k, a) for a, b in zip(times, [*times[1:], None]) if (b - a > datetime.timedelta(hours=hours) if b else a + datetime.timedelta(hours=hours) < end)}
+    return out
+
+
+@pytest.mark.parametrize("cuts", [[1.0], [0.1, 0.5, 0.55, 0.9, 1.0]])
+def test_timers_whatever_the_batches(spark, tmp_path, cuts):
+    rng = random.Random(9)
+    start = datetime.datetime(2024, 1, 1)
+    times = sorted(rng.sample(range(30 * 86400), 150))
+    rows = [(rng.choice([1, 2, 3, 4, 50, 60]), start + datetime.timedelta(seconds=t)) for t in times]
+    rows = [(k, t) for k, t in rows if k != 60 or t < start + datetime.timedelta(days=9)]
+    begin = 0
+    for i, cut in enumerate(cuts):
+        part = rows[begin : int(len(rows) * cut)]
+        begin = int(len(rows) * cut)
+        spark.createDataFrame([*part, part[0], (None, part[0][1])], "k long, at timestamp").coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    found, folder = None, str(tmp_path / "progress")
+    table = str(tmp_path / "out")
+    for i in range(len(cuts)):  # a run for each part, on the state of the run before
+        for f in (tmp_path / f"b{i}").glob("*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+        stream = spark.readStream.schema("k long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = TM.expirations(stream, "k", "at", hours=30).writeStream.format("parquet").option("checkpointLocation", folder).option("path", table).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    found = {(r.k, r.last_at) for r in spark.read.parquet(table).collect()}
+    assert found == gaps(rows, 30)

@@ -16,6 +16,7 @@ from tidemark.sources import keyed as Y
 from tidemark.sources import lookups as K
 from tidemark.sources import tables as T
 from tidemark.sources.shared import run_folder
+from tidemark.streaming import ingest, timers
 
 from .catalogue import _GRID_COLUMNS, _TAGS, DAYS, NOW, SQL, cents, query, seconds
 from .tables_sql import BASE, LONG_AS_OF, OBS
@@ -216,3 +217,25 @@ def deleted_stored(spark, d):
     Y.write_keyed(products, folder, "id", buckets=16)
     Y.change_keyed(spark, folder, products.schema, "id", T.table(spark, d, "supplier").selectExpr("s_suppkey id"), lambda o, n: M.delete_keys(o, n, "id"), buckets=16)
     return Y.read_keyed(spark, folder, products.schema)
+
+
+# --- timers ----------------------------------------------------------------------------------------------------------
+
+
+def _gaps_sql(hours: int, where: str = "true") -> str:
+    """Moments after which a user has no event for so long, up to the newest event of all."""
+    return f"""ev AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE {where}), nx AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next FROM ev),
+  gone AS (SELECT user_id, ms, ms + {hours * 3_600_000} AS expired FROM nx WHERE COALESCE(next - ms > {hours * 3_600_000}, ms + {hours * 3_600_000} < (SELECT max(ms) FROM ev)))"""
+
+
+@query("expired_keys", f"WITH {_gaps_sql(6)} SELECT user_id, ms AS last_at, expired AS expired_at FROM gone")
+def expired_keys(spark, d):
+    rows = ingest.run_to_table(timers.expirations(ingest.events_stream(spark, d), "user_id", "ts", hours=6))
+    return rows.select("user_id", F.unix_millis("last_at").alias("last_at"), F.unix_millis("expired_at").alias("expired_at"))
+
+
+@query("stale_deals_stream", f"WITH {_gaps_sql(24)} SELECT user_id AS product_id, expired AS cleared_at FROM gone WHERE user_id % 3 = 1")
+def stale_deals_stream(spark, d):
+    stream = ingest.events_stream(spark, d).select(F.col("user_id").alias("product_id"), F.col("ts").alias("captured_at"))
+    products = T.table(spark, d, "events").select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 3 == 1, 1).alias("deal_score")).distinct()
+    return ingest.run_to_table(timers.stale_deals(stream, products, hours=24)).select("product_id", F.unix_millis("cleared_at").alias("cleared_at"))
