@@ -100,7 +100,7 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, weights: tupl
 
     Null or blank texts have size 0; null is a source of its own; rows with equal identifiers follow each other in order of
     size and text, and equal rows in any order.  Rows without identifier are ordered by their text.  Input columns that
-    have the name of a new one are replaced.
+    have the name of a new one are replaced.  An empty table gives no rows; a text of any length is counted as one row's work.
     """
     new = ("size", "source_size", "target", "taken", "positions")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]

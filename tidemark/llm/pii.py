@@ -112,7 +112,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", kinds: tuple[Kind, ...]
     """Add ``pii``: an array of (kind, start, end, score, value), by kind as listed, then start.
 
     Offsets count code points, end exclusive.  Matches of a kind are leftmost and do not overlap; those that fail their
-    check are dropped without a second try.  Null and empty texts have an empty array.  Every input row gives one row; an input
+    check are dropped without a second try.  Null and empty texts have an empty array, texts of any
+    length are one row's work.  Every input row gives one row; an input
     column ``pii`` is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
