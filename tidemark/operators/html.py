@@ -243,12 +243,12 @@ def skip_counts(pages: DataFrame) -> DataFrame:
     return listing_cards(pages).where("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count("*").alias("n"))
 
 
-def product_pages(pages: DataFrame, *, compat_stock: bool = False) -> DataFrame:
+def product_pages(pages: DataFrame, *, compat_stock: bool = False, with_cause: bool = False) -> DataFrame:
     """Product pages: title, artist, image, rating, review count, stock, price, format flags, ``variant_key``.
 
     Stock is assumed unless the page says otherwise.  The phrases for "out" are tested first, since those for "in" are part
     of some; ``compat_stock`` tests in the order of the original system.  A page of several formats gives the price of the
-    vinyl one or none.  Pages without a qualified seller have no price.
+    vinyl one or none.  Pages without a qualified seller have no price.  ``with_cause`` adds ``price_cause``, see price_causes().
     """
     rows = _extract(pages, _product, _PRODUCT_FIELDS)
     says = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
@@ -261,11 +261,25 @@ def product_pages(pages: DataFrame, *, compat_stock: bool = False) -> DataFrame:
     no_offer = F.col("unqualified") & ~F.col("qualified")
     lost = F.col("switcher") & table.isNull() & (F.col("vinyl_out") | ~F.col("vinyl_selected"))
     price = F.when(no_offer | lost, None).when(table.isNotNull() & ~F.col("vinyl_selected"), table).otherwise(F.coalesce(box, loose))
+    cause = F.when(no_offer, "third_party_only").when(F.col("switcher") & table.isNull() & F.col("vinyl_out"), "vinyl_out_of_stock").when(lost, "wrong_format_selected")
+    cause = [cause.when(price.isNotNull(), "price_reachable").otherwise("no_price_element").alias("price_cause")] if with_cause else []
     reviews = F.when(~no_offer, _first(F.col("reviews"), X.parse_review_count, lambda x: x.isNotNull()))
     wrong_title = F.coalesce(F.col("title").rlike(OTHER_TITLE), F.lit(False))
-    rows = rows.withColumn("price", price).withColumn("review_count", reviews).withColumn("artist", choose_artist(F.col("artists"))).withColumn("rating", _first(F.col("ratings"), X.parse_rating, lambda x: x.isNotNull()))
+    rows = rows.select("*", *cause).withColumn("price", price).withColumn("review_count", reviews).withColumn("artist", choose_artist(F.col("artists"))).withColumn("rating", _first(F.col("ratings"), X.parse_rating, lambda x: x.isNotNull()))
     rows = rows.withColumn("non_vinyl", wrong_title | F.col("other_formats_only")).withColumn("variant_key", _first(F.col("variant_links"), X.key_of_url, lambda x: x.isNotNull()))
-    return rows.withColumn("image", X.image_size(F.col("image"))).select(*(c for c in pages.columns if c != "html"), "title", "artist", "image", "rating", "review_count", "in_stock", "price", "non_vinyl", "used", "variant_key")
+    return rows.withColumn("image", X.image_size(F.col("image"))).select(*(c for c in pages.columns if c != "html"), "title", "artist", "image", "rating", "review_count", "in_stock", "price", "non_vinyl", "used", "variant_key", *(["price_cause"] if with_cause else []))
+
+
+def price_causes(pages: DataFrame) -> DataFrame:
+    """The pages' columns but ``html``, ``price`` and ``price_cause``: why a product page gives a price or none.
+
+    In this order: ``robot_page`` (a check of the visitor instead of a page), ``third_party_only`` (no qualified seller),
+    ``vinyl_out_of_stock`` and ``wrong_format_selected`` (several formats, no price in the vinyl row), ``price_reachable``,
+    ``no_price_element``.
+    """
+    rows = product_pages(pages.withColumn("_robot", X.blocked_page(F.col("html"))), with_cause=True)
+    robot = F.coalesce("_robot", F.lit(False))
+    return rows.select(*(c for c in pages.columns if c != "html"), F.when(~robot, F.col("price")).alias("price"), F.when(robot, "robot_page").otherwise(F.col("price_cause")).alias("price_cause"))
 
 
 def discovered_records(pages: DataFrame) -> DataFrame:

@@ -133,6 +133,23 @@ def html_root_cause(spark, d):
     return H.root_cause(H.product_pages(product_pages(spark, d))).groupBy("cause").agg(F.count("*").alias("n"))
 
 
+_ROBOT_TEXTS = [p.replace("you.re", "you're") for p in X.ROBOT_PATTERNS]
+
+
+@query("html_price_causes", """SELECT 'B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS ext_key, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice WHEN p_partkey % 7 = 6 THEN round(p_retailprice + 60, 2) END AS price,
+  CASE p_partkey % 7 WHEN 1 THEN 'third_party_only' WHEN 2 THEN 'vinyl_out_of_stock' WHEN 3 THEN 'wrong_format_selected' WHEN 4 THEN 'robot_page' WHEN 5 THEN 'no_price_element' ELSE 'price_reachable' END AS price_cause FROM part""")
+def html_price_causes(spark, d):
+    k, price = F.col("p_partkey"), F.col("p_retailprice")
+    pay = F.concat(F.lit('<div class="priceToPay"><span class="a-offscreen">'), _money(price), F.lit("</span></div>"))
+    formats = lambda vinyl: F.concat(F.lit('<div id="tmmSwatches"><div class="swatchElement selected">CD</div><div class="swatchElement">Vinil'), vinyl, F.lit("</div></div>"))
+    bare, priced = F.lit(""), F.concat(F.lit('<span aria-label="'), _money(price + 60), F.lit('"></span>'))
+    robots = F.array(*map(F.lit, _ROBOT_TEXTS))
+    body = F.when(k % 7 == 0, pay).when(k % 7 == 1, F.concat(F.lit('<div id="unqualifiedBuyBox"></div>'), pay)).when(k % 7 == 2, F.concat(F.lit('<div id="outOfStockBuyBox"></div>'), formats(bare))).when(k % 7 == 3, F.concat(formats(bare), pay))
+    body = body.when(k % 7 == 4, F.concat(F.lit("<h4>"), F.element_at(robots, (F.floor(k / 7) % len(_ROBOT_TEXTS) + 1).cast("int")), F.lit("</h4>"), pay)).when(k % 7 == 5, F.lit('<div id="availability">Em estoque</div>')).otherwise(F.concat(formats(priced), pay))
+    pages = T.table(spark, d, "part").select(_key(k).alias("ext_key"), F.concat(F.lit('<html><body><span id="productTitle">x</span>'), body, F.lit("</body></html>")).alias("html"))
+    return H.price_causes(pages).select("ext_key", F.round("price", 2).alias("price"), "price_cause")
+
+
 @query("recheck_outcomes", """SELECT 'B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS ext_key, CASE WHEN p_partkey % 10 = 9 THEN 'skipped' WHEN p_partkey % 9 IN (4, 5) THEN 'non_vinyl' WHEN p_partkey % 9 IN (1, 7) THEN 'unavailable'
   WHEN p_partkey % 9 IN (2, 8) THEN 'deal_cleared' ELSE 'updated' END AS outcome FROM part""")
 def recheck_outcomes(spark, d):
