@@ -55,8 +55,15 @@ def _secondary(node: dom.Node) -> bool:
 def _instalment(node: dom.Node) -> bool:
     if "a-text-price" in node.get("class") or "s-installment" in node.get("class"):
         return True
-    near = [a for a, _ in zip(node.ancestors(), range(4), strict=False)]
-    return any(w in text for a in near for text in [a.text(" ").lower()] for w in INSTALMENT_WORDS)
+    known = node.page.known
+    for a, _ in zip(node.ancestors(), range(4), strict=False):
+        says = known.get(a.at)
+        if says is None:
+            text = a.text(" ").lower()
+            says = known[a.at] = any(w in text for w in INSTALMENT_WORDS)
+        if says:
+            return True
+    return False
 
 
 def _block_price(node: dom.Node) -> list[str]:
@@ -167,8 +174,13 @@ _SEARCH_FIELDS = [("card_key", pa.string()), ("card_text", pa.string()), *((n, _
 _ARTICLE_FIELDS = [("title", pa.string()), ("headings", _STRINGS), ("links", _STRINGS), ("text", pa.string())]
 
 
-#: Pages that one task reads, as long as that makes no more than so many tasks.
-TASK_PAGES, TASKS = 64, 20_000
+#: Pages that one task reads at least and, once every core has its share of tasks, at most; so many tasks a core and in all.
+TASK_PAGES, LONG_TASK_PAGES, CORE_TASKS, TASKS = 64, 2048, 4, 20_000
+
+
+def _tasks(pages: int, cores: int) -> int:
+    """Tasks for so many pages: enough for all cores, and no more of them than the work is worth, as each has a cost of its own."""
+    return max(1, min(-(-pages // TASK_PAGES), max(CORE_TASKS * cores, -(-pages // LONG_TASK_PAGES)), TASKS))
 
 
 def _extract(pages: DataFrame, read: Callable[[dom.Node], list[dict]], fields: list[tuple[str, pa.DataType]]) -> DataFrame:
@@ -177,7 +189,7 @@ def _extract(pages: DataFrame, read: Callable[[dom.Node], list[dict]], fields: l
     Reading a page takes far longer than moving it, so pages are dealt out by their number, however few files or shuffle
     partitions they come in.
     """
-    pages = pages.repartition(max(1, min(-(-pages.count() // TASK_PAGES), TASKS)))
+    pages = pages.repartition(_tasks(pages.count(), pages.sparkSession.sparkContext.defaultParallelism))
     schema = pa.schema(fields)
     kept = [c for c in pages.columns if c != "html"]
     names = {pa.string(): "string", _STRINGS: "array<string>", pa.bool_(): "boolean"}
