@@ -56,3 +56,9 @@ def test_a_page_scans_the_observations_twice(spark):
     for name in ("grid_desconto", "grid_search", "artist_page", "style_page", "carousel"):
         plan = catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("l_extendedprice#") > 0 and len([line for line in plan.splitlines() if "Relation" in line and "l_orderkey" in line]) <= 2, name
+
+
+def test_intake_reads_pages_once(spark):
+    """The prices need the records twice; the pages are read before, into a stored table."""
+    for name in ("intake_prices", "intake_products", "intake_counts", "intake_waiting"):
+        assert "MapInArrow" not in catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString(), name

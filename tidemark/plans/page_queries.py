@@ -16,6 +16,7 @@ from tidemark.operators import notify as N
 from tidemark.operators import scoring as S
 from tidemark.sources import payloads
 from tidemark.sources import tables as T
+from tidemark.sources.shared import run_folder
 
 from .catalogue import _CHART, _FRESH, _GRID_COLUMNS, _LISTED, _MOVED, _ORDERS, _QUEUE, DAYS, NOW, SQL, _chart, _grid_sql, _queue, cents, moved, query, seconds
 from .tables_sql import BASE, LONG_AS_OF, OBS, artist_slug, latest_any, recent, slug
@@ -222,12 +223,17 @@ def pending_first(spark, d):
     return D.pending_first(T.table(spark, d, "orders").selectExpr("o_orderkey ext_key", "o_orderdate discovered_at")).select("ext_key")
 
 
-def _intake(spark, d):
+def _intake(spark, d, read_once=True):
+    """A run of the intake; the records of the pages are stored, as several results take them and reading pages is most of the work."""
     products = T.table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").cast("string").alias("id"), _key(F.col("p_partkey")).alias("ext_key"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 8 == 0, 1).alias("deal_score"), F.lit(2).alias("price_count"), F.lit(True).alias("available"))
     obs = spark.createDataFrame([], "product_id string, price double, captured_at timestamp, obs_id long")
     waiting = T.table(spark, d, "part").where("p_partkey % 2 = 0").select(_key(F.col("p_partkey")).alias("ext_key"))
     processed = T.table(spark, d, "part").where("p_partkey % 2 = 0 and p_partkey % 10 <> 0").select(_key(F.col("p_partkey")).alias("ext_key"))
     records = H.discovered_records(product_pages(spark, d)).select("ext_key", F.upper("title").alias("title"), "price")
+    if read_once:
+        folder = run_folder(spark, "records")
+        records.write.parquet(folder)
+        records = spark.read.schema(records.schema).parquet(folder)
     return D.intake(products, obs, waiting, processed, records, as_of=NOW)
 
 
@@ -246,7 +252,7 @@ def intake_prices(spark, d):
 
 @query("intake_waiting", f"WITH {_TAKEN} SELECT ext_key FROM t WHERE p_partkey % 10 = 0")
 def intake_waiting(spark, d):
-    return _intake(spark, d)[2]
+    return _intake(spark, d, read_once=False)[2]  # without the records
 
 
 @query("intake_counts", f"WITH {_TAKEN} SELECT count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted) AS rejected FROM t WHERE processed")
