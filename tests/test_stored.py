@@ -134,6 +134,40 @@ def test_benchmarks_read_only_the_months_of_the_windows(spark, folder):
     assert "PartitionFilters: [isnotnull(month" in plan and ">= 2023-10" in plan
 
 
+def test_a_cut_day_is_read_from_its_month_only(spark, folder):
+    obs, as_of = observations(spark), "2024-01-20 13:37:11"
+    H.append_batch(obs, f"{folder}-history", "all")
+    R.add_batch(obs, folder, "all")
+    days, totals = R.read_batches(spark, folder)
+    got = R.benchmarks_of(totals, days, as_of=as_of, observations=H.read_history(spark, f"{folder}-history"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "(month" in plan and all(f"= {month})" in plan for month in ("2023-12", "2023-10"))
+    assert sorted_rows(got) == sorted_rows(B.benchmarks(obs, as_of=as_of))
+
+
+def test_the_days_of_one_month_are_dealt_over_tasks(spark, folder):
+    obs = observations(spark).where("captured_at >= '2023-05-01' and captured_at < '2023-06-01'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        R.add_batch(obs, folder, "all")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(pathlib.Path(folder).glob("days/batch=all/month=2023-05/*.parquet"))) > 1
+    days, _ = R.read_batches(spark, folder)
+    assert sorted_rows(days.drop("batch", "month")) == sorted_rows(R.daily(obs))
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_batches_as_one(spark, folder, batches):
+    obs = observations(spark)
+    for k in range(batches):
+        R.add_batch(obs.where(F.col("obs_id") % batches == k), folder, f"b{k}")
+    R.compact(spark, folder, f"{folder}-compact")
+    days, totals = R.read_batches(spark, f"{folder}-compact")
+    assert sorted_rows(days.drop("batch", "month")) == sorted_rows(R.daily(obs))
+    assert sorted_rows(totals.drop("batch")) == sorted_rows(R.merged(R.daily(obs), "product_id"))
+
+
 def test_a_batch_written_twice_counts_once_and_retention_drops_folders(spark, folder):
     obs = observations(spark)
     for batch, cut in (("a", "obs_id % 2 = 0"), ("b", "obs_id % 2 = 1"), ("a", "obs_id % 2 = 0")):

@@ -13,12 +13,21 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import parts_of
+
 from .latest import above
 
+#: A month's products and days are dealt over so many shares, so that the tasks of a month are several.
+SHARES = 16
 _SUMS = ["n", "total", "low", "first_at", "last_at", "newest"]
 _SCHEMA = "n long, total decimal(38,2), low decimal(10,2), first_at timestamp, last_at timestamp, newest struct<captured_at:timestamp,obs_id:long,price:decimal(10,2)>"
 
 
+def _month() -> Column:
+    """The folder of a day, as ``yyyy-MM``."""
+    return F.date_format("day", "yyyy-MM")
+
+
 def _fresh() -> list[Column]:
     return [
         F.count("*").alias("n"), F.sum("price").cast("decimal(38,2)").alias("total"), F.min("price").cast("decimal(10,2)").alias("low"), F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"),
@@ -31,9 +40,13 @@ def _merged() -> list[Column]:
     return [f(c).cast("decimal(38,2)").alias(c) if c == "total" else f(c).alias(c) for c, f in kind.items()]
 
 
+def _with_day(obs: DataFrame, floor: float | None) -> DataFrame:
+    return above(obs, floor).select("product_id", F.to_date("captured_at").alias("day"), "captured_at", "obs_id", "price")
+
+
 def daily(obs: DataFrame, *, floor: float | None = 30) -> DataFrame:
     """``product_id, day`` and the partial aggregates of the observations at or above the floor."""
-    return above(obs, floor).groupBy("product_id", F.to_date("captured_at").alias("day")).agg(*_fresh())
+    return _with_day(obs, floor).groupBy("product_id", "day").agg(*_fresh())
 
 
 def merged(parts: DataFrame, *keys: str) -> DataFrame:
@@ -41,10 +54,19 @@ def merged(parts: DataFrame, *keys: str) -> DataFrame:
     return parts.groupBy(*keys).agg(*_merged())
 
 
+def _write_days(rows: DataFrame, aggregates: list[Column], target: str) -> None:
+    """Aggregates of ``product_id, day``, stored by month.
+
+    Rows move once: a month's shares hold all rows of a group, in the order that grouping and writing by month need.
+    """
+    dealt = rows.withColumn("month", _month()).withColumn("_share", F.pmod(F.xxhash64("product_id", "day"), F.lit(SHARES))).repartition("month", "_share")
+    dealt.groupBy("month", "_share", "product_id", "day").agg(*aggregates).drop("_share").write.mode("overwrite").partitionBy("month").parquet(target)
+
+
 def add_batch(obs: DataFrame, folder: str, batch: str, *, floor: float | None = 30) -> None:
     """Store the partial aggregates of new observations under the name of their batch, days by month; a repeated batch replaces itself."""
-    days, kind = daily(obs, floor=floor), obs.schema["product_id"].dataType.simpleString()
-    days.withColumn("month", F.date_format("day", "yyyy-MM")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{folder}/days/batch={batch}")
+    kind = obs.schema["product_id"].dataType.simpleString()
+    _write_days(_with_day(obs, floor), _fresh(), f"{folder}/days/batch={batch}")
     stored = obs.sparkSession.read.schema(f"product_id {kind}, day date, {_SCHEMA}").parquet(f"{folder}/days/batch={batch}")  # an empty batch has no file
     merged(stored, "product_id").write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
 
@@ -74,7 +96,10 @@ def benchmarks_of(totals: DataFrame, days: DataFrame, *, as_of: str, short_days:
     if cut and observations is None:
         raise ValueError("a window that starts within a day needs the observations of that day")
     for k in cut:
-        of_day = above(observations, floor).where((F.col("captured_at") >= F.lit(str(starts[k])).cast("timestamp")) & (F.col("captured_at") < F.lit(str(first[k])).cast("timestamp")))
+        stored = observations
+        if "month" in stored.columns:  # only that day's folder is read
+            stored = stored.where(F.col("month") == starts[k].strftime("%Y-%m"))
+        of_day = above(stored, floor).where((F.col("captured_at") >= F.lit(str(starts[k])).cast("timestamp")) & (F.col("captured_at") < F.lit(str(first[k])).cast("timestamp")))
         own = {"n": F.lit(1).cast("long"), "total": F.col("price").cast("decimal(38,2)"), "low": F.col("price").cast("decimal(10,2)")}
         parts = parts.unionByName(of_day.select("product_id", *((own[c] if j == k else F.lit(None).cast({"n": "long", "total": "decimal(38,2)", "low": "decimal(10,2)"}[c])).alias(f"{c}_{j}") for j in starts for c in own)))
     windows = parts.groupBy("product_id").agg(*((F.min if c == "low" else F.sum)(f"{c}_{k}").alias(f"{c}_{k}") for k in starts for c in ("n", "total", "low")))
@@ -90,7 +115,11 @@ def benchmarks_of(totals: DataFrame, days: DataFrame, *, as_of: str, short_days:
 
 
 def compact(spark: SparkSession, folder: str, target: str) -> None:
-    """All batches of a folder as one, in another folder."""
+    """All batches of a folder as one, in another folder.  A batch has one row for each group, so that a single one is written as it is."""
     days, totals = read_batches(spark, folder)
-    merged(days, "product_id", "day").withColumn("month", F.date_format("day", "yyyy-MM")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{target}/days/batch=all")
+    if len(parts_of(spark, f"{folder}/days", "batch")) == 1:
+        days.drop("batch").write.mode("overwrite").partitionBy("month").parquet(f"{target}/days/batch=all")
+        totals.drop("batch").write.mode("overwrite").parquet(f"{target}/totals/batch=all")
+        return
+    _write_days(days.drop("month"), _merged(), f"{target}/days/batch=all")
     merged(totals, "product_id").write.mode("overwrite").parquet(f"{target}/totals/batch=all")

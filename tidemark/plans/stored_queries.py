@@ -115,14 +115,14 @@ _LATER = "2001-10-01 12:00:00"
 
 @query("benchmarks_within_a_day", SQL["benchmarks_long"].replace(LONG_AS_OF, f"TIMESTAMP '{_LATER}'"))
 def benchmarks_within_a_day(spark, d):
-    """At noon the windows start within a day, whose observations come from the stored history."""
+    """At noon the windows start within a day, whose observations come from the stored history; so do those that are added up."""
     folder = run_folder(spark, "rollups")
-    obs = T.observations(spark, d)
+    H.append_batch(T.observations(spark, d), f"{folder}-history", "all")
+    obs = H.read_history(spark, f"{folder}-history")
     R.add_batch(obs, folder, "all")
     R.compact(spark, folder, f"{folder}-compact")
-    H.append_batch(obs, f"{folder}-history", "all")
     days, totals = R.read_batches(spark, f"{folder}-compact")
-    return _stats(R.benchmarks_of(totals, days, as_of=_LATER, short_days=DAYS, long_days=T.LONG.long_days, observations=H.read_history(spark, f"{folder}-history")))
+    return _stats(R.benchmarks_of(totals, days, as_of=_LATER, short_days=DAYS, long_days=T.LONG.long_days, observations=obs))
 
 
 # --- history at rest -------------------------------------------------------------------------------------------------
