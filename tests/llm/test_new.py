@@ -318,3 +318,22 @@ def test_short_notices_stand_whole(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.license_report(df).collect()}
     assert [got[i] for i in range(len(texts))] == ["", "cc", "mpl", "", "mit", "agpl,gpl", "", "epl", "bsd", "", "public-domain", "", "", "lgpl"]
+
+
+def test_the_driver_holds_the_language_sample_as_half_floats(spark):
+    """The driver's Python holds one language's vectors in full at a time, not those of all."""
+    import tracemalloc
+
+    from tidemark.llm import language
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(letters[(i * k + i % 8) % 26] + letters[k % 26] + letters[(i + k * k) % 26] for k in range(3, 20)), f"l{i % 8}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = language.fit_language(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(set(model.languages)) == [f"l{i}" for i in range(8)]
+    assert peak < 2.5 * 800 * language.DIMENSIONS * 2

@@ -160,15 +160,19 @@ def fit_language(docs: DataFrame, *, clusters: int = 4, rounds: int = 8, per_lan
     found = sample.mapInArrow(vectors, "doc_id string, lang string, v binary").toArrow()
     found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("v", "ascending")])
     lang = np.array(found["lang"].to_pylist(), object)
-    x = np.frombuffer(b"".join(found["v"].to_pylist()), np.float16).reshape(len(found), DIMENSIONS).astype(np.float32)
+    groups = {}
+    for l in sorted(set(lang)):  # a language at a time, so that the driver holds the vectors of all as half floats only
+        first, n = int((lang < l).sum()), int((lang == l).sum())
+        x = np.stack([np.frombuffer(v.as_buffer(), np.float16).astype(np.float32) for v in found["v"].slice(first, n)])
+        x = x[np.linalg.norm(x, axis=1) > 0]
+        if len(x):
+            groups[l] = _cluster(x, clusters, rounds)
     del found
-    full = np.linalg.norm(x, axis=1) > 0
-    groups = {l: _cluster(x[(lang == l) & full], clusters, rounds) for l in sorted(set(lang[full]))}
     if not groups:
         return LanguageModel(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, LENGTHS)))
     centroids, names = np.concatenate(list(groups.values())), [l for l, c in groups.items() for _ in c]
     of = np.array(names, object)
-    del x, groups
+    del groups
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text and pieces of it, half as long as one another: nearest centroid of the language, length, cosine."""
