@@ -337,3 +337,14 @@ def test_the_driver_holds_the_language_sample_as_half_floats(spark):
         tracemalloc.stop()
     assert sorted(set(model.languages)) == [f"l{i}" for i in range(8)]
     assert peak < 2.5 * 800 * language.DIMENSIONS * 2
+
+
+def test_a_round_of_components_broadcasts_nothing(spark):
+    """Links are merged by a shuffle even where they are few: what is broadcast passes through the driver's memory."""
+    from tidemark.llm import components, session
+
+    session.shared_folder(spark)
+    edges = spark.createDataFrame([(i, 0) for i in range(2, 99, 2)] + [(i, i - 1) for i in range(2, 99)] + [(500, 400), (600, 500)], "u long, v long").checkpoint()
+    moved = components._small_star(components._large_star(edges))
+    assert {(r.u, r.v) for r in moved.collect()} >= {(500, 400), (600, 400)}
+    assert "Broadcast" not in moved._jdf.queryExecution().executedPlan().toString()

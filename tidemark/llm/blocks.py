@@ -111,15 +111,15 @@ def pairs_across(rows: DataFrame, sketches: DataFrame, threshold: int) -> DataFr
 
     Of a list's largest component and its commonest hub, rows that have both ("both") only need to meet rows that have neither
     ("none"); those that have one of the two also meet those that have the other.  So a list of near copies, nearly all of
-    which have both, moves only where it has a foreign row.
+    which have both, moves only where it has a foreign row.  Small tables are merged, not broadcast: that passes through the driver.
     """
     most = lambda c: rows.groupBy("token", c).agg(F.count("*").alias("_rows")).groupBy("token").agg(F.max(F.struct("_rows", c))[c].alias(f"_{c}"), F.count("*").alias(f"_n_{c}")).where(f"_n_{c} > 1")
-    mixed = most("component").join(most("hub"), "token").select("token", "_component", "_hub").checkpoint()
+    mixed = most("component").join(most("hub").hint("merge"), "token").select("token", "_component", "_hub").checkpoint()
     # sizes of linked sets are at most one level apart
     level = F.floor(F.log(F.shiftright("meta", 32).cast("double")) / (math.log(100 / threshold) * 1.000001)).cast("int")
     inside, same = F.col("component") == F.col("_component"), F.col("hub") == F.col("_hub")
     kind = F.when(inside & same, "both").when(inside, "inside").when(same, "hub").otherwise("none")
-    tagged = rows.join(mixed, "token").select("token", "cls", "meta", "component", "hub", kind.alias("kind"), level.alias("level")).checkpoint()
+    tagged = rows.join(mixed.hint("merge"), "token").select("token", "cls", "meta", "component", "hub", kind.alias("kind"), level.alias("level")).checkpoint()
     blocks = lambda when, name: F.ceil(F.count_if(when) / BLOCK_ROWS).cast("int").alias(name)
     counts = tagged.groupBy("token", "level").agg(blocks(F.lit(True), "n_all"), *(blocks(F.col("kind") == k, f"n_{k}") for k in ("none", "hub", "inside")))
     beside = counts.select("token", F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), F.struct(F.col("level").alias("with"), "n_all", "n_none", "n_hub", "n_inside").alias("o"))
@@ -141,7 +141,7 @@ def pairs_across(rows: DataFrame, sketches: DataFrame, threshold: int) -> DataFr
     foreign = sent(1, 0, "all", "none")  # every row is met by those that have neither
     to = F.when(F.col("kind") == "none", F.concat(foreign, sent(0, 0, "none", "all"))).when(F.col("kind") == "hub", F.concat(foreign, sent(0, 1, "hub", "inside")))
     to = to.when(F.col("kind") == "inside", F.concat(foreign, sent(1, 1, "inside", "hub"))).otherwise(foreign)
-    dealt = tagged.join(beside, ["token", "level"]).withColumn("to", to).where(F.size("to") > 0).select("token", "cls", "meta", "component", "hub", (F.col("kind") != "none").alias("major"), "to")
+    dealt = tagged.join(beside.hint("merge"), ["token", "level"]).withColumn("to", to).where(F.size("to") > 0).select("token", "cls", "meta", "component", "hub", (F.col("kind") != "none").alias("major"), "to")
     dealt = dealt.join(sketches.select("cls", "bits"), "cls").withColumn("to", F.explode("to"))
     key = ["token", "sort", "level", "block", "with_level", "with_block"]
     met = dealt.select("token", *(F.col("to")[c].alias(c) for c in (*key[1:], "side")), "cls", "meta", "component", "hub", "major", "bits")

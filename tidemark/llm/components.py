@@ -14,21 +14,24 @@ from .session import shared_folder
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """From the larger neighbours of a node to the smallest of it and its neighbours; links u > v, so that only those where
+    the node is the larger end can name a smaller one.  The merge keeps small tables from the driver, which broadcasts would pass."""
+    low = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    return edges.join(low.hint("merge"), F.col("v") == F.col("node"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    """From a node and its smaller neighbours to the smallest of them; links u > v, also repeated ones."""
+    low = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    ends = F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")))
+    moved = edges.join(low.hint("merge"), F.col("u") == F.col("node")).select(F.explode(ends).alias("x"))
+    return moved.select("x.u", "x.v").where("u <> v").distinct()
 
 
 def _only_stars(edges: DataFrame) -> bool:
     """Whether every node is either the smaller end of its links or the larger end of one: then the smaller ends are the answer."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    ends = F.array(*(F.struct(F.col(c).alias("node"), F.lit(int(c == "u")).alias("below"), F.lit(int(c == "v")).alias("above")) for c in ("u", "v")))
+    ends = edges.select(F.explode(ends).alias("x")).select("x.*")
     return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").count() == 0
 
 

@@ -371,12 +371,9 @@ def _around_hubs(verified: DataFrame, labels: DataFrame, threshold: int, rows: i
     return dealt.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "u long, v long")
 
 
-def _undecided(pairs: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The pairs that are neither in one component nor compared with the same hub."""
-
-    def of(c: str) -> DataFrame:
-        return labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")).join(hubs.select(F.col("node").alias(c), F.col("hub").alias(f"_h{c}")), c, "full")
-
+def _undecided(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that are neither in one component nor compared with the same hub (``node, component, hub`` of known)."""
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"), F.col("hub").alias(f"_h{c}")).hint("merge")
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return both.where((F.coalesce("_a", "a") != F.coalesce("_b", "b")) & (F.coalesce("_ha", "a") != F.coalesce("_hb", "b"))).select("a", "b")
 
@@ -494,17 +491,18 @@ def connect(docs: DataFrame, classes: DataFrame, pairs: DataFrame, lists: DataFr
     """
     first = _best_partners(pairs).checkpoint()
     verified = _verify(docs, classes, first, names, threshold, words).checkpoint()
-    links = _links(verified)
-    links = links.unionByName(_around_hubs(verified, components(links), threshold)).checkpoint()
-    labels = components(links)
+    as_links = lambda labels: labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    labels = components(_links(verified))
+    labels = components(as_links(labels).unionByName(_around_hubs(verified, labels, threshold)))  # from the stars: few rounds
     hubs = verified.where("lost is not null").select(F.col("b").alias("node"), F.col("a").alias("hub")).dropDuplicates(["node"])
+    known = labels.join(hubs.hint("merge"), "node", "full").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "node").alias("hub")).checkpoint()
 
-    long = lists.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").join(hubs.select(F.col("node").alias("cls"), "hub"), "cls", "left")
+    long = lists.join(known.withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
     more = pairs_across(long.withColumn("component", F.coalesce("component", "cls")).withColumn("hub", F.coalesce("hub", "cls")), sketches, threshold)
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _undecided(pairs.select("a", "b").unionByName(more).distinct(), labels, hubs).join(done, ["a", "b"], "left_anti").checkpoint()
+    rest = _undecided(pairs.select("a", "b").unionByName(more).distinct(), known).join(done.hint("merge"), ["a", "b"], "left_anti").checkpoint()
     rest = _plausible(sketches, rest, threshold).checkpoint()
-    found = _links(_verify(docs, classes, rest, names, threshold, words)).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    found = _links(_verify(docs, classes, rest, names, threshold, words)).unionByName(as_links(labels))
     return components(found)
 
 
